@@ -83,24 +83,29 @@ def _pieces(texts: list[bytes]):
         yield first, part
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything in ASCII but letters and digits; words between these are free of punctuation.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_bounds(data: bytes, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes as an array, and where each word starts and ends."""
     buf = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(buf) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[buf]
+    inside[1:-1] = ~separators[buf]
     edge = np.diff(inside)
     return buf, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hash_words(texts: list[bytes], lanes: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+def hash_words(texts: list[bytes], lanes: int = 1, separators: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words of each text (as offsets of length len(texts) + 1) and, for each lane, one hash per word.
 
-    Lanes are independent hash functions.  Empty texts have no words.
+    Lanes are independent hash functions; after them come the hashes of the first so many bytes of
+    each word, for each of ``prefixes``.  Empty texts have no words.
     """
     counts = np.zeros(len(texts), dtype=np.int64)
-    out: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+    out: list[list[np.ndarray]] = [[] for _ in range(lanes + len(prefixes))]
     for first, part in _pieces(texts):
-        buf, start, end = word_bounds(b"\n".join(part))
+        buf, start, end = word_bounds(b"\n".join(part), separators)
         if not len(start):
             continue
         ends = np.cumsum([len(x) + 1 for x in part])
@@ -109,6 +114,8 @@ def hash_words(texts: list[bytes], lanes: int = 1) -> tuple[np.ndarray, list[np.
         for lane in range(lanes):
             h = _ranges(values, _BASES[lane], start, end)
             out[lane].append(mix(h + (end - start).astype(np.uint64) * np.uint64(_BASES[1 - lane])))
+        for k, size in enumerate(prefixes):
+            out[lanes + k].append(mix(_ranges(values, _BASES[0], start, np.minimum(start + size, end)) + np.uint64(size)))
     offsets = np.concatenate([[0], np.cumsum(counts)])
     return offsets, [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
 
