@@ -1,18 +1,19 @@
 """HTML extraction: site templates found by counting hashed element subtrees.
 
-Method.  A page is parsed into a tree of elements.  Each element subtree has a
-hash of its tags and texts.  Hashes are counted per host in Spark, once a
-page; a subtree that recurs on at least MIN_PAGES pages and on a share of
-MIN_SHARE of a host's pages is part of the site's template and is deleted.
-What is left of the main part of the page is its text.
+Method.  A page is parsed once into a tree of elements.  Each block element's
+subtree has a hash, and each block of text keeps the hashes of the subtrees
+around it.  Hashes are counted per host in Spark, once a page; a subtree that
+recurs on at least MIN_PAGES pages and on a share of MIN_SHARE of a host's
+pages is part of the site's template, and the blocks inside are deleted.  What
+is left of the main part of the page is its text.
 
 Besides the counted templates, elements that never belong to an article are
 left out by tag, role or class name (see NEVER and NAMED), so pages of hosts
 with a single page are covered too.  The main part is the page's ``article``
 or ``main`` element or one with such a role or class, else its body.
 
-Deletion counts whole subtrees of the main part only if the page keeps some
-text, so pages that are copies of each other keep their article.
+A page whose blocks would all be deleted keeps them, so pages that are copies
+of each other keep their article.
 
 Defined cases.  Null html is empty, its text ''.  Pages without a host form
 one host ''.  A repeated page_id is a page of its own.  Markup that never
@@ -21,11 +22,11 @@ closes ends with the page.  Only page_id, url and html are read.
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,60 +57,75 @@ _WHITE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parts", "parent", "hash")
+    """``first`` and ``last`` are where its source starts and ends."""
 
-    def __init__(self, tag: str, attrs: str, parent):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    __slots__ = ("tag", "attrs", "parts", "parent", "first", "last")
+
+    def __init__(self, tag: str, attrs: str, parent, first: int):
+        self.tag, self.attrs, self.parent, self.first, self.last = tag, attrs, parent, first, -1
         self.parts: list = []
-        self.hash = 0
 
 
 def parse(page: str) -> Element:
     """The tree of a page; texts are kept undecoded."""
-    root = node = Element("#page", "", None)
+    root = node = Element("#page", "", None, 0)
     at, end = 0, len(page)
     lower = None
+    token, find = _TOKEN.match, page.find
+
+    def leave(to: Element, where: int) -> Element:
+        """Ends every open element inside ``to``."""
+        x = node
+        while x is not to:
+            x.last = where
+            x = x.parent
+        return to
+
     while at < end:
-        m = _TOKEN.match(page, at)
+        here = find("<", at)
+        if here != at:
+            here = end if here < 0 else here
+            node.parts.append(page[at:here])
+            at = here
+            continue
+        m = token(page, at)
         at = m.end()
-        name = m.group(2)
+        closing, name, attrs = m.groups()
         if name is None:
-            if page[m.start()] != "<" or at - m.start() == 1:
-                node.parts.append(m.group())
+            if at - here == 1:
+                node.parts.append("<")
             continue
         name = name.lower()
-        if m.group(1):
+        if closing:
             up = node
             while up is not None and up.tag != name:
-                if up.tag in ("td", "th") and name in ("p", "b", "i", "span", "a"):
-                    up = None
-                    break
-                up = up.parent
+                up = None if up.tag in ("td", "th") and name not in BLOCK else up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                node = leave(up.parent, at)
             continue
         if name in CLOSES_P:
             up = node
             while up.tag != "p" and up.tag not in BLOCK and up.parent is not None:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
+                node = leave(up.parent, here)
         elif name in CLOSED_BY:
             up = node
             while up.parent is not None and up.tag not in CLOSED_BY[name] and up.tag not in SCOPES[name]:
                 up = up.parent
             if up.tag in CLOSED_BY[name]:
-                node = up.parent
-        new = Element(name, m.group(3), node)
+                node = leave(up.parent, here)
+        new = Element(name, attrs, node, here)
         node.parts.append(new)
         if name in RAW:
             lower = page.lower() if lower is None else lower
             stop = lower.find("</" + name, at)
             stop = end if stop < 0 else stop
             new.parts.append(page[at:stop])
-            at = page.find(">", stop) + 1 or end
-        elif name not in VOID and not m.group(3).endswith("/"):
+            at = find(">", stop) + 1 or end
+        elif name not in VOID and not attrs.endswith("/"):
             node = new
+    leave(root, end)
     return root
 
 
@@ -128,22 +144,16 @@ def never(e: Element) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", "") or any(set(_NAME.findall(w)) & NAMED for w in names)
 
 
-def _elements(e: Element):
-    """All elements below, parents first, without recursion."""
-    todo = [e]
+def _has_text(parts: list[Element]) -> bool:
+    todo: list = list(parts)
     while todo:
-        x = todo.pop()
-        yield x
-        todo += [y for y in reversed(x.parts) if isinstance(y, Element)]
-
-
-def hash_subtrees(root: Element) -> None:
-    """Sets the 63-bit hash of every element: of its tag, its texts with white space joined, and its children."""
-    for e in reversed(list(_elements(root))):
-        h = hashlib.blake2b(e.tag.encode(), digest_size=8)
-        for x in e.parts:
-            h.update(x.hash.to_bytes(8, "little") if isinstance(x, Element) else b"\0" + _WHITE.sub(" ", x).strip().encode("utf-8", "replace"))
-        e.hash = int.from_bytes(h.digest(), "little") >> 1
+        e = todo.pop()
+        if isinstance(e, str):
+            if not e.isspace():
+                return True
+        elif not never(e) or e in parts:
+            todo += e.parts
+    return False
 
 
 def main_parts(root: Element) -> list[Element]:
@@ -160,43 +170,50 @@ def main_parts(root: Element) -> list[Element]:
                 found[kind].append(e)
                 continue
             todo += [y for y in reversed(e.parts) if isinstance(y, Element)]
-        if any(text_of(found[kind], frozenset()) for _ in (0,)):
+        if _has_text(found[kind]):
             return found[kind]
     return [root]
 
 
-def text_of(parts: list[Element], template: frozenset) -> str:
-    """Blocks of the elements in page order, without those never in an article or in the template."""
-    blocks: list[str] = []
+def blocks_of(page: str) -> list[tuple[str, list[int]]]:
+    """Blocks of text of the main part in page order, without elements never in an article; each with the hashes of the block subtrees around it."""
+    blocks: list[tuple[str, list[int]]] = []
     line: list[str] = []
+    path: list[int] = []
 
     def flush() -> None:
         if line:
-            s = _WHITE.sub(" ", entities.unescape("".join(line))).strip()
+            s = "".join(line)
+            s = " ".join((entities.unescape(s) if "&" in s else s).split())
             if s:
-                blocks.append(s)
+                blocks.append((s, path.copy()))
             line.clear()
 
-    for part in parts:
-        todo: list = [(part, False)]
+    for part in main_parts(parse(page)):
+        todo: list = [part]
         while todo:
-            e, over = todo.pop()
-            if isinstance(e, str):
+            e = todo.pop()
+            if e.__class__ is str:
                 line.append(e)
-            elif over:
+            elif e is None:
                 flush()
-            elif e is not part and (never(e) or e.hash in template):
-                flush() if e.tag in BLOCK or e.tag in NEVER else None
+                path.pop()
+            elif e is part:
+                todo += reversed(e.parts)
+            elif never(e):
+                if e.tag in BLOCK or e.tag in NEVER:
+                    flush()
             elif e.tag == "br":
                 line.append(" ")
+            elif e.tag in BLOCK:
+                flush()
+                path.append(xxhash.xxh64_intdigest(page[e.first : e.last].encode("utf-8", "replace")) >> 1)
+                todo.append(None)
+                todo += reversed(e.parts)
             else:
-                block = e is part or e.tag in BLOCK
-                if block:
-                    flush()
-                    todo.append((e, True))
-                todo += [(x, False) for x in reversed(e.parts)]
+                todo += reversed(e.parts)
         flush()
-    return "\n".join(blocks)
+    return blocks
 
 
 def host_of(url):
@@ -204,51 +221,36 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash): each different element subtree with text of each page, once."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, blocks): the blocks of every page, each with its text and the hashes of the subtrees around it."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    arrow = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
-            host, out, who = batch.column("host").to_pylist(), [], []
-            for h, page in zip(host, batch.column("html").to_pylist(), strict=True):
-                root = parse(page or "")
-                hash_subtrees(root)
-                own = {e.hash for e in _elements(root) if e.tag in BLOCK | NEVER and e.tag not in RAW and e.parts and e.tag not in ("html", "body", "head", "article", "main", "br")}
-                out += own
-                who += [h] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(out, pa.int64())], ["host", "hash"])
+            out = [[{"text": t, "path": p} for t, p in blocks_of(page or "")] for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(out, arrow)], ["page_id", "url", "host", "blocks"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, hash long")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, blocks array<struct<text: string, path: array<bigint>>>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur on many pages of their host.  Counts are summed before rows are moved."""
+    """(host, hash) of the subtrees of parsed pages that recur on many pages of their host.  Counts are summed before rows are moved."""
     n = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    often = subtrees(pages).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    own = pages.select("host", F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("hash"))
+    often = own.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return often.join(n, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text) of every page."""
     steps = Steps(pages.sparkSession, "html")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    rows = steps.write(parsed(pages), "parsed")
     found = steps.write(templates(rows, min_pages, min_share).groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for page, t in zip(batch.column("html").to_pylist(), batch.column("template"), strict=True):
-                root = parse(page or "")
-                parts = main_parts(root)
-                if t.is_valid and len(t):
-                    hash_subtrees(root)
-                    texts.append(text_of(parts, frozenset(t.as_py())) or text_of(parts, frozenset()))
-                else:
-                    texts.append(text_of(parts, frozenset()))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
+    rest = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("template"))))
+    rest = F.when(F.size(rest) > 0, rest).otherwise(F.col("blocks"))
+    return rows.join(found, "host", "left").select("page_id", "url", F.array_join(rest["text"], "\n").alias("text"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,22 @@
 """The queries of the training-data operators, and SQL where it can express them."""
 
+import corpus_pipeline
+
+from . import mixing
+from .html import op10_html
 from .jaccard import op1_jaccard_join
+from .mixing import op6_mixing
+from .nearest import op8_nearest
 from .pieces import op3_pieces
+from .quality import op7_quality
+from .sharding import op4_sharding
 from .substring import op5_substring
+from .tokenfiles import op9_token_counts
+from .toxicity import op2_toxicity
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_pieces, op4_sharding, op5_substring, op6_mixing, op7_quality, op8_nearest, op9_token_counts, op10_html)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_pieces, op5_substring)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
