@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,7 +18,7 @@ def tables(sf: str = SF):
 
 
 def rows(pdf) -> list:
-    one = lambda v: tuple(map(one, v)) if isinstance(v, (list, np.ndarray)) else None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float, np.number, Decimal)) and not isinstance(v, bool) else str(v)
+    one = lambda v: tuple(map(one, v)) if isinstance(v, (list, np.ndarray)) else None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float, np.number, Decimal)) and not isinstance(v, bool) else str(v)
     names = sorted(pdf.columns)
     return sorted([tuple(one(v) for v in r) for r in pdf[names].itertuples(index=False)], key=repr)
 
