@@ -130,7 +130,7 @@ class PieceCodec:
         self.lines = not any("\n" in p for p in words)
         spec.add_dummy_prefix = False
         self.raw = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.units = re.compile("\n+| *[^ \n]+| +" if self.lines else " *[^ ]+| +")
+        self.units = re.compile("\n+[^ \n]*| *[^ \n]+| +" if self.lines else " *[^ ]+| +")
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -143,7 +143,8 @@ class PieceCodec:
         if not text:
             return []
         if not self.lines or "  " in text or text[0] == " " or not self.prefix:
-            return self.units.findall(" " + text if self.prefix else text)
+            units = self.units.findall(" " + text if self.prefix else text)
+            return [u[1:] if u[0] == " " and u[1:2] not in ("", " ") else u for u in units] if self.prefix else units
         # "word" stands for " word"; a unit that begins with a new line has no space before it
         return text.replace("\n", " \n").split(" ")
 

@@ -105,7 +105,7 @@ class FingerprintIndex:
         runs, hits = self.runs, self.hits
         self.runs = [self.steps.write(reduce(DataFrame.unionByName, runs), "run", "lz4", (self.buckets, "fp"))]
         self.hits = [self.steps.write(reduce(DataFrame.unionByName, hits).distinct(), "shared", "lz4", (self.buckets, "fp"))]
-        self.steps.drop(*runs, *hits)
+        self.steps.drop(*runs, *hits[:-1])  # the last was just returned to the caller
 
     def candidates(self) -> DataFrame:
         """(hi, lo, fp) of every indexed text whose fingerprint occurs elsewhere, over all runs."""
