@@ -20,7 +20,7 @@ def snippets(title: Column, text: Column, comments: Column | None = None, most:
         whole = F.concat(whole, F.array_join(more, ""))
     own = F.when(contains_any(head, lexicon), F.array(first_words(head))).otherwise(F.array().cast(NONE))
     said = F.filter(F.transform(F.filter(sentences(whole), lambda s: contains_any(s, lexicon)), lambda s: first_words(s)), lambda s: n_words(s) >= 3)
-    found = first_n(distinct_ignoring_case(F.concat(own, said)), most)
+    found = distinct_ignoring_case(F.concat(own, said), most)
     fallback = first_words(F.when(head != "", head).otherwise(body))
     return F.when(F.size(found) > 0, found).when(fallback != "", F.array(fallback)).otherwise(F.array().cast(NONE))
 

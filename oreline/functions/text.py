@@ -57,9 +57,9 @@ def count_matched(c: Column, patterns: list[str]) -> Column:
     return sum((F.regexp_like(low, F.lit(p)).cast("int") for p in patterns), F.lit(0))
 
 
-def distinct_ignoring_case(a: Column) -> Column:
-    """The first of the elements that are equal in lower case, in order."""
-    return F.aggregate(a, F.array().cast("array<string>"), lambda seen, s: F.when(F.exists(seen, lambda x: F.lower(x) == F.lower(s)), seen).otherwise(F.array_append(seen, s)))
+def distinct_ignoring_case(a: Column, most: int = 1 << 30) -> Column:
+    """The first of the elements that are equal in lower case, in order, up to ``most``."""
+    return F.aggregate(a, F.array().cast("array<string>"), lambda seen, s: F.when((F.size(seen) >= most) | F.exists(seen, lambda x: F.lower(x) == F.lower(s)), seen).otherwise(F.array_append(seen, s)))
 
 
 def first_n(a: Column, n: int) -> Column:
