@@ -114,27 +114,22 @@ def _pairs_of_blocks(df: DataFrame) -> DataFrame:
     return df.select("*", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other")
 
 
-def _root(parent: dict, x):
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _spanning(same: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of nodes, of the graph with boolean adjacency ``same``."""
+    """Pairs (least node, other node) of each connected part of the graph with boolean adjacency ``same``: stars, which need few rounds to merge."""
     todo = np.ones(len(nodes), dtype=bool)
     out = []
     for i in range(len(nodes)):
         if not todo[i]:
             continue
-        todo[i], front = False, [i]
+        todo[i], front, part = False, [i], [i]
         while front:
-            j = front.pop()
-            new = np.flatnonzero(same[j] & todo)
+            new = np.flatnonzero(same[front.pop()] & todo)
             todo[new] = False
-            out += [(nodes[j], nodes[k]) for k in new]
             front += new.tolist()
+            part += new.tolist()
+        if len(part) > 1:
+            least = min(nodes[k] for k in part)
+            out += [(least, nodes[k]) for k in part if nodes[k] != least]
     return out
 
 
