@@ -14,11 +14,16 @@ _KEY = "spark.checkpoint.dir"
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    base = spark.conf.get(_KEY, None)
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset, a folder of the warehouse, or in local mode (tests) a new local one, becomes the context's checkpoint folder.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get(_KEY, None) or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="oreline-")
-        spark.conf.set(_KEY, base)
+        local = sc.master.startswith("local") and "cluster" not in sc.master
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="oreline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
+        base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
