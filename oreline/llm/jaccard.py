@@ -133,20 +133,63 @@ def _spanning(same: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _alike(sk: np.ndarray) -> np.ndarray:
+    """How many tokens each two of the sketches share."""
+    if len(sk) <= 40:
+        return (sk[:, None, :] == sk[None, :, :]).sum(2)
+    out = np.zeros((len(sk), len(sk)), dtype=np.uint8)
+    for c in range(SKETCH):
+        out += sk[:, c][:, None] == sk[:, c][None, :]
+    return out
+
+
 def _edges(leaves: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): spanning edges of the pairs in a leaf whose sketches agree on nearly the threshold or more."""
+    """(a, b): spanning edges of the pairs in a leaf whose sketches agree on nearly the threshold or more.
+
+    Most leaves hold a few sets, so a task goes through its sorted leaves batch
+    by batch, and leaves of two sets are compared all at once; what is held is
+    a batch and one pair of blocks.
+    """
     need = threshold * SKETCH - _SLACK * math.sqrt(SKETCH * threshold * (1 - threshold))
 
-    def brute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        nodes = pdf["node"].to_numpy()
-        sk = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint32).reshape(len(nodes), SKETCH)
-        alike = np.zeros((len(nodes), len(nodes)), dtype=np.uint8)
-        for c in range(SKETCH):
-            alike += sk[:, c][:, None] == sk[:, c][None, :]
-        return pd.DataFrame(_spanning(alike >= need, nodes), columns=["a", "b"], dtype="int64")
-
-    return _pairs_of_blocks(leaves).groupBy("bucket", "left", "right").applyInPandas(brute, "a long, b long")
+    def compare(starts: np.ndarray, ends: np.ndarray, nodes: np.ndarray, sk: np.ndarray) -> list[tuple[int, int]]:
+        two = starts[ends - starts == 2]
+        two = two[(sk[two] == sk[two + 1]).sum(1) >= need]
+        out = list(zip(nodes[two].tolist(), nodes[two + 1].tolist(), strict=True))
+        for i, j in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            own, first = np.unique(nodes[i:j], return_index=True)
+            mine = sk[i:j][first]
+            if ((mine == mine[0]).sum(1) >= need).all():
+                out += [(int(own[0]), x) for x in own[1:].tolist()]
+            else:
+                out += _spanning(_alike(mine) >= need, own)
+        return out
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "left", "right", "node")])
+            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, SKETCH)
+            if held is not None:
+                key, sk = np.concatenate([held[0], key], axis=1), np.concatenate([held[1], sk])
+            edge = np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(0)) + 1
+            if len(edge):
+                yield _pairs(compare(np.append(0, edge[:-1]), edge, key[3], sk))
+                key, sk = key[:, edge[-1] :], sk[edge[-1] :]
+            held = key, sk
+        if held is not None:
+            yield _pairs(compare(np.array([0]), np.array([len(held[1])]), held[0][3], held[1]))
+
+    dealt = _pairs_of_blocks(leaves).select("bucket", "left", "right", "node", "sketch")
+    keys = ["bucket", "left", "right"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*edges, strict=True) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _exact(sets: DataFrame, threshold: float, n: int) -> DataFrame:
