@@ -4,12 +4,13 @@ Method.  A text is the set of its ``n``-word shingles.  Sets are embedded as
 ``SKETCH`` minhash tokens, of which two sets share a fraction equal to their
 Jaccard similarity in expectation.  One run of the join starts with all sets
 in one bucket and splits it by a sampled shared token; a bucket that is still
-large is split again by further sampled tokens, along its own path.  Buckets
-of at most ``SMALL`` sets are compared by brute force, and so, in blocks of
-that size, are large buckets whose members are alike on average (splitting
-them cannot separate anything).  Runs are repeated, each with a root token of
-its own, until a pair at the threshold is missed with a probability below
-``1 - recall``: (1 - threshold) ** runs.
+large is split again by further sampled tokens, along its own path: those
+``SPLITS`` of ``TRIED`` sampled coordinates that separate its members best.
+Buckets of at most ``SMALL`` sets are compared by brute force.  A large bucket
+whose members are alike on average, which no split can separate, becomes one
+group of candidates, without any comparison here.  Runs are repeated, each
+with a root token of its own, until a pair at the threshold shares no root
+with a probability below ``1 - recall``: (1 - threshold) ** runs.
 
 The brute-force step compares sketches and keeps one spanning edge per join of
 two groups, never all pairs.  Inside the components of these edges every pair
@@ -25,6 +26,7 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -38,7 +40,7 @@ from .substring import chunks
 from .wordhash import hash_words, mix, signed, window_hashes
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999999
-SKETCH, SMALL, SPLITS, ALIKE, DEPTH = 64, 512, 4, 0.4, 6
+SKETCH, SMALL, TRIED, SPLITS, ALIKE, DEPTH = 64, 512, 8, 4, 0.6, 12
 _SLACK = 5.0
 _BLOCK_SHINGLES = 4_000_000
 
@@ -79,33 +81,37 @@ def _token(at) -> F.Column:
     return F.substring("sketch", F.lit(1) + 4 * at, F.lit(4)) if not isinstance(at, int) else F.substring("sketch", 1 + 4 * at, 4)
 
 
-def _leaves(sets: DataFrame, runs: int, steps: Steps) -> DataFrame:
-    """(bucket, block, blocks, node): which leaf buckets a set ends in.  A bucket with a single set is dropped at once."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), _token(r % SKETCH)).alias("bucket")) for r in range(runs)])).alias("x")
-    level = sets.select("node", "sketch", each).select("node", "sketch", "x.bucket")
-    leaves = []
+def _buckets(sets: DataFrame, runs: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node) of each leaf bucket a set ends in, and star edges (a, b) of the large buckets whose members are alike.
+
+    A bucket with a single set is dropped at once.  Only keys move here;
+    sketches are joined to the members of large buckets and, later, to leaves.
+    """
+    level = sets.select("node", F.explode(F.array(*[F.xxhash64(F.lit(r), _token(r % SKETCH)) for r in range(runs)])).alias("bucket"))
+    leaves, stars = [], []
     for depth in range(DEPTH + 1):
         level = steps.write(level, "level")
-        count = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        sized = steps.write(count, "sizes")
-        small = sized.where(F.col("size") <= SMALL)
-        leaves.append(level.join(small.select("bucket"), "bucket").select("bucket", F.lit(0).alias("block"), F.lit(1).alias("blocks"), "node", "sketch"))
+        sized = steps.write(level.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
+        # a merge join at every size: the sizes table grows with the input
+        leaves.append(level.join(sized.where(F.col("size") <= SMALL).select("bucket").hint("merge"), "bucket").select("bucket", "node"))
         large = sized.where(F.col("size") > SMALL)
         if large.limit(1).count() == 0:
             break
-        inside = level.join(large, "bucket")
-        picks = [F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(SPLITS)]
-        child = inside.select("node", "sketch", "bucket", "size", F.explode(F.array(*[F.struct(p.alias("at"), F.substring("sketch", 1, 0).alias("none")) for p in picks])).alias("x"))
-        child = steps.write(child.select("node", "sketch", "bucket", "size", F.xxhash64("bucket", "x.at", F.expr("substring(sketch, 1 + 4 * x.at, 4)")).alias("child")), "split")
-        # the chance that two members share a sampled token is the bucket's mean similarity
-        sums = child.groupBy("bucket", "child", "size").agg(F.count("*").alias("n")).groupBy("bucket", "size").agg((F.sum(F.col("n") * F.col("n")) / (SPLITS * F.col("size") * F.col("size"))).alias("alike"))
-        dense = steps.write(sums.where((F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)).select("bucket", F.ceil(F.col("size") / SMALL).cast("int").alias("blocks")), "dense")
-        leaves.append(level.join(dense, "bucket").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "sketch"))
-        level = child.join(dense.select("bucket"), "bucket", "left_anti").select("node", "sketch", F.col("child").alias("bucket"))
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out
+        picks = [F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(TRIED)]
+        tokens = level.join(large, "bucket").join(sets.select("node", "sketch"), "node")
+        tokens = tokens.withColumns({f"at{k}": x for k, x in enumerate(picks)}).select("bucket", "size", "least", "node", *[F.expr(f"substring(sketch, 1 + 4 * at{k}, 4)").alias(f"t{k}") for k in range(TRIED)])
+        tokens = steps.write(tokens, "inside")
+        # the chance that two members share the token at a coordinate; its mean is the bucket's mean similarity
+        square = F.col("n").cast("double") * F.col("n")
+        rates = [tokens.groupBy("bucket", "size", f"t{k}").agg(F.count("*").alias("n")).groupBy("bucket", "size").agg(F.sum(square).alias("same")).select("bucket", (F.col("same") / F.col("size") / F.col("size")).alias("rate"), F.lit(k).alias("k")) for k in range(TRIED)]
+        verdict = functools.reduce(DataFrame.unionByName, rates).groupBy("bucket").agg(F.avg("rate").alias("alike"), F.slice(F.sort_array(F.collect_list(F.struct("rate", "k"))), 1, SPLITS)["k"].alias("best"))
+        verdict = steps.write(verdict.select("bucket", "best", ((F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)).alias("dense")), "verdict")
+        stars.append(tokens.select("bucket", "least", "node").join(verdict.where("dense").select("bucket"), "bucket").where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")))
+        split = tokens.join(verdict.where("not dense").select("bucket", "best"), "bucket")
+        found = F.array(*[F.xxhash64("bucket", F.lit(k), F.col(f"t{k}")) for k in range(TRIED)])
+        level = split.select("node", F.explode(F.transform("best", lambda k: F.get(found, k))).alias("bucket"))
+    none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    return functools.reduce(DataFrame.unionByName, leaves), functools.reduce(DataFrame.unionByName, stars, none)
 
 
 def _pairs_of_blocks(df: DataFrame) -> DataFrame:
@@ -144,11 +150,11 @@ def _alike(sk: np.ndarray) -> np.ndarray:
 
 
 def _edges(leaves: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): spanning edges of the pairs in a leaf whose sketches agree on nearly the threshold or more.
+    """(a, b): spanning edges of the pairs in a leaf (bucket, node, sketch) whose sketches agree on nearly the threshold or more.
 
     Most leaves hold a few sets, so a task goes through its sorted leaves batch
     by batch, and leaves of two sets are compared all at once; what is held is
-    a batch and one pair of blocks.
+    a batch and one leaf.
     """
     need = threshold * SKETCH - _SLACK * math.sqrt(SKETCH * threshold * (1 - threshold))
 
@@ -170,21 +176,19 @@ def _edges(leaves: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "left", "right", "node")])
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "node")])
             sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, SKETCH)
             if held is not None:
                 key, sk = np.concatenate([held[0], key], axis=1), np.concatenate([held[1], sk])
-            edge = np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(0)) + 1
+            edge = np.flatnonzero(key[0, 1:] != key[0, :-1]) + 1
             if len(edge):
-                yield _pairs(compare(np.append(0, edge[:-1]), edge, key[3], sk))
+                yield _pairs(compare(np.append(0, edge[:-1]), edge, key[1], sk))
                 key, sk = key[:, edge[-1] :], sk[edge[-1] :]
             held = key, sk
         if held is not None:
-            yield _pairs(compare(np.array([0]), np.array([len(held[1])]), held[0][3], held[1]))
+            yield _pairs(compare(np.array([0]), np.array([len(held[1])]), held[0][1], held[1]))
 
-    dealt = _pairs_of_blocks(leaves).select("bucket", "left", "right", "node", "sketch")
-    keys = ["bucket", "left", "right"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").where("a <> b")
+    return leaves.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -192,7 +196,7 @@ def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _exact(sets: DataFrame, threshold: float, n: int) -> DataFrame:
+def _exact(sets: DataFrame, threshold: float, n: int, tasks: int) -> DataFrame:
     """(a, b, links): every pair of a component on its exact shingle sets, block pair by block pair.
 
     A row per set and block pair: ``links`` is the number of rows of the input
@@ -230,7 +234,9 @@ def _exact(sets: DataFrame, threshold: float, n: int) -> DataFrame:
         edges = _spanning(link, nodes)
         return pd.concat([out, pd.DataFrame({"a": [x for x, _ in edges], "b": [y for _, y in edges], "links": 0})]).astype("int64")
 
-    return _pairs_of_blocks(sets).groupBy("component", "left", "right").applyInPandas(brute, "a long, b long, links long")
+    keys = ["component", "left", "right"]
+    # a fixed count: few bytes are much work here, so partitions are not to be put together by size
+    return _pairs_of_blocks(sets).repartition(tasks, *keys).groupBy(*keys).applyInPandas(brute, "a long, b long, links long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -246,15 +252,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed(docs, id_col, text_col)
     # the node of a text is its 64-bit key; a second key tells apart texts that share it
     sets = steps.write(sketches(rows, n).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("hi", "lo")), "sets")
-    edges = _edges(_leaves(sets.where("n_words > 0").select("node", "sketch"), runs, steps), threshold)
-    near = components(edges, steps)
+    worded = sets.where("n_words > 0").select("node", "sketch")
+    leaves, stars = _buckets(worded, runs, steps)
+    near = components(_edges(leaves.join(worded, "node"), threshold).unionByName(stars), steps)
     members = steps.write(sets.join(near, "node").select("hi", "lo", "node", "first_id", "copies", "n_words", F.col("root").alias("component")), "members")
     total = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_words").alias("w"))
-    total = total.select("component", F.greatest(F.ceil(F.col("m") / SMALL), F.ceil(F.col("w") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = steps.write(members.join(total, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    total = total.select("component", "m", F.greatest(F.ceil(F.col("m") / SMALL), F.ceil(F.col("w") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    total = steps.write(total, "totals")
+    dealt = total.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(dealt / SMALL)))
+    blocks = steps.write(members.join(total.drop("m"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
     keys = blocks.select("hi", "lo", F.col("first_id").alias("doc_id"), "component", "node", "copies", "block", "blocks")
     texts = steps.write(rows.where("text is not null").join(keys, ["hi", "lo", "doc_id"]).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
-    checked = steps.write(_exact(texts, threshold, n), "links")
+    checked = steps.write(_exact(texts, threshold, n, tasks), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     group = components(checked.where("a <> b").select("a", "b"), steps)
     all_sets = sets.drop("sketch").join(links, "node", "left").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
