@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(dealt / SMALL)))
     blocks = steps.write(members.join(total.drop("m"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
     keys = blocks.select("hi", "lo", F.col("first_id").alias("doc_id"), "component", "node", "copies", "block", "blocks")
-    texts = steps.write(rows.where("text is not null").join(keys, ["hi", "lo", "doc_id"]).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
+    # a merge join at every size: the candidates grow with the input
+    texts = steps.write(rows.where("text is not null").join(keys.hint("merge"), ["hi", "lo", "doc_id"]).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
     checked = steps.write(_exact(texts, threshold, n, tasks), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     group = components(checked.where("a <> b").select("a", "b"), steps)
