@@ -218,6 +218,16 @@ def test_op7_metrics(spark, odd, none):
     assert good["kept"].mean() > 0.98
 
 
+def test_op7_catches_bad_rows(spark):
+    """Labelled-bad rows that pass the base rules, which only the distances can catch."""
+    sf = "/root/testdata/sf0.1"
+    real = quality.op7_quality(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    real = real[~real["base_failed"]]
+    good, bad = real[real["quality"] == 1], real[real["quality"] == 0]
+    assert (~bad["kept"]).mean() > 0.8 and good["kept"].mean() > 0.985
+    assert (bad["word_distance"] > quality.MAX_WORD_DISTANCE).any() and (bad["char_distance"] > quality.MAX_CHAR_DISTANCE).any()
+
+
 def test_op8_recall(spark):
     got = nearest.op8_nearest(spark, "/root/testdata/sf0.1").toPandas()
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
