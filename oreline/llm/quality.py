@@ -3,23 +3,26 @@
 Method.  A text's histogram over character classes, and its histogram over the
 common words of a language (all other words together), are compared with the
 reference of each language by the Jensen-Shannon distance (base 2, 0 to 1).
-References are counted over the whole corpus, by the language column.  A text
-is kept if one language is near enough on both.  Short texts have unreliable
+References are counted over the whole corpus, by the language column.  A value
+of it is a reference only if it has LEAST_TEXTS texts of MIN_CHARS characters
+and MIN_WORDS words or more, and LEAST_CHARS characters in all.  Texts of other
+values are compared with the references there are.  A text is kept if one
+language is near enough on both.  Short texts have unreliable
 histograms: below MIN_CHARS the character test, and below MIN_WORDS the word
 test, says nothing and passes.
 
 Base rules: see ``base_metrics``.
 
-Defined cases.  Null text is empty: all metrics 0, base_failed.  Rows without
-a language count as language ''.  An empty corpus has no reference, and then
-only the base rules decide.
+Defined cases.  Null text is empty: all metrics 0, base_failed.  A null or
+blank language is never a reference.  A corpus where no language has texts
+enough has no reference, and then only the base rules decide.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Steps, binaries
@@ -28,6 +31,7 @@ from .wordhash import PUNCTUATION, hash_words, window_hashes
 
 WORD_BITS, COMMON = 13, 60
 MIN_CHARS, MIN_WORDS = 200, 50
+LEAST_TEXTS, LEAST_CHARS = 20, 20_000
 #: About the 99.9th and the 99th percentile of the rows labelled good that pass the base rules at sf0.1 (0.227 and 0.376).
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.23, 0.38
 #: Character classes: 0 continuation byte, 1 white space, 2 lower case, 3 upper case, 4 digit, 5 sentence punctuation, 6 symbol, 7 other ASCII, 8 beyond ASCII.
@@ -77,39 +81,53 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def references(docs: DataFrame, steps: Steps, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language: class shares, the COMMON most frequent word buckets, and their shares with that of all other words last.
+    """Per language with texts enough: class shares, the COMMON most frequent word buckets, and their shares with that of all other words last.
 
-    Counted over all rows; a partition sends a row per language and bucket,
-    the driver gets COMMON + CLASSES rows per language.
+    Counted over all rows that name a language; a partition sends a row per
+    language and bucket, the driver gets at most COMMON + CLASSES + 1 rows per
+    reference.
     """
+    n_words, n_texts = 1 << WORD_BITS, (1 << WORD_BITS) + CLASSES
+
+    def rows_of(total: dict[str, np.ndarray]):
+        for name, sums in total.items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "at", "n"])
+        total.clear()
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            text = binaries(batch.column("text"))
-            lang = np.array([x or "" for x in batch.column("lang").to_pylist()], dtype=object)
+            text, lang = binaries(batch.column("text")), np.array(batch.column("lang").to_pylist(), dtype=object)
             for a, b in chunks(text):
                 off, word = _words(text[a:b])
-                who = np.repeat(lang[a:b], np.diff(off))
+                n = np.diff(off)
+                who = np.repeat(lang[a:b], n)
                 for name in set(lang[a:b]):
-                    sums = total.setdefault(name, np.zeros((1 << WORD_BITS) + CLASSES, dtype=np.int64))
-                    sums[: 1 << WORD_BITS] += np.bincount(word[who == name], minlength=1 << WORD_BITS)
-                    sums[1 << WORD_BITS :] += class_counts(b"".join(t for t, x in zip(text[a:b], lang[a:b], strict=True) if x == name))
-        for name, sums in total.items():
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "at", "n"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+                    sums = total.setdefault(name, np.zeros(n_texts + 1, dtype=np.int64))
+                    mine = [class_counts(t) for t, x in zip(text[a:b], lang[a:b], strict=True) if x == name]
+                    sums[:n_words] += np.bincount(word[who == name], minlength=n_words)
+                    sums[n_words:n_texts] += np.sum(mine, axis=0)
+                    sums[n_texts] += sum(int(w >= MIN_WORDS and c[1:].sum() >= MIN_CHARS) for w, c in zip(n[lang[a:b] == name], mine, strict=True))
+                    if len(total) > 256:
+                        yield from rows_of(total)
+        yield from rows_of(total)
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.trim("lang") != "")
     sums = steps.write(rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")), "counts")
-    words = sums.where(F.col("at") < 1 << WORD_BITS)
+    sized = sums.groupBy("lang").agg(*[F.sum(F.when(c, F.col("n"))).alias(k) for k, c in {"words": F.col("at") < n_words, "chars": F.col("at").between(n_words + 1, n_texts - 1), "texts": F.col("at") == n_texts}.items()])
+    known = sized.where((F.col("texts") >= LEAST_TEXTS) & (F.col("chars") >= LEAST_CHARS)).select("lang", "words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy((F.col("at") >= n_words).desc(), F.desc("n"), "at"))
+    # the classes and the number of texts come first, at most CLASSES + 1 rows; a language has a row per bucket at most
+    top = sums.join(known, "lang").withColumn("place", place - F.sum((F.col("at") >= n_words).cast("int")).over(Window.partitionBy("lang"))).where(F.col("place") <= COMMON)
     out = {}
-    for name, total in words.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        top = words.where(F.col("lang") == name).orderBy(F.desc("n"), "at").limit(COMMON).toPandas()
+    for name, part in top.toPandas().sort_values(["lang", "place"]).groupby("lang"):
         classes = np.zeros(CLASSES)
-        for r in sums.where((F.col("lang") == name) & (F.col("at") >= 1 << WORD_BITS)).collect():
-            classes[r["at"] - (1 << WORD_BITS)] = r["n"]
-        share = np.append(top["n"], total - top["n"].sum()) / total
-        out[name] = (classes[1:] / classes[1:].sum(), top["at"].to_numpy(dtype=np.int64), share)
+        kind = part[(part["at"] >= n_words) & (part["at"] < n_texts)]
+        classes[kind["at"] - n_words] = kind["n"]
+        common, total = part[part["at"] < n_words], part["words"].iloc[0]
+        share = np.append(common["n"], total - common["n"].sum()) / total
+        out[name] = (classes[1:] / classes[1:].sum(), common["at"].to_numpy(dtype=np.int64), share)
     return out
 
 

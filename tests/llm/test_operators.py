@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from oreline.llm import html, jaccard, mixing, nearest, pieces, quality, sharding, substring, tokenfiles, toxicity
 from oreline.llm.wordhash import hash_words, sliding, window_hashes
@@ -228,6 +229,24 @@ def test_op7_catches_bad_rows(spark):
     assert (bad["word_distance"] > quality.MAX_WORD_DISTANCE).any() and (bad["char_distance"] > quality.MAX_CHAR_DISTANCE).any()
 
 
+def test_op7_references(spark):
+    """Junk under a language value of its own, under null and under a wrong one is compared with the real languages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    shout, signs = words(300, "x").upper(), "#$% " + "*** &&& <|> w " * 80 + words(100, "q")
+    junk = [(-1, shout, "zz"), (-2, shout + " B", None), (-3, signs, None), (-4, signs + " c", "yy"), (-5, shout + " D", "en"), (-6, signs + " e", " ")]
+    got = quality.quality(docs.unionByName(spark.createDataFrame(junk, docs.schema))).toPandas()
+    mine = got[got["doc_id"] < 0]
+    assert len(mine) == 6 and not mine["kept"].any() and set(got["nearest"]) == {"en", "de", "fr", "es"}
+    # a real text keeps its place whatever its language says
+    plain = docs.where("lang = 'en'").withColumn("lang", F.lit(None).cast("string")).limit(50)
+    asis = quality.quality(docs).toPandas().set_index("doc_id")["kept"]
+    dirty = quality.quality(docs.join(plain.select("doc_id"), "doc_id", "left_anti").unionByName(plain.select(docs.columns))).toPandas().set_index("doc_id")["kept"]
+    assert (asis == dirty.reindex(asis.index)).mean() > 0.99
+    # fewer texts than LEAST_TEXTS are no reference, however long
+    few = spark.createDataFrame([(i, words(2000, f"t{i}"), "en") for i in range(quality.LEAST_TEXTS - 1)], docs.schema)
+    assert quality.quality(few).toPandas()["nearest"].isna().all()
+
+
 def test_op8_recall(spark):
     got = nearest.op8_nearest(spark, "/root/testdata/sf0.1").toPandas()
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
