@@ -1,10 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Method.  Tokens are summed per cell of source, language and topic.  Raking
-scales the cells' weights to each margin's target shares in turn until all
-hold.  A document is then kept with its cell's calibrated probability
-min(1, scale * weight), where the scale makes the expected tokens the wanted
-share of all.  The draw is a hash of the id, so it is the same in every run.
+scales the cells' probabilities to each margin's target shares in turn, none
+above 1, until all hold; where they cannot at the wanted share of all tokens,
+that share is lowered (``rake_held``).  A document is then kept with its
+cell's probability.  The draw is a hash of the id, so it is the same in every
+run.
+
+The query ``op6_mixing`` is bound to its SQL, which rakes without a bound,
+clips at 1 and raises the scale (``rake``): its margins hold only as far as
+few cells are clipped.
 
 Categories without a target form 'other', which keeps its observed share, so
 there are at most (sources + 1) * (languages + 1) * topics cells whatever the
@@ -21,14 +26,17 @@ one draw.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Steps, text_of
 
 TOPICS, ROUNDS, SCALINGS = 8, 20, 20
+BOUNDED_ROUNDS, TOLERANCE = 300, 0.001
 
 
 @dataclass(frozen=True)
@@ -57,7 +65,7 @@ def _category(column: Column, known: dict) -> Column:
 
 
 def rake(cells: dict[tuple[str, str, str], int], targets: Targets) -> dict[tuple[str, str, str], float]:
-    """The probability of each cell."""
+    """The probability of each cell, as in the SQL: clipped at 1 after raking, which margins do not survive where many cells are clipped."""
     cells = {c: n for c, n in cells.items() if n}
     total = sum(cells.values())
     weight = dict.fromkeys(cells, 1.0)
@@ -86,7 +94,77 @@ def rake(cells: dict[tuple[str, str, str], int], targets: Targets) -> dict[tuple
     return {c: min(1.0, scale * w) for c, w in weight.items()}
 
 
-def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def _goals(cells: dict[tuple[str, str, str], int], targets: Targets) -> list[dict[str, float]]:
+    """The share of the tokens that each category of each margin is to have."""
+    total = sum(cells.values())
+    margins = []
+    for i, wanted in enumerate((targets.source, targets.lang, targets.topic)):
+        have = _shares(cells, None, i)
+        other = have.get("other", 0.0) if total else 0.0
+        listed = sum(v for k, v in wanted.items() if k in have)
+        margins.append({k: other if k == "other" else (1 - other) * wanted[k] / listed for k in have})
+    return margins
+
+
+def _shares(cells: dict[tuple[str, str, str], int], chance: dict[tuple[str, str, str], float] | None, i: int) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for c, n in cells.items():
+        if n:
+            out[c[i]] = out.get(c[i], 0.0) + n * (1.0 if chance is None else chance[c])
+    total = sum(out.values())
+    return {k: v / total for k, v in out.items()}
+
+
+def expected_shares(cells: dict[tuple[str, str, str], int], chance: dict[tuple[str, str, str], float], targets: Targets) -> list[dict[str, tuple[float, float]]]:
+    """Per margin and category the target share and the expected share of the kept tokens."""
+    real = {c: n for c, n in cells.items() if n}
+    return [{k: (goal[k], have[k]) for k in goal} for goal, have in ((g, _shares(real, chance, i)) for i, g in enumerate(_goals(real, targets)))]
+
+
+def rake_held(cells: dict[tuple[str, str, str], int], targets: Targets) -> dict[tuple[str, str, str], float]:
+    """The probability of each cell, such that the margins hold although none is above 1.
+
+    Raking goes on over bounded probabilities.  Where the targets cannot all be
+    met at the wanted share of tokens, the share is lowered to the greatest at
+    which they are, to within TOLERANCE, or as nearly as without any bound
+    where cells that the corpus lacks keep them from being met at all.
+    """
+    cells = {c: n for c, n in cells.items() if n}
+    if not cells:
+        return {}
+    n = np.array(list(cells.values()), dtype=np.float64)
+    at, goals = [], []
+    for i, goal in enumerate(_goals(cells, targets)):
+        names = {k: j for j, k in enumerate(goal)}
+        at.append(np.array([names[c[i]] for c in cells]))
+        goals.append(np.array(list(goal.values())) * n.sum())
+
+    def solve(keep: float, most: float) -> tuple[np.ndarray, float]:
+        p = np.full(len(n), keep)
+        for _ in range(BOUNDED_ROUNDS):
+            for a, goal in zip(at, goals, strict=True):
+                now = np.bincount(a, n * p, len(goal))
+                p = np.minimum(most, p * (np.divide(keep * goal, now, out=np.zeros(len(goal)), where=now > 0))[a])
+            error = max(np.abs(np.bincount(a, n * p, len(goal)) / (keep * n.sum()) - goal / n.sum()).max() for a, goal in zip(at, goals, strict=True))
+            if error < TOLERANCE / 10:
+                break
+        return p, error
+
+    allowed = solve(targets.keep, np.inf)[1] + TOLERANCE
+    best, error = solve(targets.keep, 1.0)
+    if error > allowed:
+        low, high = 0.0, targets.keep
+        best = None
+        for _ in range(SCALINGS):
+            middle = (low + high) / 2
+            p, error = solve(middle, 1.0)
+            low, high, best = (middle, high, p) if error <= allowed else (low, middle, best)
+        if best is None:
+            best = solve(high, 1.0)[0]
+    return dict(zip(cells, best.tolist(), strict=True))
+
+
+def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", raking: Callable = rake_held) -> DataFrame:
     """The sampled rows of docs, with the columns mix_topic, mix_tokens and mix_probability."""
     targets = targets or Targets()
     text = text_of(text_col)
@@ -94,7 +172,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id",
     keys = ["mix_source", "mix_lang", "mix_topic"]
     sums = docs.select(*[c.alias(n) for n, c in marked.items()]).groupBy(*keys).agg(F.sum("mix_tokens").alias("n"))
     sums = Steps(docs.sparkSession, "mixing").write(sums, "cells")
-    chance = rake({(r[0], r[1], r[2]): r[3] for r in sums.orderBy(*keys).collect()}, targets)
+    chance = raking({(r[0], r[1], r[2]): r[3] for r in sums.orderBy(*keys).collect()}, targets)
     table = docs.sparkSession.createDataFrame([(*c, p) for c, p in chance.items()], "mix_source string, mix_lang string, mix_topic string, p double")
     # a row per cell, bounded by the targets
     out = docs.withColumns(marked).join(F.broadcast(table), keys, "left").withColumn("mix_probability", F.coalesce("p", F.lit(1.0)))
@@ -102,7 +180,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id",
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), raking=rake)
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
 
 

@@ -202,6 +202,35 @@ def test_op6_matches_sql(spark, odd, none):
     assert set(odd.columns) <= set(out.columns) and mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_op6_margins_hold(spark, hot):
+    """Expected and drawn shares against the targets, also with three rows of ten moved to one source."""
+    t = mixing.Targets()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < hot, "src0").otherwise(F.col("source")))
+    everything = mixing.mix(docs, raking=lambda cells, _: dict.fromkeys(cells, 1.0)).toPandas()
+    everything[["source", "lang"]] = everything[["source", "lang"]].fillna("other")
+    cells = everything.groupby(["source", "lang", "mix_topic"])["mix_tokens"].sum().to_dict()
+    chance = mixing.rake_held(cells, t)
+    assert all(0 <= p <= 1 for p in chance.values())
+    kept = sum(n * chance.get(c, 1.0) for c, n in cells.items()) / sum(cells.values())
+    assert 0.55 < kept <= t.keep + 0.001
+    assert all(abs(a - b) < 0.002 for margin in mixing.expected_shares(cells, chance, t) for a, b in margin.values())
+    drawn = mixing.mix(docs).toPandas()
+    share = drawn.groupby("lang")["mix_tokens"].sum() / drawn["mix_tokens"].sum()
+    assert all(abs(share[k] - v) < 0.015 for k, v in t.lang.items())
+
+
+def test_op6_impossible_targets():
+    few = {("a", "x", "0"): 90, ("b", "y", "0"): 10}
+    t = mixing.Targets(source={"a": 0.5, "b": 0.5}, lang={"x": 0.5, "y": 0.5}, topic={"0": 1.0})
+    got = mixing.rake_held(few, t)
+    assert got["b", "y", "0"] > 0.98 and 90 * got["a", "x", "0"] == pytest.approx(10, rel=0.03)
+    # sources and languages that are the same rows cannot have different targets
+    assert all(0 < p <= 1 for p in mixing.rake_held(few, mixing.Targets(source={"a": 0.5, "b": 0.5}, lang={"x": 0.8, "y": 0.2}, topic={"0": 1.0})).values())
+    assert mixing.rake_held({}, t) == {} and mixing.rake_held({("a", "x", "0"): 0}, t) == {}
+
+
 def test_op7_metrics(spark, odd, none):
     got = quality.quality(odd).toPandas()
     for t, r in zip(odd.toPandas()["text"], got.itertuples(), strict=True):
