@@ -83,6 +83,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return t.withColumns({"hi": F.xxhash64("text"), "lo": F.hash("text")})
 
 
+def id_keys(id_col: str = "doc_id") -> dict:
+    """Columns _id and _null, which join equal ids and also rows without one."""
+    return {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_null": F.col(id_col).isNull()}
+
+
 def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -21,7 +21,8 @@ Defined cases.  Words are ``[^\\x20\\x09-\\x0D]+``.  Null text is empty.  A
 text of 1 to n - 1 words has one shingle, its words.  Texts without a word
 have no links and are a class each (of one row, or of equal rows).  Equal
 texts are handled once, with a copy count; each copy links to every other.
-Only the id and text columns are read.
+Rows without an id are compared and counted like others; a class in which no
+row has an id has a null class_id.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Steps, binaries, components, keyed
+from .common import Steps, binaries, components, id_keys, keyed
 from .substring import chunks
 from .wordhash import hash_words, mix, signed, window_hashes
 
@@ -243,8 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Classes of texts connected by links, a link being a shingle Jaccard similarity of ``threshold`` or more.
 
     Returns (rows, texts): ``rows`` is (doc_id, hi, lo) of every input row and
-    ``texts`` is (hi, lo, first_id, copies, n_words, class_id, n_links) of
-    every distinct text.  class_id is the least id in the class; n_links
+    ``texts`` is (hi, lo, first_id, copies, n_words, class_id, stays, n_links)
+    of every distinct text.  class_id is the least id in the class, null where
+    no row of the class has an id; stays is true for one text of each class,
+    the one with the least id (of texts without one, the least key); n_links
     counts rows linked to a row of the text, its copies included.
     """
     runs = min(SKETCH, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
@@ -263,15 +266,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(dealt / SMALL)))
     blocks = steps.write(members.join(total.drop("m"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
     keys = blocks.select("hi", "lo", F.col("first_id").alias("doc_id"), "component", "node", "copies", "block", "blocks")
-    # a merge join at every size: the candidates grow with the input
-    texts = steps.write(rows.where("text is not null").join(keys.hint("merge"), ["hi", "lo", "doc_id"]).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
+    # a merge join at every size: the candidates grow with the input; it has repeated rows together already
+    named, at = id_keys(), ["hi", "lo", "_id", "_null"]
+    texts = steps.write(rows.where("text is not null").withColumns(named).drop("doc_id").join(keys.withColumns(named).drop("doc_id").hint("merge"), at).dropDuplicates(at).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
     checked = steps.write(_exact(texts, threshold, n, tasks), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     group = components(checked.where("a <> b").select("a", "b"), steps)
     all_sets = sets.drop("sketch").join(links, "node", "left").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     all_sets = steps.write(all_sets, "classed")
-    least = steps.write(all_sets.groupBy("root").agg(F.min("first_id").alias("class_id")), "classes")
-    out = all_sets.join(least, "root").select("hi", "lo", "first_id", "copies", "n_words", "class_id", F.when(F.col("n_words") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    place = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "hi", "lo")
+    least = all_sets.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(place).alias("least"))
+    least = steps.write(least.select("root", "class_id", F.col("least.hi").alias("_hi"), F.col("least.lo").alias("_lo")), "classes")
+    stays = ((F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).alias("stays")
+    out = all_sets.join(least, "root").select("hi", "lo", "first_id", "copies", "n_words", "class_id", stays, F.when(F.col("n_words") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"))
     return rows.select("doc_id", "hi", "lo"), steps.write(out, "result")
 
 

@@ -95,6 +95,27 @@ def test_op1_odd_rows(spark, odd, none):
     assert jaccard.near_duplicates(none)[1].count() == 0
 
 
+@pytest.fixture(scope="module")
+def nameless(spark):
+    """A text under a null id that is near to one with an id and to another without, two near texts without any id, a repeated one alone, and id 0."""
+    chain = [words(40, "c") + x for x in ("", " end", " end of it")]
+    rows = [(0, words(40, "z")), (5, chain[0]), (None, chain[1]), (9, chain[2]), (None, words(40, "n")), (None, words(40, "n") + " end"), (None, words(30, "u")), (None, words(30, "u")), (None, None), (7, words(20, "v"))]
+    return spark.createDataFrame([(i, t, "en", "src0", None, 1, "h", 2) for i, t in rows], DOCS)
+
+
+def test_op1_null_ids(spark, nameless):
+    rows, texts = jaccard.near_duplicates(nameless)
+    got = rows.join(texts, ["hi", "lo"]).join(nameless.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hi"), "text").distinct(), "hi").select("text", "class_id", "n_links", "stays").distinct().toPandas()
+    by = {t: (None if pd.isna(c) else int(c), n, s) for t, c, n, s in got.itertuples(index=False)}
+    want = expected_links([(r.text, r.text) for r in nameless.select("text").where("text is not null").distinct().collect()])
+    copies = Counter(r.text for r in nameless.select("text").collect())
+    assert all(by[t][1] == n + copies[t] - 1 for t, (_, n) in want.items())
+    c, n = words(40, "c"), words(40, "n")
+    assert [by[c + x] for x in ("", " end", " end of it")] == [(5, 2, True), (5, 2, False), (5, 2, False)]
+    assert [by[x][:2] for x in (n, n + " end")] == [(None, 1)] * 2 and by[n][2] != by[n + " end"][2]
+    assert by[words(30, "u")] == (None, 1, True) and by[words(40, "z")] == (0, 0, True)
+
+
 def expected_removal(docs):
     seen, own = Counter(), []
     for i, t in docs:

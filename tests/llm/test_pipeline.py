@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import expected_links, expected_removal
+from tests.llm.test_operators import expected_links, expected_removal, nameless, words  # noqa: F401
 from tests.oracle import SF
 
 
@@ -35,3 +35,11 @@ def test_toxic_documents_go(spark, stages):
     left = set(stages[1].toPandas()["doc_id"])
     toxic, fine = labels[labels["toxic"] == 1]["doc_id"], labels[labels["toxic"] == 0]["doc_id"]
     assert sum(i in left for i in toxic) <= 0.4 * len(toxic) and sum(i in left for i in fine) >= 0.97 * len(fine)
+
+
+def test_null_ids_stay(spark, nameless):  # noqa: F811
+    got = corpus_pipeline.drop_near_duplicates(spark, nameless, SF).toPandas()
+    assert list(got.columns) == nameless.columns and len(got) == 6
+    texts = list(got["text"])
+    assert {words(40, "z"), words(40, "c"), words(30, "u"), words(20, "v")} < set(texts) and texts.count(None) == 1
+    assert sum(t in (words(40, "n"), words(40, "n") + " end") for t in texts) == 1
