@@ -8,13 +8,42 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def term_counts(docs: DataFrame, group: str, doc: str, text: str, stop: list[str] | None = None) -> DataFrame:
-    """(group, doc, term, n): words and pairs of neighbouring words; stop words go before pairs are formed."""
+def terms_of(text: str, stop: list[str] | None = None) -> Column:
+    """Words and pairs of neighbouring words; stop words go before pairs are formed."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
     if stop:
         tokens = F.filter(tokens, lambda t: ~t.isin(stop))
     pairs = F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return docs.select(group, doc, F.explode(F.concat(tokens, pairs)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+    return F.concat(tokens, pairs)
+
+
+def term_counts(docs: DataFrame, group: str, doc: str, text: str, stop: list[str] | None = None) -> DataFrame:
+    """(group, doc, term, n) of ``terms_of``."""
+    return docs.select(group, doc, F.explode(terms_of(text, stop)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+
+
+def english_stop_words() -> list[str]:
+    """Spark's list, which is shorter than the reference's."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def tfidf_vectors(docs: DataFrame, doc: str, text: str, features: int = 500, stop: list[str] | None = None) -> DataFrame:
+    """(doc, features): sparse vectors of the weights of ``tfidf`` over the most frequent terms of the whole table, ties to the lesser term.  Zero where a text has none of them."""
+    from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    terms = docs.select(doc, terms_of(text, stop).alias("_terms"))
+    counts = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    vocabulary = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(features).collect()]
+    if not vocabulary:
+        return terms.select(doc, F.lit(None).alias("features")).where("false")
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, "_terms", "_tf")
+    tf = counted.transform(terms).select(doc, "_tf")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol="_tf", outputCol="_w").transform(tf)
+    return Normalizer(inputCol="_w", outputCol="features").transform(weighted).select(doc, "features")
 
 
 def tfidf(counts: DataFrame, docs: DataFrame, group: str, doc: str) -> DataFrame:
@@ -37,19 +66,21 @@ def n_clusters(rows: int, most: int = 15) -> int:
     return min(max(1, rows // 3), rows, most)
 
 
-def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, seeds: range = range(42, 45)) -> DataFrame:
-    """(id, cluster): the cheapest of several seeded runs; one cluster each if there are no more rows than clusters."""
+def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, seeds: range = range(42, 45), place: bool = False) -> DataFrame:
+    """(id, cluster): the cheapest of several seeded runs, with single rows placed if asked for; one cluster each if there are no more rows than clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features")).persist()
+    ready = df.schema[vec_col].dataType.typeName() != "array"
+    data = df.select(F.col(id_col).alias("id"), (F.col(vec_col) if ready else array_to_vector(F.col(vec_col).cast("array<double>"))).alias("features")).persist()
     n = data.count()
     k = k or n_clusters(n)
     if n < 2 or k >= n:
         return data.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"))
     models = [KMeans(k=k, seed=s).fit(data) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("id", F.col("prediction").alias("cluster"))
+    found = best.transform(data).select("id", F.col("prediction").alias("cluster"), "features")
+    return place_singles(found, "id", "cluster", "features") if place else found.select("id", "cluster")
 
 
 def long_form(df: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
@@ -64,12 +95,28 @@ def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, lea
     centroid = long_form(kept, id_col, vec_col, cluster).groupBy(cluster, "dim").agg(F.avg("x").alias("c"))
     centroid = centroid.withColumn("cn", F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(cluster))))
     own = long_form(orphans, id_col, vec_col).withColumn("xn", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col))))
-    near = own.join(centroid, "dim").groupBy(id_col, cluster).agg((F.sum(F.col("x") * F.col("c")) / (F.max("xn") * F.max("cn"))).alias("cosine"))
+    near = own.join(centroid, "dim").groupBy(id_col, cluster).agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("c")), F.max("xn") * F.max("cn")), F.lit(0.0)).alias("cosine"))
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("cosine"), cluster))).where("_r = 1").select(id_col, cluster)
     placed = orphans.select(id_col).join(best, id_col, "left").withColumn(cluster, F.coalesce(cluster, F.lit(0)))
     return kept.select(id_col, cluster).unionByName(placed)
 
 
+def place_singles(df: DataFrame, id_col: str, cluster: str, vec_col: str) -> DataFrame:
+    """(id, cluster) as by ``reassign_orphans`` with least 2, for sparse vectors and few clusters: it is given the orphans and, twice each, the kept centroids."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = df.groupBy(cluster).agg(F.count("*").alias("n"), Summarizer.mean(F.col(vec_col)).alias("v")).select(cluster, "n", vector_to_array("v").alias("v")).collect()
+    if all(r["n"] > 1 for r in means):
+        return df.select(id_col, cluster)
+    rows = [(r[cluster] if k == 0 else -1 - r[cluster], r[cluster], r["v"]) for r in means for k in range(min(2, r["n"]))]
+    small = df.sparkSession.createDataFrame(rows, "id int, cluster int, v array<double>")
+    alone = {r[cluster] for r in means if r["n"] < 2}
+    to = {r["id"]: r["cluster"] for r in reassign_orphans(small, "id", "cluster", "v").collect() if r["id"] in alone}
+    moved = F.create_map(*[F.lit(x) for p in to.items() for x in p])
+    return df.select(id_col, F.coalesce(F.try_element_at(moved, F.col(cluster)), F.col(cluster)).alias(cluster))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

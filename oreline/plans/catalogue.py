@@ -356,15 +356,8 @@ def kmeans_embeddings(spark, sf):
 
 @query()
 def kmeans_tfidf(spark, sf):
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(topics.TOKEN), 0).alias("terms"))
-    counted = HashingTF(numFeatures=256, inputCol="terms", outputCol="tf").transform(d)
-    weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
-    from pyspark.ml.functions import vector_to_array
-
-    unit = Normalizer(inputCol="idf", outputCol="unit").transform(weighted)
-    return topics.kmeans(unit.select("doc_id", vector_to_array("unit").alias("v")), "doc_id", "v", seeds=range(42, 43))
+    vectors = topics.tfidf_vectors(table(spark, sf, "documents"), "doc_id", "text", stop=topics.english_stop_words())
+    return topics.kmeans(vectors, "doc_id", "features", seeds=range(42, 52), place=True)
 
 
 # ---- cards
