@@ -28,15 +28,16 @@ def workspace(spark: SparkSession) -> str:
 
 
 class Steps:
-    """Tables written to the work folder, which cut lineage and survive lost executors.
+    """Tables written to the work folder, or to ``base``, which cut lineage and survive lost executors.
 
     ``write`` returns the reread table.  ``drop`` deletes tables that no later
-    step reads; those behind a returned DataFrame stay.
+    step reads; those behind a returned DataFrame stay.  Bucketed tables are
+    in the catalogue only while they are written or opened.
     """
 
-    def __init__(self, spark: SparkSession, tag: str):
+    def __init__(self, spark: SparkSession, tag: str, base: str | None = None):
         self.spark = spark
-        self.base = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.base = base or f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -51,6 +52,7 @@ class Steps:
             table = f"w{uuid.uuid4().hex}"
             writer.option("path", path).format("parquet").bucketBy(n, *columns).sortBy(*columns).saveAsTable(table)
             out = self.spark.table(table)
+            self.spark.sql(f"DROP TABLE {table}")  # the files stay
         else:
             writer.parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
@@ -58,6 +60,16 @@ class Steps:
         tidy(self.spark)
         return out
 
+    def open(self, path: str, schema: str, bucket: tuple[int, *tuple[str, ...]]) -> DataFrame:
+        """A bucketed table written before, maybe by another session."""
+        n, *columns = bucket
+        table, keys = f"w{uuid.uuid4().hex}", ", ".join(columns)
+        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {n} BUCKETS LOCATION '{path}'")
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        out._oreline_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
@@ -66,6 +78,11 @@ class Steps:
             p.getFileSystem(conf).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps that are written and no longer referenced."""
     gc.collect()
@@ -83,9 +100,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return t.withColumns({"hi": F.xxhash64("text"), "lo": F.hash("text")})
 
 
-def id_keys(id_col: str = "doc_id") -> dict:
-    """Columns _id and _null, which join equal ids and also rows without one."""
-    return {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_null": F.col(id_col).isNull()}
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as in a schema."""
+    return df.schema[column].dataType.simpleString()
+
+
+def id_keys(kind: str, id_col: str = "doc_id") -> dict:
+    """Columns _id and _null, which join equal ids of the type ``kind`` and also rows without one."""
+    none = F.lit("") if kind == "string" else F.lit(0).cast(kind)
+    return {"_id": F.coalesce(F.col(id_col), none), "_null": F.col(id_col).isNull()}
 
 
 def binaries(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Steps, binaries, components, id_keys, keyed
+from .common import Steps, binaries, components, id_keys, keyed, kind_of
 from .substring import chunks
 from .wordhash import hash_words, mix, signed, window_hashes
 
@@ -74,7 +74,7 @@ def sketches(rows: DataFrame, n: int = NGRAM) -> DataFrame:
                     out.append((np.asarray(low, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hi"), batch.column("lo"), pa.array(count, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "hi", "lo", "n_words", "sketch"])
 
-    return rows.select("doc_id", "hi", "lo", "text").mapInArrow(run, "doc_id long, hi long, lo int, n_words long, sketch binary")
+    return rows.select("doc_id", "hi", "lo", "text").mapInArrow(run, f"doc_id {kind_of(rows, 'doc_id')}, hi long, lo int, n_words long, sketch binary")
 
 
 def _token(at) -> F.Column:
@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = min(SKETCH, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     steps = Steps(docs.sparkSession, "jaccard")
     rows = keyed(docs, id_col, text_col)
-    # the node of a text is its 64-bit key; a second key tells apart texts that share it
-    sets = steps.write(sketches(rows, n).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("hi", "lo")), "sets")
+    # a text's node is a number of its own, fixed once this table is written
+    sets = steps.write(sketches(rows, n).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "sets")
     worded = sets.where("n_words > 0").select("node", "sketch")
     leaves, stars = _buckets(worded, runs, steps)
     near = components(_edges(leaves.join(worded, "node"), threshold).unionByName(stars), steps)
@@ -263,11 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = total.select("component", "m", F.greatest(F.ceil(F.col("m") / SMALL), F.ceil(F.col("w") / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
     total = steps.write(total, "totals")
     dealt = total.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(dealt / SMALL)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(dealt / SMALL))
     blocks = steps.write(members.join(total.drop("m"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
     keys = blocks.select("hi", "lo", F.col("first_id").alias("doc_id"), "component", "node", "copies", "block", "blocks")
     # a merge join at every size: the candidates grow with the input; it has repeated rows together already
-    named, at = id_keys(), ["hi", "lo", "_id", "_null"]
+    named, at = id_keys(kind_of(rows, "doc_id")), ["hi", "lo", "_id", "_null"]
     texts = steps.write(rows.where("text is not null").withColumns(named).drop("doc_id").join(keys.withColumns(named).drop("doc_id").hint("merge"), at).dropDuplicates(at).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
     checked = steps.write(_exact(texts, threshold, n, tasks), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -1,32 +1,30 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Method.  Tokens are summed per cell of source, language and topic.  Raking
-scales the cells' probabilities to each margin's target shares in turn, none
-above 1, until all hold; where they cannot at the wanted share of all tokens,
-that share is lowered (``rake_held``).  A document is then kept with its
-cell's probability.  The draw is a hash of the id, so it is the same in every
-run.
+scales the cells' probabilities to each margin's targets in turn, none above 1.
+The first PUSHED rounds aim at the wanted share of all tokens; in the others,
+what the bound takes off lowers the share that is kept instead of shifting the
+margins, so these hold to about 1e-5 where the cells allow it at all.  A document is then kept with its cell's probability.  The draw is a hash
+of the id, so it is the same in every run.
 
-The query ``op6_mixing`` is bound to its SQL, which rakes without a bound,
-clips at 1 and raises the scale (``rake``): its margins hold only as far as
-few cells are clipped.
+The topic of a text is decided by all its words of five or more letters: each
+distinct one, in lower case, votes for the topic that its hash names, and the
+topic with most votes wins (the lesser of equal ones).  A text without such
+words has no topic.
 
 Categories without a target form 'other', which keeps its observed share, so
-there are at most (sources + 1) * (languages + 1) * topics cells whatever the
-corpus; only these reach the driver.  Targets of categories that the corpus
-lacks are spread over the others.
-
-The topic of a text is a bucket of its first word of five or more ASCII
-letters.  Tokens are words ``[^\\x20\\x09-\\x0D]+``.
+there are at most (sources + 1) * (languages + 1) * (topics + 1) cells whatever
+the corpus; only these reach the driver.  Targets of categories that the corpus
+lacks are spread over the others.  Tokens are words ``[^\\x20\\x09-\\x0D]+``.
 
 Defined cases.  Null text has no tokens and weighs nothing, but is drawn like
-the rest of its cell.  Null source or language is 'other'.  Repeated rows have
-one draw.  An empty table gives no rows.
+the rest of its cell; a cell without any token is drawn at the share to keep.
+Null source or language is 'other'.  Repeated rows have one draw.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,13 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import Steps, text_of
 
-TOPICS, ROUNDS, SCALINGS = 8, 20, 20
-BOUNDED_ROUNDS, TOLERANCE = 300, 0.001
+TOPICS, PUSHED, ROUNDS = 8, 40, 70
+
+Cell = tuple[str, str, str]
 
 
 @dataclass(frozen=True)
 class Targets:
-    """Target shares of the tokens, per margin, and the share of all tokens to keep."""
+    """Target shares of the tokens, per margin, and the share of all tokens to keep at most."""
 
     source: dict = field(default_factory=lambda: {f"src{i}": 0.05 for i in range(20)})
     lang: dict = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15})
@@ -50,13 +49,19 @@ class Targets:
 
 
 def topic_of(text: Column) -> Column:
-    word = F.lower(F.regexp_extract(text, "[A-Za-z]{5,}", 0))
-    return (F.conv(F.substring(F.md5(word.cast("binary")), 1, 6), 16, 10).cast("long") % TOPICS).cast("string")
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}{5,}"), F.lit(0)), F.lower))
+    votes = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("long") % TOPICS).cast("int"))
+    return F.transform(F.array(votes), lambda v: F.when(F.size(v) > 0, _most(v)).otherwise(F.lit("other")))[0]
+
+
+def _most(votes: Column) -> Column:
+    counts = F.transform(F.sequence(F.lit(0), F.lit(TOPICS - 1)), lambda k: F.size(F.filter(votes, lambda x: x == k)))
+    return F.transform(F.array(counts), lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("string"))[0]
 
 
-def draw_of(id_col: str) -> Column:
+def draw_of(id_col: str | Column) -> Column:
     """A number from 0 to below 1 that the id decides."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -64,124 +69,74 @@ def _category(column: Column, known: dict) -> Column:
     return F.when(column.isin(list(known)), column).otherwise(F.lit("other"))
 
 
-def rake(cells: dict[tuple[str, str, str], int], targets: Targets) -> dict[tuple[str, str, str], float]:
-    """The probability of each cell, as in the SQL: clipped at 1 after raking, which margins do not survive where many cells are clipped."""
-    cells = {c: n for c, n in cells.items() if n}
-    total = sum(cells.values())
-    weight = dict.fromkeys(cells, 1.0)
-    margins = []
-    for i, wanted in enumerate((targets.source, targets.lang, targets.topic)):
-        have: dict[str, int] = {}
-        for c, n in cells.items():
-            have[c[i]] = have.get(c[i], 0) + n
-        other = have.get("other", 0) / total if total else 0
-        listed = sum(v for k, v in wanted.items() if k in have)
-        margins.append({k: other if k == "other" else (1 - other) * wanted[k] / listed for k in have})
-    for _ in range(ROUNDS):
-        for i, goal in enumerate(margins):
-            now: dict[str, float] = {}
-            for c, n in cells.items():
-                now[c[i]] = now.get(c[i], 0.0) + n * weight[c]
-            for c in cells:
-                weight[c] *= goal[c[i]] * total / now[c[i]]
-    scale, full = targets.keep, 0.0
-    for _ in range(SCALINGS):
-        full = sum(n for c, n in cells.items() if scale * weight[c] >= 1)
-        rest = sum(n * weight[c] for c, n in cells.items() if scale * weight[c] < 1)
-        if not rest:
-            break
-        scale = max(scale, (targets.keep * total - full) / rest)
-    return {c: min(1.0, scale * w) for c, w in weight.items()}
-
-
-def _goals(cells: dict[tuple[str, str, str], int], targets: Targets) -> list[dict[str, float]]:
+def _shares(cells: dict[Cell, float], i: int) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for c, n in cells.items():
+        out[c[i]] = out.get(c[i], 0.0) + n
+    total = sum(out.values())
+    return {k: v / total for k, v in out.items()}
+
+
+def goals(cells: dict[Cell, int], targets: Targets) -> list[dict[str, float]]:
     """The share of the tokens that each category of each margin is to have."""
-    total = sum(cells.values())
     margins = []
     for i, wanted in enumerate((targets.source, targets.lang, targets.topic)):
-        have = _shares(cells, None, i)
-        other = have.get("other", 0.0) if total else 0.0
+        have = _shares(cells, i)
+        other = have.get("other", 0.0)
         listed = sum(v for k, v in wanted.items() if k in have)
         margins.append({k: other if k == "other" else (1 - other) * wanted[k] / listed for k in have})
     return margins
 
 
-def _shares(cells: dict[tuple[str, str, str], int], chance: dict[tuple[str, str, str], float] | None, i: int) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for c, n in cells.items():
-        if n:
-            out[c[i]] = out.get(c[i], 0.0) + n * (1.0 if chance is None else chance[c])
-    total = sum(out.values())
-    return {k: v / total for k, v in out.items()}
+def rake(cells: dict[Cell, int], targets: Targets) -> dict[Cell, float]:
+    """The probability of each cell with tokens."""
+    cells = {c: n for c, n in cells.items() if n}
+    if not cells:
+        return {}
+    n = np.array(list(cells.values()), dtype=np.float64)
+    margins = []
+    for i, goal in enumerate(goals(cells, targets)):
+        names = {k: j for j, k in enumerate(goal)}
+        margins.append((np.array([names[c[i]] for c in cells]), np.array(list(goal.values()))))
+    p = np.full(len(n), targets.keep)
+    for k in range(ROUNDS):
+        for at, goal in margins:
+            now = np.bincount(at, n * p, len(goal))
+            aim = targets.keep * n.sum() if k < PUSHED else (n * p).sum()
+            p = np.minimum(1.0, p * (goal[at] * aim / now[at]))
+    return dict(zip(cells, p.tolist(), strict=True))
 
 
-def expected_shares(cells: dict[tuple[str, str, str], int], chance: dict[tuple[str, str, str], float], targets: Targets) -> list[dict[str, tuple[float, float]]]:
+def expected_shares(cells: dict[Cell, int], chance: dict[Cell, float], targets: Targets) -> list[dict[str, tuple[float, float]]]:
     """Per margin and category the target share and the expected share of the kept tokens."""
     real = {c: n for c, n in cells.items() if n}
-    return [{k: (goal[k], have[k]) for k in goal} for goal, have in ((g, _shares(real, chance, i)) for i, g in enumerate(_goals(real, targets)))]
-
+    kept = {c: n * chance[c] for c, n in real.items()}
+    return [{k: (goal[k], have[k]) for k in goal} for goal, have in ((g, _shares(kept, i)) for i, g in enumerate(goals(real, targets)))]
 
-def rake_held(cells: dict[tuple[str, str, str], int], targets: Targets) -> dict[tuple[str, str, str], float]:
-    """The probability of each cell, such that the margins hold although none is above 1.
 
-    Raking goes on over bounded probabilities.  Where the targets cannot all be
-    met at the wanted share of tokens, the share is lowered to the greatest at
-    which they are, to within TOLERANCE, or as nearly as without any bound
-    where cells that the corpus lacks keep them from being met at all.
-    """
-    cells = {c: n for c, n in cells.items() if n}
-    if not cells:
-        return {}
-    n = np.array(list(cells.values()), dtype=np.float64)
-    at, goals = [], []
-    for i, goal in enumerate(_goals(cells, targets)):
-        names = {k: j for j, k in enumerate(goal)}
-        at.append(np.array([names[c[i]] for c in cells]))
-        goals.append(np.array(list(goal.values())) * n.sum())
-
-    def solve(keep: float, most: float) -> tuple[np.ndarray, float]:
-        p = np.full(len(n), keep)
-        for _ in range(BOUNDED_ROUNDS):
-            for a, goal in zip(at, goals, strict=True):
-                now = np.bincount(a, n * p, len(goal))
-                p = np.minimum(most, p * (np.divide(keep * goal, now, out=np.zeros(len(goal)), where=now > 0))[a])
-            error = max(np.abs(np.bincount(a, n * p, len(goal)) / (keep * n.sum()) - goal / n.sum()).max() for a, goal in zip(at, goals, strict=True))
-            if error < TOLERANCE / 10:
-                break
-        return p, error
-
-    allowed = solve(targets.keep, np.inf)[1] + TOLERANCE
-    best, error = solve(targets.keep, 1.0)
-    if error > allowed:
-        low, high = 0.0, targets.keep
-        best = None
-        for _ in range(SCALINGS):
-            middle = (low + high) / 2
-            p, error = solve(middle, 1.0)
-            low, high, best = (middle, high, p) if error <= allowed else (low, middle, best)
-        if best is None:
-            best = solve(high, 1.0)[0]
-    return dict(zip(cells, best.tolist(), strict=True))
-
-
-def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", raking: Callable = rake_held) -> DataFrame:
-    """The sampled rows of docs, with the columns mix_topic, mix_tokens and mix_probability."""
+def mix(docs: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(row, topic, tokens, probability) of the sampled rows; ``row`` holds all columns of docs, whatever their names."""
     targets = targets or Targets()
     text = text_of(text_col)
-    marked = {"mix_topic": topic_of(text), "mix_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "mix_source": _category(F.col(source_col), targets.source), "mix_lang": _category(F.col(lang_col), targets.lang)}
-    keys = ["mix_source", "mix_lang", "mix_topic"]
-    sums = docs.select(*[c.alias(n) for n, c in marked.items()]).groupBy(*keys).agg(F.sum("mix_tokens").alias("n"))
-    sums = Steps(docs.sparkSession, "mixing").write(sums, "cells")
-    chance = raking({(r[0], r[1], r[2]): r[3] for r in sums.orderBy(*keys).collect()}, targets)
-    table = docs.sparkSession.createDataFrame([(*c, p) for c, p in chance.items()], "mix_source string, mix_lang string, mix_topic string, p double")
+    marks = {
+        "draw": draw_of(id_col), "topic": topic_of(text), "tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+        "mix_source": _category(F.col(source_col), targets.source), "mix_lang": _category(F.col(lang_col), targets.lang),
+    }
+    steps = Steps(docs.sparkSession, "mixing")
+    # the votes cost more than a copy of the texts, so they are counted once
+    marked = steps.write(docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in marks.items()]), "marked")
+    keys = ["mix_source", "mix_lang", "topic"]
+    sums = marked.groupBy(*keys).agg(F.sum("tokens").alias("n"))
+    chance = rake({(r[0], r[1], r[2]): r[3] for r in sums.orderBy(*keys).collect()}, targets)
+    table = docs.sparkSession.createDataFrame([(*c, p) for c, p in chance.items()], "mix_source string, mix_lang string, topic string, p double")
     # a row per cell, bounded by the targets
-    out = docs.withColumns(marked).join(F.broadcast(table), keys, "left").withColumn("mix_probability", F.coalesce("p", F.lit(1.0)))
-    return out.where(draw_of(id_col) < F.col("mix_probability")).drop("mix_source", "mix_lang", "p")
+    out = marked.join(F.broadcast(table), keys, "left").withColumn("probability", F.coalesce("p", F.lit(targets.keep)))
+    return out.where(F.col("draw") < F.col("probability")).select("row", "topic", "tokens", "probability")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), raking=rake)
-    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
 
 
 def _sql() -> str:
@@ -190,8 +145,10 @@ def _sql() -> str:
     values = lambda d: ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in d.items())
     parts = [
         f"docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, CASE WHEN source IN ({', '.join(map(repr, t.source))}) THEN source ELSE 'other' END AS s, CASE WHEN lang IN ({', '.join(map(repr, t.lang))}) THEN lang ELSE 'other' END AS l FROM documents)",
-        r"marked AS (SELECT doc_id, source, lang, s, l, ((('0x' || substr(md5(lower(regexp_extract(t, '[A-Za-z]{5,}'))), 1, 6))::BIGINT) % 8)::VARCHAR AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM docs)",
-        "w0 AS MATERIALIZED (SELECT s, l, topic, sum(tokens)::DOUBLE AS n, 1.0::DOUBLE AS w FROM marked GROUP BY ALL HAVING sum(tokens) > 0)",
+        rf"votes AS (SELECT *, list_transform(list_distinct(list_transform(regexp_extract_all(t, '\p{{L}}{{5,}}'), lambda w: lower(w))), lambda w: (('0x' || substr(md5(w), 1, 6))::BIGINT) % {TOPICS}) AS v FROM docs)",
+        f"counted AS (SELECT *, list_transform(range({TOPICS}), lambda k: len(list_filter(v, lambda x: x = k))) AS c FROM votes)",
+        r"marked AS MATERIALIZED (SELECT doc_id, source, lang, s, l, CASE WHEN len(v) = 0 THEN 'other' ELSE (list_position(c, list_max(c)) - 1)::VARCHAR END AS topic, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM counted)",
+        f"w0 AS MATERIALIZED (SELECT s, l, topic, sum(tokens)::DOUBLE AS n, {t.keep}::DOUBLE AS p FROM marked GROUP BY ALL HAVING sum(tokens) > 0)",
     ]
     for k, (name, d) in {"s": ("source", t.source), "l": ("lang", t.lang), "topic": ("topic", t.topic)}.items():
         parts += [
@@ -199,17 +156,14 @@ def _sql() -> str:
             f"goal_{name} AS MATERIALIZED (SELECT h.k, CASE WHEN h.k = 'other' THEN share ELSE (1 - coalesce((SELECT share FROM have_{name} WHERE k = 'other'), 0)) * v.g / (SELECT sum(g) FROM (VALUES {values(d)}) AS x(k, g) WHERE k IN (SELECT k FROM have_{name})) END AS goal FROM have_{name} h LEFT JOIN (VALUES {values(d)}) AS v(k, g) ON h.k = v.k)",
         ]
     i = 0
-    for _ in range(ROUNDS):
+    for r in range(ROUNDS):
+        aim = f"{t.keep} * sum(n) OVER ()" if r < PUSHED else "sum(n * p) OVER ()"
         for k, name in (("s", "source"), ("l", "lang"), ("topic", "topic")):
-            parts.append(f"w{i + 1} AS MATERIALIZED (SELECT s, l, topic, n, w * goal * (SELECT sum(n) FROM w0) / sum(n * w) OVER (PARTITION BY w{i}.{k}) AS w FROM w{i} JOIN goal_{name} g ON g.k = w{i}.{k})")
+            parts.append(f"w{i + 1} AS MATERIALIZED (SELECT s, l, topic, n, least(1.0, p * (goal * ({aim}) / sum(n * p) OVER (PARTITION BY w{i}.{k}))) AS p FROM w{i} JOIN goal_{name} g ON g.k = w{i}.{k})")
             i += 1
-    parts.append(f"z0 AS MATERIALIZED (SELECT {t.keep}::DOUBLE AS z)")
-    for j in range(SCALINGS):
-        parts.append(f"z{j + 1} AS MATERIALIZED (SELECT greatest(any_value(z), coalesce(({t.keep} * sum(n) - coalesce(sum(n) FILTER (z * w >= 1), 0)) / sum(n * w) FILTER (z * w < 1), any_value(z))) AS z FROM w{i}, z{j})")
-    parts.append(f"p AS (SELECT s, l, topic, least(1.0, z * w) AS p FROM w{i}, z{SCALINGS})")
     return (
-        "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, m.topic, tokens, round(coalesce(p, 1.0), 6) AS probability FROM marked m LEFT JOIN p ON m.s = p.s AND m.l = p.l AND m.topic = p.topic "
-        "WHERE (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT) / 4503599627370496.0 < coalesce(p, 1.0)"
+        "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, m.topic, tokens, round(coalesce(p, {t.keep}), 6) AS probability FROM marked m LEFT JOIN w{i} w ON m.s = w.s AND m.l = w.l AND m.topic = w.topic "
+        f"WHERE (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT) / 4503599627370496.0 < coalesce(p, {t.keep})"
     )
 
 

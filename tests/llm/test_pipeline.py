@@ -1,6 +1,7 @@
 """Each stage of the pipeline on its own input, against brute force where it has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import expected_links, expected_removal, nameless, words  # noqa: F401
@@ -43,3 +44,21 @@ def test_null_ids_stay(spark, nameless):  # noqa: F811
     texts = list(got["text"])
     assert {words(40, "z"), words(40, "c"), words(30, "u"), words(20, "v")} < set(texts) and texts.count(None) == 1
     assert sum(t in (words(40, "n"), words(40, "n") + " end") for t in texts) == 1
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:]], ids=[n for n, _ in corpus_pipeline.STAGES[1:]])
+def test_clashing_columns_stay(spark, nameless, stage):  # noqa: F811
+    """Columns named like internal ones, null ids and texts, repeated rows; and no rows at all."""
+    extra = {c: F.lit(1) for c in ("_kept", "_hi", "hi", "lo", "row", "p", "kept_text", "draw", "topic", "_id", "starts", "mix_tokens")}
+    docs = nameless.withColumns(extra | {"source": F.lit("src0"), "lang": F.lit("en")})
+    got = stage(spark, docs, SF)
+    if stage is corpus_pipeline.encode:
+        assert got.count() == docs.count()
+    else:
+        assert got.columns == docs.columns and 0 < got.count() <= docs.count()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_is_its_stages(spark, stages):
+    got, want = corpus_pipeline.run(spark, SF).toPandas(), stages[-1].toPandas()
+    assert sorted(zip(got["doc_id"], got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"], want["n_tokens"], strict=True))
