@@ -94,23 +94,21 @@ def _buckets(sets: DataFrame, runs: int, steps: Steps) -> tuple[DataFrame, DataF
         level = steps.write(level, "level")
         sized = steps.write(level.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "sizes")
         # a merge join at every size: the sizes table grows with the input
-        leaves.append(level.join(sized.where(F.col("size") <= SMALL).select("bucket").hint("merge"), "bucket").select("bucket", "node"))
+        leaves.append(steps.write(level.join(sized.where(F.col("size") <= SMALL).select("bucket").hint("merge"), "bucket").select("bucket", "node"), "leaves"))
         large = sized.where(F.col("size") > SMALL)
         if large.limit(1).count() == 0:
             break
-        picks = [F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH)).cast("int") for k in range(TRIED)]
-        tokens = level.join(large, "bucket").join(sets.select("node", "sketch"), "node")
-        tokens = tokens.withColumns({f"at{k}": x for k, x in enumerate(picks)}).select("bucket", "size", "least", "node", *[F.expr(f"substring(sketch, 1 + 4 * at{k}, 4)").alias(f"t{k}") for k in range(TRIED)])
-        tokens = steps.write(tokens, "inside")
+        picks = F.array(*[_token(F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(SKETCH)).cast("int")) for k in range(TRIED)])
+        tokens = steps.write(level.join(large, "bucket").join(sets.select("node", "sketch"), "node").select("bucket", "size", "least", "node", picks.alias("tokens")), "inside")
         # the chance that two members share the token at a coordinate; its mean is the bucket's mean similarity
         square = F.col("n").cast("double") * F.col("n")
-        rates = [tokens.groupBy("bucket", "size", f"t{k}").agg(F.count("*").alias("n")).groupBy("bucket", "size").agg(F.sum(square).alias("same")).select("bucket", (F.col("same") / F.col("size") / F.col("size")).alias("rate"), F.lit(k).alias("k")) for k in range(TRIED)]
-        verdict = functools.reduce(DataFrame.unionByName, rates).groupBy("bucket").agg(F.avg("rate").alias("alike"), F.slice(F.sort_array(F.collect_list(F.struct("rate", "k"))), 1, SPLITS)["k"].alias("best"))
+        counts = tokens.select("bucket", "size", F.posexplode("tokens").alias("k", "token")).groupBy("bucket", "size", "k", "token").agg(F.count("*").alias("n"))
+        rates = counts.groupBy("bucket", "size", "k").agg(F.sum(square).alias("same")).select("bucket", "k", (F.col("same") / F.col("size") / F.col("size")).alias("rate"))
+        verdict = rates.groupBy("bucket").agg(F.avg("rate").alias("alike"), F.slice(F.sort_array(F.collect_list(F.struct("rate", "k"))), 1, SPLITS)["k"].alias("best"))
         verdict = steps.write(verdict.select("bucket", "best", ((F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)).alias("dense")), "verdict")
-        stars.append(tokens.select("bucket", "least", "node").join(verdict.where("dense").select("bucket"), "bucket").where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")))
+        stars.append(steps.write(tokens.select("bucket", "least", "node").join(verdict.where("dense").select("bucket"), "bucket").where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")), "stars"))
         split = tokens.join(verdict.where("not dense").select("bucket", "best"), "bucket")
-        found = F.array(*[F.xxhash64("bucket", F.lit(k), F.col(f"t{k}")) for k in range(TRIED)])
-        level = split.select("node", F.explode(F.transform("best", lambda k: F.get(found, k))).alias("bucket"))
+        level = split.select("node", F.explode(F.transform("best", lambda k: F.xxhash64("bucket", k, F.get("tokens", k)))).alias("bucket"))
     none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     return functools.reduce(DataFrame.unionByName, leaves), functools.reduce(DataFrame.unionByName, stars, none)
 

@@ -32,7 +32,7 @@ from .common import Steps, binaries, exists, keyed
 from .wordhash import hash_words, signed, sliding, window_hashes
 
 WINDOW, GRAM, BATCHES, MAX_RUNS = 35, 10, 3, 2
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _TEXTS, _RUN, _SHARED, _WINDOWS = "hi long, lo int, text string, copies long", "fp long, hi long, lo int, twice boolean", "fp long", "w1 long, w2 int, batch int, hi long, lo int, pos int"
 
 

@@ -12,7 +12,7 @@ buckets with the largest chi-square of all that occur in MIN_ROWS rows or
 more.  Only these two bounded tables reach the driver.
 
 Defined cases.  Null text is empty; an empty text scores sigmoid(b).  Labels
-without a value are not learnt from; an id with several labels counts as toxic
+without a value are not learnt from; equal rows are learnt from once; an id with several labels counts as toxic
 if one of them is.  Without any labelled row of both kinds every score is the
 share of toxic labels (0 if there are none).  Very long texts are hashed in
 pieces.
@@ -57,7 +57,7 @@ class FactorizationMachine:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
-        for a, b in chunks(texts, 4 << 20):
+        for a, b in chunks(texts, 1 << 20):
             who, term = terms_of(texts[a:b])
             at = self.slot[term]
             hit = at >= 0
@@ -106,15 +106,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lab = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null")
     lab = lab.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     lab = steps.write(lab, "labels")
-    # at most ``sample`` rows of two numbers
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(lab), "doc_id").select("y", "text")
-    rows = steps.write(rows.repartition(8), "rows")
+    # at most ``sample`` rows of two numbers; several texts under one id can make more, so the bound is put on them again
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(lab), "doc_id")
+    # equal rows say the same, so one of each is enough
+    rows = steps.write(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"]), "texts")
+    keys = rows.select("doc_id", "key").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample)
+    rows = steps.write(rows.join(F.broadcast(keys), ["doc_id", "key"], "left_semi").select("y", "text"), "rows")
 
     def count(batches):
         n, pos, neg = np.zeros(2, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32)
         for batch in batches:
             text, y = binaries(batch.column("text")), batch.column("y").to_numpy() > 0
-            for a, b in chunks(text):
+            for a, b in chunks(text, 1 << 20):
                 who, term = terms_of(text[a:b])
                 pair = np.unique(who << BITS | term)
                 who, term = pair >> BITS, pair & ((1 << BITS) - 1)
@@ -141,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             text = binaries(batch.column("text"))
             x = np.zeros((len(text), len(best)), dtype=bool)
-            for i, j in chunks(text):
+            for i, j in chunks(text, 1 << 20):
                 who, term = terms_of(text[i:j])
                 at = slot[term]
                 x[who[at >= 0] + i, at[at >= 0]] = True
