@@ -6,6 +6,9 @@ replacements; empty for an identity model), while the source offset of every
 normalised byte is recorded.  The pieces of the normalised text are then
 projected through that alignment to spans of bytes of the original text.
 
+A model without a map, as the public one, has an identity map: the alignment is
+then that of the space marks alone, through the same code.
+
 Speed.  A piece never crosses a place where white space follows something
 else, nor touches a character that only occurs as a piece of its own, if the
 vocabulary has no such piece.  Where this holds (it is tested on the
@@ -88,16 +91,19 @@ def mark_spaces(data: bytes, source: np.ndarray, prefix: bool, collapse: bool) -
     buf = np.frombuffer(data, dtype=np.uint8)
     keep = np.ones(len(buf), dtype=bool)
     blank = buf == 0x20
+    after = source[-1:]
     if collapse:
         keep = ~blank | np.concatenate([[False], ~blank[:-1]])
         last = np.flatnonzero(~blank)
-        keep[(last[-1] + 1 if len(last) else 0) :] = False
+        kept = last[-1] + 1 if len(last) else 0
+        keep[kept:] = False
+        after = source[kept : kept + 1]
     size = np.where(blank, 3, 1)[keep]
     at = source[:-1][keep]
     marked = data.replace(b" ", SPACE_MARK.encode()) if keep.all() else bytes(buf[keep]).replace(b" ", SPACE_MARK.encode())
     spread = np.repeat(at, size)
     head = [at[0]] * 3 if prefix and len(at) else []
-    return (SPACE_MARK.encode() if prefix and len(at) else b"") + marked, np.concatenate([np.array(head, dtype=np.int64), spread, source[-1:]]).astype(np.int64)
+    return (SPACE_MARK.encode() if prefix and len(at) else b"") + marked, np.concatenate([np.array(head, dtype=np.int64), spread, after]).astype(np.int64)
 
 
 class PieceCodec:
@@ -187,11 +193,6 @@ class PieceCodec:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece starts and ends in the UTF-8 bytes of the original text."""
-        if not self.map.units and not self.collapse and SPACE_MARK not in text and not (ids == self.unknown).any():
-            # the alignment in closed form: each normalised byte is its own source, each mark one space, the first mark nothing
-            at = np.concatenate([[0], np.cumsum(self.width[ids])]) - (1 if self.prefix and len(ids) else 0)
-            np.maximum(at, 0, out=at)
-            return at[:-1], at[1:]
         data, source = self.map.normalise(text.encode("utf-8", "replace"))
         marked, source = mark_spaces(data, source, self.prefix, self.collapse)
         size = self.length[ids]
