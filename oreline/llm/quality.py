@@ -1,13 +1,16 @@
 """Quality rules: divergence of a text from language references.
 
 Method.  A text's histogram over character classes, and its histogram over the
-common words of a language (all other words together), are compared with the
-reference of each language by the Jensen-Shannon distance (base 2, 0 to 1).
-References are counted over the whole corpus, by the language column.  A value
-of it is a reference only if it has LEAST_TEXTS texts of MIN_CHARS characters
-and MIN_WORDS words or more, and LEAST_CHARS characters in all.  Texts of other
-values are compared with the references there are.  A text is kept if one
-language is near enough on both.  Short texts have unreliable
+common words of a language (all other words together), are compared with a
+reference by the Jensen-Shannon distance (base 2, 0 to 1).  References are
+counted over the corpus by the language column, of each distinct text once and
+only of texts that pass the base rules, so neither copies nor junk shape them.
+A value of the column is a reference only if it has LEAST_TEXTS such texts of
+MIN_CHARS characters and MIN_WORDS words or more, LEAST_CHARS characters in all
+and a share of LEAST_SHARE of all characters, so there are at most
+1 / LEAST_SHARE references.  A text is compared with the reference of its own
+language; one whose language is no reference with each, and the nearest counts.
+It is kept if it is near enough on both histograms.  Short texts have unreliable
 histograms: below MIN_CHARS the character test, and below MIN_WORDS the word
 test, says nothing and passes.
 
@@ -31,7 +34,7 @@ from .wordhash import PUNCTUATION, hash_words, window_hashes
 
 WORD_BITS, COMMON = 13, 60
 MIN_CHARS, MIN_WORDS = 200, 50
-LEAST_TEXTS, LEAST_CHARS = 20, 20_000
+LEAST_TEXTS, LEAST_CHARS, LEAST_SHARE = 20, 20_000, 0.001
 #: About the 99.9th and the 99th percentile of the rows labelled good that pass the base rules at sf0.1 (0.227 and 0.376).
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.23, 0.38
 #: Character classes: 0 continuation byte, 1 white space, 2 lower case, 3 upper case, 4 digit, 5 sentence punctuation, 6 symbol, 7 other ASCII, 8 beyond ASCII.
@@ -74,6 +77,10 @@ def base_metrics(text: bytes, words: np.ndarray, classes: np.ndarray) -> tuple[i
     return len(words), int(classes[2:].sum()), int(classes[6]), len(lines) - len(set(lines)), repeated
 
 
+def base_failed(metrics: tuple[int, int, int, int, int]) -> bool:
+    return metrics[0] < 50 or 100 * metrics[4] > 50 * metrics[0]
+
+
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and hashed buckets of the lower-cased words, free of punctuation."""
     off, (h,) = hash_words([t.decode("utf-8", "replace").lower().encode("utf-8", "replace") for t in texts], 1, PUNCTUATION)
@@ -83,9 +90,9 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def references(docs: DataFrame, steps: Steps, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per language with texts enough: class shares, the COMMON most frequent word buckets, and their shares with that of all other words last.
 
-    Counted over all rows that name a language; a partition sends a row per
-    language and bucket, the driver gets at most COMMON + CLASSES + 1 rows per
-    reference.
+    Counted over each distinct text that names a language and passes the base
+    rules; a partition sends a row per language and bucket, the driver gets at
+    most COMMON + CLASSES + 1 rows per reference.
     """
     n_words, n_texts = 1 << WORD_BITS, (1 << WORD_BITS) + CLASSES
 
@@ -101,22 +108,29 @@ def references(docs: DataFrame, steps: Steps, text_col: str = "text", lang_col:
             text, lang = binaries(batch.column("text")), np.array(batch.column("lang").to_pylist(), dtype=object)
             for a, b in chunks(text):
                 off, word = _words(text[a:b])
+                raw, (own,) = hash_words(text[a:b])
+                classes = np.array([class_counts(t) for t in text[a:b]])
+                clean = np.array([not base_failed(base_metrics(t, own[raw[i] : raw[i + 1]], classes[i])) for i, t in enumerate(text[a:b])])
                 n = np.diff(off)
-                who = np.repeat(lang[a:b], n)
+                long_enough = clean & (n >= MIN_WORDS) & (classes[:, 1:].sum(1) >= MIN_CHARS)
                 for name in set(lang[a:b]):
+                    mine = clean & (lang[a:b] == name)
                     sums = total.setdefault(name, np.zeros(n_texts + 1, dtype=np.int64))
-                    mine = [class_counts(t) for t, x in zip(text[a:b], lang[a:b], strict=True) if x == name]
-                    sums[:n_words] += np.bincount(word[who == name], minlength=n_words)
-                    sums[n_words:n_texts] += np.sum(mine, axis=0)
-                    sums[n_texts] += sum(int(w >= MIN_WORDS and c[1:].sum() >= MIN_CHARS) for w, c in zip(n[lang[a:b] == name], mine, strict=True))
+                    sums[:n_words] += np.bincount(word[np.repeat(mine, n)], minlength=n_words)
+                    sums[n_words:n_texts] += classes[mine].sum(0)
+                    sums[n_texts] += (mine & long_enough).sum()
                     if len(total) > 256:
                         yield from rows_of(total)
         yield from rows_of(total)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.trim("lang") != "")
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.select(F.xxhash64(text).alias("hi"), F.hash(text).alias("lo"), text.alias("text"), lang.alias("lang")).where((F.trim("lang") != "") & (F.length("text") > 0))
+    # one row per text; the partial aggregate thins out copies before they are moved
+    rows = rows.groupBy("hi", "lo").agg(F.first("text").alias("text"), F.min("lang").alias("lang")).select("text", "lang")
     sums = steps.write(rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")), "counts")
     sized = sums.groupBy("lang").agg(*[F.sum(F.when(c, F.col("n"))).alias(k) for k, c in {"words": F.col("at") < n_words, "chars": F.col("at").between(n_words + 1, n_texts - 1), "texts": F.col("at") == n_texts}.items()])
-    known = sized.where((F.col("texts") >= LEAST_TEXTS) & (F.col("chars") >= LEAST_CHARS)).select("lang", "words")
+    least = max(LEAST_CHARS, LEAST_SHARE * (sized.agg(F.sum("chars")).first()[0] or 0))
+    known = sized.where((F.col("texts") >= LEAST_TEXTS) & (F.col("chars") >= least)).select("lang", "words")
     place = F.row_number().over(Window.partitionBy("lang").orderBy((F.col("at") >= n_words).desc(), F.desc("n"), "at"))
     # the classes and the number of texts come first, at most CLASSES + 1 rows; a language has a row per bucket at most
     top = sums.join(known, "lang").withColumn("place", place - F.sum((F.col("at") >= n_words).cast("int")).over(Window.partitionBy("lang"))).where(F.col("place") <= COMMON)
@@ -148,7 +162,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def run(batches):
         for batch in batches:
-            text = binaries(batch.column("text"))
+            text, lang = binaries(batch.column("text")), batch.column("lang").to_pylist()
             out: list[list] = [[] for _ in range(10)]
             for a, b in chunks(text):
                 off, (words,) = hash_words(text[a:b])
@@ -156,11 +170,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 for i in range(b - a):
                     classes = class_counts(text[a + i])
                     row = base_metrics(text[a + i], words[off[i] : off[i + 1]], classes)
-                    failed = row[0] < 50 or 100 * row[4] > 50 * row[0]
+                    failed = base_failed(row)
                     best = (2.0, 2.0, None)
                     mine, n_chars = bucket[low[i] : low[i + 1]], classes[1:].sum()
                     hist = np.bincount(mine, minlength=1 << WORD_BITS) if len(mine) >= MIN_WORDS else None
-                    for name, (ref, common, share) in known.items():
+                    for name in [lang[a + i]] if lang[a + i] in known else known:
+                        ref, common, share = known[name]
                         char = jensen_shannon(classes[1:] / n_chars, ref) if n_chars >= MIN_CHARS else 0.0
                         word = jensen_shannon(np.append(hist[common], len(mine) - hist[common].sum()) / len(mine), share) if hist is not None else 0.0
                         at = max(char / MAX_CHAR_DISTANCE, word / MAX_WORD_DISTANCE)
@@ -173,7 +188,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             names = ["doc_id", *METRICS, "base_failed", "kept", "nearest", "char_distance", "word_distance"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean, kept boolean, nearest string, char_distance double, word_distance double")
 
 
