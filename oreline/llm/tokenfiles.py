@@ -2,107 +2,156 @@
 
 Method.  A token file is one run of little-endian ids in which an
 end-of-document id follows each document; nothing says where documents start.
-Files are read in blocks of fixed size.  In a block the positions of the end
-id are found by one vectorised comparison, which gives the lengths of the
-documents that end there; what follows the last end is open.  Open parts are
-stitched across blocks by a prefix scan: a block's first document also has the
-open parts of the blocks since the last end.
+Files are cut into blocks of fixed size by their length alone, and a task reads
+the byte range of its block.  The positions of the end id in a block are found
+by one vectorised comparison, which gives the lengths of the documents that end
+there; what follows the last end is open.  Open parts are stitched across
+blocks by a prefix scan over one small row per block: a block's first document
+also has the open parts of the blocks since the last end.  The scan runs over
+segments of SEGMENT blocks first and then over the segments, so a file of any
+length is no single task.
 
 Defined cases.  A file without ids has no documents.  Ids after the last end
 of a file are a document without an end (``closed`` false).  Two ends in a row
-are a document of the end id only.  Counts include the end id.
+are a document of the end id only.  Counts include the end id.  Bytes after the
+last whole id of a file are not an id and are left out.  Ids that the width
+cannot hold raise an error when a file is written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binaries
+from .common import Steps, binaries, kind_of
 from .pieces import _encoded, codec, public_model
 
-BLOCK_IDS = 1 << 16
+BLOCK_IDS, SEGMENT = 1 << 20, 1024
+FILE_BYTES = 64 << 20
+_PIECE = 1 << 22
 
 
-def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, data) of flat files of up to 2 GB each, the largest that a row can hold."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    size = width * block_ids
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("content") - 1) / size))).alias("block")
-    cut = files.select(F.col("path").alias("file"), "content", block)
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
-
-
-def write_blocks(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, data, doc_ids): a flat file of 16-bit ids per partition, in blocks, and the ids of the documents that end in each block, in order."""
+def token_rows(docs: DataFrame, model_path: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, data): the ids of each document without the end id, as little-endian bytes; key tells apart texts under one id."""
+    kind = kind_of(docs, id_col)
 
     def run(batches):
         c = codec(model_path)
-        file, block = TaskContext.get().partitionId(), 0
-        rest, ended, held = [], [], 0
-
-        def cut(final: bool):
-            """Whole blocks of what is held; all of it at the end."""
-            nonlocal block, rest, ended, held
-            ids = np.concatenate(rest) if rest else np.zeros(0, dtype=np.uint16)
-            at = 0
-            ends = np.flatnonzero(ids == c.end)
-            while len(ids) - at >= block_ids or (final and at < len(ids)):
-                part = ids[at : at + block_ids]
-                a, b = np.searchsorted(ends, [at, at + len(part)])
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([ended[a:b]], pa.list_(pa.int64()))], ["file", "block", "data", "doc_ids"])
-                block += 1
-                at += len(part)
-            rest, ended, held = [ids[at:]], ended[int(np.searchsorted(ends, at)) :], len(ids) - at
-
+        if c.whole.get_piece_size() > 1 << 8 * width:
+            raise ValueError(f"{c.whole.get_piece_size()} ids do not fit in {width} bytes")
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            for name, (_, _, ids) in zip(names, _encoded(c, binaries(batch.column("text"))), strict=True):
-                rest.append(np.append(ids, c.end).astype(np.uint16))
-                ended.append(name)
-                held += len(ids) + 1
-                if held >= 16 * block_ids:
-                    yield from cut(False)
-        yield from cut(True)
+            data = [ids.astype(f"<u{width}").tobytes() for _, _, ids in _encoded(c, binaries(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(data, pa.binary())], ["doc_id", "key", "data"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, data binary")
+
+
+def _file_of(files: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "key"), F.lit(files)).cast("int")
+
+
+#: Ascending, nulls first, as Spark sorts by default.
+_ORDER = ("doc_id", "key")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "file long, block long, data binary, doc_ids array<long>")
 
+def write_files(rows: DataFrame, end_id: int, files: int, path: str, width: int = 2) -> None:
+    """Flat files of (doc_id, key, data), each in the order of id and key.
 
-def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """(file, position, n_tokens, closed, doc_id): documents in the order of each file; doc_id where the blocks have doc_ids."""
-    named = "doc_ids" in blocks.columns
-    kind = blocks.schema["file"].dataType.simpleString()
+    Spark's text writer puts raw bytes and, after each row, the end id as the
+    separator, so tasks need no file system of their own and a lost one is
+    simply run again.
+    """
+    end = end_id.to_bytes(width, "little")
+    if max(end) >= 0x80:
+        raise ValueError(f"the bytes of end id {end_id} are not ASCII")
+    dealt = rows.repartitionById(files, _file_of(files)).sortWithinPartitions(*_ORDER)
+    dealt.select(F.col("data").cast("string").alias("value")).write.option("lineSep", end.decode()).text(path)
+
+
+def positions(docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, position, doc_id): where write_files puts each document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key")).withColumn("part", _file_of(files))
+    return rows.select("part", (F.row_number().over(Window.partitionBy("part").orderBy(*_ORDER)) - 1).cast("long").alias("position"), "doc_id")
+
+
+def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(file, block, first, size): byte ranges of flat files, from their lengths alone."""
+    step = width * block_ids
+    # only the listing is read here, not the files
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.col("length") - F.col("length") % width).alias("length")).where("length > 0")
+    cut = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
+    return cut.select("file", "block", (F.col("block") * step).alias("first"), F.least(F.lit(step), F.col("length") - F.col("block") * step).alias("size"))
+
+
+def scan_blocks(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
+    """(file, block, lengths, tail, ends): lengths of the documents that end in each block, and the ids after the last end."""
 
     def run(batches):
+        from pyarrow import fs
+
         for batch in batches:
-            lengths, tails, sizes = [], [], []
-            for data in batch.column("data").to_pylist():
-                ids = np.frombuffer(data, dtype=dtype)
-                at = np.flatnonzero(ids == end_id)
-                lengths.append(np.diff(at, prepend=-1))
-                tails.append(len(ids) - 1 - at[-1] if len(at) else len(ids))
-                sizes.append(len(at))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(lengths, pa.list_(pa.int64())), pa.array(tails, pa.int64()), pa.array(sizes, pa.int64()), batch.column("doc_ids")], ["file", "block", "lengths", "tail", "ends", "doc_ids"])
-
-    given = blocks.select("file", "block", "data", F.col("doc_ids") if named else F.lit(None).cast("array<long>").alias("doc_ids"))
-    scan = given.mapInArrow(run, f"file {kind}, block long, lengths array<long>, tail long, ends long, doc_ids array<long>")
-    order = Window.partitionBy("file").orderBy("block")
-    # blocks since the last end: those with the same number of blocks with an end up to them
-    scan = scan.withColumn("since", F.sum((F.col("ends") > 0).cast("int")).over(order)).withColumn("before", F.sum("ends").over(order) - F.col("ends"))
-    scan = scan.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "since").orderBy("block")))
-    scan = scan.withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0))).withColumn("last", F.lead("block").over(order).isNull())
-    each = scan.select("file", "before", "carry", "doc_ids", F.posexplode("lengths").alias("at", "n"))
-    name = F.when(F.col("doc_ids").isNotNull(), F.get("doc_ids", F.col("at")))
-    ended = each.select("file", (F.col("before") + F.col("at")).alias("position"), (F.col("n") + F.when(F.col("at") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("closed"), name.alias("doc_id"))
-    open_end = scan.where(F.col("last") & (F.col("open") > 0)).select("file", (F.col("before") + F.col("ends")).alias("position"), F.col("open").alias("n_tokens"), F.lit(False).alias("closed"), F.lit(None).cast("long").alias("doc_id"))
-    return ended if named else ended.unionByName(open_end)
+            files, firsts, sizes = (batch.column(c).to_pylist() for c in ("file", "first", "size"))
+            for k, (file, first, size) in enumerate(zip(files, firsts, sizes, strict=True)):
+                system, name = fs.FileSystem.from_uri(file if "://" in file else file.replace(":", "://", 1))
+                ends = []
+                with system.open_input_file(name) as f:
+                    for at in range(0, size, _PIECE):
+                        ids = np.frombuffer(f.read_at(min(_PIECE, size - at), first + at), dtype=f"<u{width}")
+                        ends.append(np.flatnonzero(ids == end_id) + at // width)
+                at = np.concatenate(ends)
+                lengths = np.diff(at, prepend=-1)
+                tail = size // width - 1 - int(at[-1]) if len(at) else size // width
+                yield pa.RecordBatch.from_arrays([batch.column("file")[k : k + 1], batch.column("block")[k : k + 1], pa.array([lengths], pa.list_(pa.int64())), pa.array([tail], pa.int64()), pa.array([len(at)], pa.int64())], ["file", "block", "lengths", "tail", "ends"])
+
+    return blocks.select("file", "block", "first", "size").mapInArrow(run, "file string, block long, lengths array<long>, tail long, ends long")
+
+
+def stitch(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(file, block, before, carry, last): documents that end before each block, and ids open at its start, of (file, block, tail, ends)."""
+    part = blocks.withColumn("segment", F.floor(F.col("block") / segment))
+    inside = Window.partitionBy("file", "segment").orderBy("block")
+    # since: blocks with an end so far; what is open is the sum of the tails since the last of them
+    part = part.withColumns({"since": F.sum((F.col("ends") > 0).cast("int")).over(inside), "ended": F.sum("ends").over(inside)})
+    part = part.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "segment", "since").orderBy("block")))
+    step = part.groupBy("file", "segment").agg(F.sum("ends").alias("ends"), F.max_by("open", "block").alias("open"), F.max("block").alias("top"))
+    over = Window.partitionBy("file").orderBy("segment")
+    step = step.withColumns({"since": F.sum((F.col("ends") > 0).cast("int")).over(over), "earlier": F.sum("ends").over(over) - F.col("ends"), "end": F.lead("segment").over(over).isNull()})
+    step = step.withColumn("open", F.sum("open").over(Window.partitionBy("file", "since").orderBy("segment")))
+    step = step.select("file", "segment", "earlier", F.coalesce(F.lag("open").over(over), F.lit(0)).alias("brought"), F.when(F.col("end"), F.col("top")).alias("top"))
+    own = F.coalesce(F.lag("open").over(inside), F.lit(0))
+    none_yet = F.coalesce(F.lag("since").over(inside), F.lit(0)) == 0
+    part = part.withColumns({"own": own, "none_yet": none_yet}).join(step, ["file", "segment"])
+    carry = F.col("own") + F.when(F.col("none_yet"), F.col("brought")).otherwise(0)
+    return part.select("file", "block", (F.col("earlier") + F.col("ended") - F.col("ends")).alias("before"), carry.alias("carry"), (F.col("block") == F.coalesce("top", F.lit(-1))).alias("last"))
+
+
+def count_tokens(scanned: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(file, position, n_tokens, closed): documents in the order of each file, from scan_blocks."""
+    if not hasattr(scanned, "_oreline_path"):
+        scanned = Steps(scanned.sparkSession, "tokens").write(scanned, "scan")
+    place = stitch(scanned.select("file", "block", "tail", "ends"), segment)
+    both = scanned.join(place, ["file", "block"])
+    first = F.when(F.col("at") == 0, F.col("carry")).otherwise(0)
+    ended = both.select("file", "before", "carry", F.posexplode("lengths").alias("at", "n")).select("file", (F.col("before") + F.col("at")).alias("position"), (F.col("n") + first).alias("n_tokens"), F.lit(True).alias("closed"))
+    rest = F.col("tail") + F.when(F.col("ends") == 0, F.col("carry")).otherwise(0)
+    return ended.unionByName(both.where("last").select("file", (F.col("before") + F.col("ends")).alias("position"), rest.alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_model()
-    blocks = write_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
-    return count_tokens(blocks, codec(model).end).select("doc_id", "file", "position", "n_tokens")
+    """Counts from flat files made of the documents; which document is where follows from the order of the files, not from the files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, steps = public_model(), Steps(spark, "tokens")
+    end = codec(model).end
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # about half a byte of ids for a byte of text
+    files = max(spark.sparkContext.defaultParallelism, int(size / 2 / FILE_BYTES) + 1)
+    path = steps.path("files")
+    write_files(token_rows(docs, model), end, files, path)
+    blocks = read_blocks(spark, path)
+    counts = count_tokens(steps.write(scan_blocks(blocks.repartition(spark.sparkContext.defaultParallelism, "file", "block"), end), "scan"))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    return counts.withColumn("part", part).join(positions(docs, files), ["part", "position"]).select("doc_id", F.col("part").alias("file"), "position", "n_tokens")
