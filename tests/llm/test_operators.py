@@ -223,6 +223,45 @@ def test_character_map():
     assert out == "Aéxyzc".encode() and source.tolist() == [0, 1, 1, 3, 3, 3, 5, 6]
 
 
+def test_op3_character_map_agrees_with_the_library(spark, tmp_path):
+    """A model with a compiled character map: spans are the library's own, piece by piece."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.public_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    rule = sentencepiece_model_pb2.ModelProto()
+    rule.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto())
+    for collapse in (False, True):
+        model.normalizer_spec.precompiled_charsmap = rule.normalizer_spec.precompiled_charsmap
+        model.normalizer_spec.remove_extra_whitespaces = collapse
+        path = tmp_path / f"{collapse}.model"
+        path.write_bytes(model.SerializeToString())
+        lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        texts = ["\ufb01ne \u2460\u2461 \uff21\uff22\uff23 word", "\u00bd cup of \u212bngstrom", "e\u0301 cafe\u0301 \u337f x", "plain text", "  two  spaces ", "\uac00\u1100\u1161 \u3000wide", "", "\u2026 \u2122 \U0001f600"]
+        got = pieces.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), str(path)).orderBy("doc_id").collect()
+        for t, r in zip(texts, got, strict=True):
+            want = lib.encode(t, return_type="proto").pieces
+            assert list(r.ids) == [x.id for x in want] + [lib.eos_id()] and r.decoded == lib.decode(list(r.ids))
+            assert pieces.CharacterMap(model.normalizer_spec.precompiled_charsmap).normalise(t.encode())[0] or not t
+            for x, a, b in zip(want, r.starts, r.ends, strict=True):
+                if not lib.is_byte(x.id):
+                    assert t.encode()[a:b].decode() == x.surface, (t, x.piece)
+
+
+def test_op3_query_is_the_library(spark):
+    """The digests of the query for every text, and that its spans tile the bytes."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.public_model())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    for r in pieces.op3_pieces(spark, SF).collect():
+        ids = lib.encode(docs[r.doc_id], add_eos=True)
+        assert (r.n_tokens, r.spans_tile, r.source_bytes) == (len(ids), True, len(docs[r.doc_id].encode()))
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
 def test_op4_shards(spark, odd, none):
     got = sharding.op4_sharding(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
@@ -238,6 +277,31 @@ def test_op4_shards(spark, odd, none):
     assert len(sums) == 8 and sums.max() < 1.02 * sums.mean() and sums.min() > 0.98 * sums.mean()
 
 
+def test_op4_equal_texts_stay_together(spark):
+    got = sharding.op4_sharding(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    assert got.merge(docs, on="doc_id").groupby("text")["shard"].nunique().max() == 1
+    # groups of up to nine tenths of a leaf, ties in every dimension, and one that no leaf can hold
+    rows = [(f"g{g} " + words(60, "x"), n) for g, n in enumerate((90, 85, 80, 60, 50, 40))] + [("huge " + words(60, "x"), 260)] + [(f"s{i} " + words(60, "x"), 1) for i in range(1000)]
+    flat = [(i, t) for i, t in enumerate(t for t, n in rows for _ in range(n))]
+    hot = spark.createDataFrame([(i, t, "en", "s") for i, t in flat], "doc_id long, text string, lang string, source string")
+    out = sharding.kd_shards(hot, 16).join(hot.select("doc_id", "text"), "doc_id").toPandas()
+    spread = out.groupby("text")["shard"].nunique()
+    assert spread.drop(flat[-1001][1]).max() == 1 and spread.max() >= 2
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 16 and sums.max() < 1.04 * sums.mean() and sums.min() > 0.96 * sums.mean()
+
+
+def test_op4_cuts_the_widest_dimension(spark):
+    """Two shards: a cut at the weighted median of the dimension that is widest."""
+    rows = [(i * 10**6, words(1 + i % 7, "w") + str(i), "en", "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.kd_shards(docs, 2).toPandas()
+    assert (got[got["shard"] == 0]["doc_id"].max() < got[got["shard"] == 1]["doc_id"].min()) or (got[got["shard"] == 0]["size"].max() <= got[got["shard"] == 1]["size"].min())
+    names = spark.createDataFrame([(f"id{i}", t, None, None) for i, t, *_ in rows], "doc_id string, text string, lang string, source string")
+    assert sharding.kd_shards(names, 3).count() == 400
+
+
 def test_op6_matches_sql(spark, odd, none):
     assert_same(mixing.op6_mixing(spark, SF).toPandas(), tables(), mixing.SQL)
     clash = odd.withColumns({c: F.lit(1) for c in ("p", "topic", "tokens", "probability", "draw", "row", "mix_source")})
@@ -322,6 +386,56 @@ def test_op7_metrics(spark, odd, none):
     assert good["kept"].mean() > 0.98
 
 
+def test_op7_distances_match_brute_force(spark):
+    """Both distances of every text to the reference of its language, computed plainly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    got = quality.quality(docs).toPandas().set_index("doc_id")
+    pdf = docs.toPandas()
+    failed = dict(got["base_failed"])
+    names = ["space", "lower", "upper", "digit", "stop", "symbol", "other", "beyond"]
+
+    def kind(c):
+        if c > "\x7f":
+            return "beyond"
+        return "space" if c in " \t\n\v\f\r" else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "stop" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>" else "other"
+
+    def terms(t):
+        _, (h,) = hash_words([t.lower().encode()], 1, quality.PUNCTUATION)
+        return Counter((h >> np.uint64(64 - quality.WORD_BITS)).tolist())
+
+    def distance(p, q):
+        m = (p + q) / 2
+        h = lambda x: -sum(v * np.log2(v) for v in x if v)
+        return max(0.0, h(m) - (h(p) + h(q)) / 2) ** 0.5
+
+    refs = {}
+    clean = pdf[[not failed[i] for i in pdf["doc_id"]]].drop_duplicates("text")
+    for lang, texts in clean.groupby("lang")["text"]:
+        chars, total = Counter(), Counter()
+        for t in texts:
+            chars.update(map(kind, t))
+            total.update(terms(t))
+        common = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]]
+        share = np.array([total[w] for w in common] + [sum(total.values()) - sum(total[w] for w in common)]) / sum(total.values())
+        refs[lang] = np.array([chars[n] for n in names]) / sum(chars.values()), common, share
+    assert set(refs) == {"en", "de", "fr", "es"}
+    for i, t, lang in pdf.itertuples(index=False):
+        (ref, common, share), r, c, w = refs[lang], got.loc[i], Counter(map(kind, t)), terms(t)
+        n, m = sum(c.values()), sum(w.values())
+        char = distance(np.array([c[x] for x in names]) / n, ref) if n >= quality.MIN_CHARS else 0.0
+        word = distance(np.array([w[x] for x in common] + [m - sum(w[x] for x in common)]) / m, share) if m >= quality.MIN_WORDS else 0.0
+        assert r["nearest"] == lang and abs(r["char_distance"] - char) < 1e-6 and abs(r["word_distance"] - word) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and char <= quality.MAX_CHAR_DISTANCE and word <= quality.MAX_WORD_DISTANCE)
+
+
+def test_op7_copies_do_not_shape_references(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("length(text) > 500 and lang = 'en'").limit(1)
+    many = docs.unionByName(one.withColumn("doc_id", F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 600)))))
+    before, after = (quality.quality(d).toPandas().set_index("doc_id") for d in (docs, many))
+    assert (before["word_distance"] - after.loc[before.index, "word_distance"]).abs().max() < 1e-9
+
+
 def test_op7_catches_bad_rows(spark):
     """Labelled-bad rows that pass the base rules, which only the distances can catch."""
     sf = "/root/testdata/sf0.1"
@@ -383,19 +497,37 @@ def test_op8_odd_vectors(spark):
 
 
 def test_op9_counts(spark, odd, none, tmp_path):
+    """Files written and scanned again, against the encoder; then files with open ends, empty documents and blocks without an end."""
     model = pieces.public_model()
-    blocks = tokenfiles.write_blocks(odd, model, block_ids=64)
-    got = tokenfiles.count_tokens(blocks, 2).toPandas()
     want = pieces.encode_pieces(odd, model, outputs=("n_tokens",)).toPandas()
-    assert sorted(got["n_tokens"]) == sorted(want["n_tokens"]) and got["closed"].all()
-    named = got.dropna(subset=["doc_id"])
-    assert sorted(zip(named["doc_id"], named["n_tokens"], strict=True)) == sorted(x for x in zip(want["doc_id"], want["n_tokens"], strict=True) if not pd.isna(x[0]))
-    assert tokenfiles.count_tokens(tokenfiles.write_blocks(none, model), 2).count() == 0
-    ids = np.array([5] * 70 + [2, 2] + [9] * 200 + [2] + [7] * 3, dtype="<u2")
-    ids.tofile(tmp_path / "a.bin")
-    (tmp_path / "empty.bin").write_bytes(b"")
-    flat = tokenfiles.count_tokens(tokenfiles.read_blocks(spark, str(tmp_path / "*.bin"), block_ids=16), 2).orderBy("position").collect()
-    assert [(r.position, r.n_tokens, r.closed) for r in flat] == [(0, 71, True), (1, 1, True), (2, 201, True), (3, 3, False)]
+    tokenfiles.write_files(tokenfiles.token_rows(odd, model), 2, 3, str(tmp_path / "odd"))
+    scan = lambda path, n=64, segment=3: tokenfiles.count_tokens(tokenfiles.scan_blocks(tokenfiles.read_blocks(spark, path, block_ids=n), 2), segment)
+    got = scan(str(tmp_path / "odd")).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).join(tokenfiles.positions(odd, 3), ["part", "position"]).toPandas()
+    assert got["closed"].all() and sorted(zip(got["doc_id"].fillna(-1), got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"].fillna(-1), want["n_tokens"], strict=True))
+    assert len(set(got["part"])) > 1
+    tokenfiles.write_files(tokenfiles.token_rows(none, model), 2, 3, str(tmp_path / "none"))
+    assert scan(str(tmp_path / "none")).count() == 0
+    (tmp_path / "flat").mkdir()
+    rng = np.random.default_rng(4)
+    expected = {}
+    for k in range(12):
+        ids = rng.integers(2, 9 if k % 2 else 400, rng.integers(0, 900)).astype("<u2")
+        name = tmp_path / "flat" / f"{k}.bin"
+        name.write_bytes(ids.tobytes() + b"\x02" * (k % 2))  # an odd byte at the end is no id
+        ends = np.flatnonzero(ids == 2)
+        lengths = np.diff(ends, prepend=-1).tolist()
+        rest = len(ids) - 1 - ends[-1] if len(ends) else len(ids)
+        expected |= {(f"{k}.bin", i): (n, True) for i, n in enumerate(lengths)} | ({(f"{k}.bin", len(lengths)): (rest, False)} if rest else {})
+    for block, segment in ((16, 1), (16, 4), (5, 1000), (10_000, 3)):
+        rows = scan(str(tmp_path / "flat" / "*.bin"), block, segment).collect()
+        assert {(r.file.rsplit("/", 1)[1], r.position): (r.n_tokens, r.closed) for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_op9_query(spark):
+    got, want = tokenfiles.op9_token_counts(spark, SF).toPandas(), pieces.op3_pieces(spark, SF).toPandas()
+    assert sorted(zip(got["doc_id"], got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"], want["n_tokens"], strict=True))
+    with pytest.raises(ValueError):
+        tokenfiles.write_files(spark.createDataFrame([(1, 1, b"")], "doc_id long, key long, data binary"), 50256, 1, "/nowhere")
 
 
 @pytest.mark.parametrize(
@@ -413,7 +545,7 @@ def test_op9_counts(spark, odd, none, tmp_path):
     ],
 )
 def test_op10_pages(page, blocks):
-    assert [b for b, _ in html.blocks_of(page)] == blocks
+    assert [b for b, _, ruled in html.blocks_of(page) if not ruled] == blocks
 
 
 def test_op10_site_template(spark):
@@ -426,3 +558,29 @@ def test_op10_site_template(spark):
     real = html.op10_html(spark, SF).toPandas()
     docs = {"\n".join(x for x in (" ".join(p.split()) for p in t.split("\n")) if x) for t in spark.read.parquet(f"{SF}/documents.parquet").toPandas()["text"]}
     assert all(t.split("\n", 1)[1] in docs for t in real["text"]) and (real["n_chars"] == real["text"].str.len()).all()
+
+
+def test_op10_counts_the_whole_page(spark):
+    """Menus, footers and notices that no rule names are deleted by counting, whatever their attributes; of a single page they are not."""
+    shell = "<body><div id='x{i}'><ul><li><a href='/{i}'>Home</a><li>Contact us</ul></div><article><h1>Title {i}</h1><p>text {i}</article><section class='s{i}'><p>All rights reserved</section></body>"
+    rows = [(i, f"http://a.example/{i}", shell.format(i=i)) for i in range(8)] + [(9, "http://b.example/", shell.format(i=9))]
+    # without an article the body is the main part, and only counting can tell
+    rows += [(20 + i, f"http://c.example/{i}", f"<div><p>Our shop</p><p>Call now</p></div><h1>T {i}</h1><p>own {i}</p><div data-n={i}><p>Imprint</p></div>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_template) for r in html.extract(pages).collect()}
+    assert got[3] == ("Title 3\ntext 3", 3) and got[9] == ("Title 9\ntext 9", 0) and got[22] == ("T 2\nown 2", 3)
+
+
+def test_op10_counts_match_brute_force(spark):
+    """Template subtrees of real pages, counted plainly from the same blocks."""
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {(r["host"], r["hash"]): r["main"] for r in html.templates(html.parsed(pages)).collect()}
+    seen, n = Counter(), Counter()
+    for host, page in pages.select(html.host_of(F.col("url")), "html").toPandas().itertuples(index=False):
+        n[host] += 1
+        seen.update({(host, h) for _, path, _ in html.blocks_of(page) for h in path})
+    want = {k: c >= html.MAIN_SHARE * n[k[0]] for k, c in seen.items() if c >= html.MIN_PAGES and c >= html.MIN_SHARE * n[k[0]]}
+    assert got == want and len(want) > 0
+    out = html.extract(pages).toPandas()
+    assert out["n_template"].sum() > 0
