@@ -102,9 +102,8 @@ def _buckets(sets: DataFrame, runs: int, steps: Steps) -> tuple[DataFrame, DataF
         tokens = steps.write(level.join(large, "bucket").join(sets.select("node", "sketch"), "node").select("bucket", "size", "least", "node", picks.alias("tokens")), "inside")
         # the chance that two members share the token at a coordinate; its mean is the bucket's mean similarity
         square = F.col("n").cast("double") * F.col("n")
-        counts = tokens.select("bucket", "size", F.posexplode("tokens").alias("k", "token")).groupBy("bucket", "size", "k", "token").agg(F.count("*").alias("n"))
-        rates = counts.groupBy("bucket", "size", "k").agg(F.sum(square).alias("same")).select("bucket", "k", (F.col("same") / F.col("size") / F.col("size")).alias("rate"))
-        verdict = rates.groupBy("bucket").agg(F.avg("rate").alias("alike"), F.slice(F.sort_array(F.collect_list(F.struct("rate", "k"))), 1, SPLITS)["k"].alias("best"))
+        rates = [tokens.groupBy("bucket", "size", F.get("tokens", F.lit(k)).alias("token")).agg(F.count("*").alias("n")).groupBy("bucket", "size").agg(F.sum(square).alias("same")).select("bucket", (F.col("same") / F.col("size") / F.col("size")).alias("rate"), F.lit(k).alias("k")) for k in range(TRIED)]
+        verdict = functools.reduce(DataFrame.unionByName, rates).groupBy("bucket").agg(F.avg("rate").alias("alike"), F.slice(F.sort_array(F.collect_list(F.struct("rate", "k"))), 1, SPLITS)["k"].alias("best"))
         verdict = steps.write(verdict.select("bucket", "best", ((F.col("alike") >= ALIKE) | F.lit(depth == DEPTH)).alias("dense")), "verdict")
         stars.append(steps.write(tokens.select("bucket", "least", "node").join(verdict.where("dense").select("bucket"), "bucket").where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")), "stars"))
         split = tokens.join(verdict.where("not dense").select("bucket", "best"), "bucket")
