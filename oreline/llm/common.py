@@ -33,8 +33,13 @@ class Steps:
     ``write`` returns the reread table.  ``drop`` deletes tables that no later
     step reads; those behind a returned DataFrame stay.  Bucketed tables are
     in the catalogue only while they are written or opened.
+
+    A table gets at most TASKS files for each core: every file costs several
+    calls to the file system, and on a local one a process each.
     """
 
+    TASKS = 4
+
     def __init__(self, spark: SparkSession, tag: str, base: str | None = None):
         self.spark = spark
         self.base = base or f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -46,15 +51,15 @@ class Steps:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd", bucket: tuple[int, *tuple[str, ...]] | None = None) -> DataFrame:
         path = self.path(name)
-        writer = df.write.option("compression", codec)
         if bucket:
             n, *columns = bucket
+            writer = df.write.option("compression", codec)
             table = f"w{uuid.uuid4().hex}"
             writer.option("path", path).format("parquet").bucketBy(n, *columns).sortBy(*columns).saveAsTable(table)
             out = self.spark.table(table)
             self.spark.sql(f"DROP TABLE {table}")  # the files stay
         else:
-            writer.parquet(path)
+            df.coalesce(self.TASKS * self.spark.sparkContext.defaultParallelism).write.option("compression", codec).parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         out._oreline_path = path
         tidy(self.spark)

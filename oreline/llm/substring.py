@@ -180,8 +180,10 @@ class FingerprintIndex:
         rows = [(self.version, i, kind, path, self.buckets, self.batches, self.window, self.gram) for i, (kind, path) in enumerate(live)]
         self.spark.createDataFrame(rows, "version long, place int, kind string, path string, buckets int, batches int, window int, gram int").coalesce(1).write.mode("append").json(self._manifest)
 
-    def _add(self, kind: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def _add(self, kind: str, df: DataFrame, codec: str = "zstd", deal: bool = False) -> DataFrame:
+        """Writes a table; ``deal`` moves rows to their buckets first, so that there is a file per bucket and not one per task and bucket."""
         columns = self.KINDS[kind][1]
+        df = df.repartition(self.buckets, *columns) if deal else df
         table = self.steps.write(df, kind, codec, (self.buckets, *columns) if columns else None)
         self.tables[kind].append(table)
         return table
@@ -196,7 +198,7 @@ class FingerprintIndex:
         # one entry per text; the partial aggregate thins out copies before they are moved
         texts = self._add("texts", rows.groupBy("hi", "lo").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("hi", "lo", "text", "copies"))
         older = list(self.tables["run"])
-        run = self._add("run", fingerprints(texts, self.window, self.gram), "lz4")
+        run = self._add("run", fingerprints(texts, self.window, self.gram), "lz4", True)
         keys = run.groupBy("fp").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
         for k, old in enumerate(older):
             keys = keys.join(old.groupBy("fp").agg(F.lit(True).alias(f"old{k}")), "fp", "left")
@@ -224,7 +226,7 @@ class FingerprintIndex:
         """Merges all runs into one, and the shared fingerprints likewise; the old files go."""
         for kind in ("run", "shared"):
             old, self.tables[kind] = self.tables[kind], []
-            self._add(kind, _all(old), "lz4")
+            self._add(kind, _all(old), "lz4", True)
             self.steps.drop(*old)
 
     def starts(self) -> DataFrame:
