@@ -22,20 +22,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, binaries, kind_of
+from .common import Steps, binaries
 from .pieces import _encoded, codec, public_model
 
 BLOCK_IDS, SEGMENT = 1 << 20, 1024
-FILE_BYTES = 64 << 20
 _PIECE = 1 << 22
 
 
-def token_rows(docs: DataFrame, model_path: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, data): the ids of each document without the end id, as little-endian bytes; key tells apart texts under one id."""
-    kind = kind_of(docs, id_col)
+def token_rows(docs: DataFrame, model_path: str, width: int = 2, text_col: str = "text") -> DataFrame:
+    """(data): the ids of each document without the end id, as little-endian bytes, in the order of docs."""
 
     def run(batches):
         c = codec(model_path)
@@ -43,23 +41,13 @@ def token_rows(docs: DataFrame, model_path: str, width: int = 2, id_col: str = "
             raise ValueError(f"{c.whole.get_piece_size()} ids do not fit in {width} bytes")
         for batch in batches:
             data = [ids.astype(f"<u{width}").tobytes() for _, _, ids in _encoded(c, binaries(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(data, pa.binary())], ["doc_id", "key", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, data binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "data binary")
 
 
-def _file_of(files: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "key"), F.lit(files)).cast("int")
-
-
-#: Ascending, nulls first, as Spark sorts by default.
-_ORDER = ("doc_id", "key")
-
-
-def write_files(rows: DataFrame, end_id: int, files: int, path: str, width: int = 2) -> None:
-    """Flat files of (doc_id, key, data), each in the order of id and key.
+def write_files(rows: DataFrame, end_id: int, path: str, width: int = 2) -> None:
+    """A flat file per partition of rows (data), in its order.
 
     Spark's text writer puts raw bytes and, after each row, the end id as the
     separator, so tasks need no file system of their own and a lost one is
@@ -68,14 +56,13 @@ def write_files(rows: DataFrame, end_id: int, files: int, path: str, width: int
     end = end_id.to_bytes(width, "little")
     if max(end) >= 0x80:
         raise ValueError(f"the bytes of end id {end_id} are not ASCII")
-    dealt = rows.repartitionById(files, _file_of(files)).sortWithinPartitions(*_ORDER)
-    dealt.select(F.col("data").cast("string").alias("value")).write.option("lineSep", end.decode()).text(path)
+    rows.select(F.col("data").cast("string").alias("value")).write.option("lineSep", end.decode()).text(path)
 
 
-def positions(docs: DataFrame, files: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, position, doc_id): where write_files puts each document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key")).withColumn("part", _file_of(files))
-    return rows.select("part", (F.row_number().over(Window.partitionBy("part").orderBy(*_ORDER)) - 1).cast("long").alias("position"), "doc_id")
+def positions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(part, position, doc_id): where write_files puts each document of a table that is scanned in the same way again, as one of Parquet files is."""
+    row = F.monotonically_increasing_id()
+    return docs.select(F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("position"), F.col(id_col).alias("doc_id"))
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -142,16 +129,14 @@ def count_tokens(scanned: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts from flat files made of the documents; which document is where follows from the order of the files, not from the files."""
+    """Counts from flat files made of the documents; which document is where follows from the order of the table, not from the files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model, steps = public_model(), Steps(spark, "tokens")
     end = codec(model).end
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about half a byte of ids for a byte of text
-    files = max(spark.sparkContext.defaultParallelism, int(size / 2 / FILE_BYTES) + 1)
     path = steps.path("files")
-    write_files(token_rows(docs, model), end, files, path)
+    write_files(token_rows(docs, model), end, path)
     blocks = read_blocks(spark, path)
     counts = count_tokens(steps.write(scan_blocks(blocks.repartition(spark.sparkContext.defaultParallelism, "file", "block"), end), "scan"))
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
-    return counts.withColumn("part", part).join(positions(docs, files), ["part", "position"]).select("doc_id", F.col("part").alias("file"), "position", "n_tokens")
+    # an outer join: were the orders ever to differ, it would show
+    return counts.withColumn("part", part).join(positions(docs), ["part", "position"], "full_outer").select("doc_id", F.col("part").alias("file"), "position", "n_tokens")

@@ -500,12 +500,12 @@ def test_op9_counts(spark, odd, none, tmp_path):
     """Files written and scanned again, against the encoder; then files with open ends, empty documents and blocks without an end."""
     model = pieces.public_model()
     want = pieces.encode_pieces(odd, model, outputs=("n_tokens",)).toPandas()
-    tokenfiles.write_files(tokenfiles.token_rows(odd, model), 2, 3, str(tmp_path / "odd"))
+    tokenfiles.write_files(tokenfiles.token_rows(odd, model), 2, str(tmp_path / "odd"))
     scan = lambda path, n=64, segment=3: tokenfiles.count_tokens(tokenfiles.scan_blocks(tokenfiles.read_blocks(spark, path, block_ids=n), 2), segment)
-    got = scan(str(tmp_path / "odd")).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).join(tokenfiles.positions(odd, 3), ["part", "position"]).toPandas()
+    got = scan(str(tmp_path / "odd")).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int")).join(tokenfiles.positions(odd), ["part", "position"]).toPandas()
     assert got["closed"].all() and sorted(zip(got["doc_id"].fillna(-1), got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"].fillna(-1), want["n_tokens"], strict=True))
     assert len(set(got["part"])) > 1
-    tokenfiles.write_files(tokenfiles.token_rows(none, model), 2, 3, str(tmp_path / "none"))
+    tokenfiles.write_files(tokenfiles.token_rows(none, model), 2, str(tmp_path / "none"))
     assert scan(str(tmp_path / "none")).count() == 0
     (tmp_path / "flat").mkdir()
     rng = np.random.default_rng(4)
@@ -527,7 +527,7 @@ def test_op9_query(spark):
     got, want = tokenfiles.op9_token_counts(spark, SF).toPandas(), pieces.op3_pieces(spark, SF).toPandas()
     assert sorted(zip(got["doc_id"], got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"], want["n_tokens"], strict=True))
     with pytest.raises(ValueError):
-        tokenfiles.write_files(spark.createDataFrame([(1, 1, b"")], "doc_id long, key long, data binary"), 50256, 1, "/nowhere")
+        tokenfiles.write_files(spark.createDataFrame([(b"",)], "data binary"), 50256, "/nowhere")
 
 
 @pytest.mark.parametrize(
