@@ -25,7 +25,7 @@ def pain_heuristic(text: Column, title: Column | None = None, patterns: list[str
 def combined_pain(heuristic: Column, label: Column, confidence: Column) -> Column:
     """Half the heuristic, and a share of the confidence that the label decides; two decimals."""
     share = F.when(label == "PAIN", 0.5).when(label == "DISCUSSION", 0.3).otherwise(0.0)
-    return (0.5 * heuristic + share * confidence.cast("double")).cast("decimal(5,2)")
+    return F.round(0.5 * heuristic + share * confidence.cast("double"), 6).cast("decimal(5,2)")
 
 
 def noise_penalty(title: Column, label: Column, source: Column, spans: Column, reason: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,19 +13,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
 from ..functions import lexicons as L
+from ..functions.normalise import unfenced
 from ..functions.scoring import unit
-from ..functions.text import first_n, strip
+from ..functions.text import first_n, first_words, strip
+
+log = logging.getLogger(__name__)
 
 ANSWER = "label string, confidence double, audience_fit double, pain_intensity double, actionability double, evidence_spans array<string>, topic_tags array<string>, claim_anchors array<string>, exclude_reason string"
 
 
+class RateLimited(Exception):
+    """The model asks to wait; the only failure that is tried again."""
+
+
 class ModelProvider(Protocol):
     def generate(self, prompts: list[str]) -> list[str | None]: ...
 
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
 
 class StubProvider:
-    """Answers decided by a hash of the prompt, for tests and runs without a model."""
+    """Labels and vectors decided by a hash of the text, for tests and runs without a model."""
 
     def generate(self, prompts: list[str]) -> list[str | None]:
         out: list[str | None] = []
@@ -32,31 +45,56 @@ class StubProvider:
             out.append(json.dumps({"label": L.LABELS[h[0] % 4], "confidence": h[1] / 255, "audience_fit": h[2] / 255, "pain_intensity": h[3] / 255, "actionability": h[4] / 255}))
         return out
 
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[x / 255 for x in hashlib.blake2b(t.encode(), digest_size=8).digest()] for t in texts]
+
+
+def _answers(model: ModelProvider, prompts: list[str], attempts: int, pause: float) -> list[str | None]:
+    """Answers, null after the last attempt; waits ``pause`` times 2, 4, 8 where the model asks to, and tries nothing else again."""
+    for k in range(attempts):
+        try:
+            return [a.strip() if a else "" for a in model.generate(prompts)]
+        except RateLimited:
+            time.sleep(pause * 2 ** (k + 1))
+        except Exception:
+            log.warning("the model failed", exc_info=True)
+            break
+    return [None] * len(prompts)
 
-def generate(df: DataFrame, prompt: str, answer: str, provider: Callable[[], ModelProvider], attempts: int = 3) -> DataFrame:
-    """df with the model's answer as a column; null after the last failed attempt.  One provider a task; filter before this, Catalyst can't look inside."""
+
+def generate(df: DataFrame, prompt: str, answer: str, provider: Callable[[], ModelProvider], attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """df with the model's answer as a column; null where it failed.  One provider a task; filter before this, Catalyst can't look inside."""
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
         for pdf in batches:
-            for k in range(attempts):
-                try:
-                    out = model.generate(pdf[prompt].tolist())
-                    break
-                except (TimeoutError, ConnectionError):
-                    out = [None] * len(pdf)
-                    if k == attempts - 1:
-                        break
-            yield pdf.assign(**{answer: out})[[*names, answer]]
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            yield pdf.assign(**{answer: _answers(model, pdf[prompt].tolist(), attempts, pause)})[[*names, answer]]
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField(answer, StringType())]))
 
 
-def unfenced(c: Column) -> Column:
-    return strip(F.replace(F.replace(c, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+def embed(df: DataFrame, text: str, vector: str, provider: Callable[[], ModelProvider], sizes: tuple[int, ...] = (50, 16, 4)) -> DataFrame:
+    """df with a vector per text (its first 8000 characters); null where every request size failed.
+
+    A batch is asked for in requests of the first size, and anew from its beginning in smaller ones after a failure.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider()
+        for pdf in batches:
+            texts = [(t or "")[:8000] for t in pdf[text]]
+            out: list = [None] * len(texts)
+            for size in sizes:
+                try:
+                    out = [v for k in range(0, len(texts), size) for v in model.embed(texts[k : k + size])]
+                    break
+                except Exception:
+                    log.warning("no vectors by %s", size, exc_info=True)
+            yield pdf.assign(**{vector: out})[[*names, vector]]
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(vector, ArrayType(DoubleType()))]))
 
 
 def label_lines(c: Column) -> Column:
@@ -79,9 +117,22 @@ def label_answer(c: Column) -> Column:
     good = F.struct(
         F.when(label.isin(L.LABELS), label).otherwise("OTHER").alias("label"), half(d["confidence"]).alias("confidence"), half(d["audience_fit"]).alias("audience_fit"),
         half(d["pain_intensity"]).alias("pain_intensity"), half(d["actionability"]).alias("actionability"), listed(d["evidence_spans"], 5).alias("evidence_spans"),
-        listed(d["topic_tags"], 5).alias("topic_tags"), listed(d["claim_anchors"], 3).alias("claim_anchors"), F.nullif(strip(d["exclude_reason"]), F.lit("")).alias("exclude_reason"),
+        listed(d["topic_tags"], 5).alias("topic_tags"), F.transform(listed(d["claim_anchors"], 3), lambda s: first_words(s)).alias("claim_anchors"), F.nullif(strip(d["exclude_reason"]), F.lit("")).alias("exclude_reason"),
     )
     none = F.array().cast("array<string>")
     zero = lambda n: F.lit(0.0).alias(n)
     bad = F.struct(lines["label"].alias("label"), lines["confidence"].alias("confidence"), zero("audience_fit"), zero("pain_intensity"), zero("actionability"), none.alias("evidence_spans"), none.alias("topic_tags"), none.alias("claim_anchors"), F.lit("parse_fallback").alias("exclude_reason"))
     return F.when(parsed, good).otherwise(bad)
+
+
+EDITOR = "featured_pain_ids array<string>, secondary_pain_ids array<string>, catalyst_ids array<string>, rejects array<struct<id: string, reason: string>>"
+
+
+def editor_answer(c: Column) -> Column:
+    """struct(featured, secondary, catalysts, rejects) of an editor's answer; null if it is no object, and then ``gate_fallback`` decides."""
+    raw = unfenced(c)
+    d = F.from_json(raw, EDITOR)
+    ids = lambda k: F.coalesce(d[k], F.array().cast("array<string>"))
+    rejects = F.coalesce(d["rejects"], F.array().cast("array<struct<id: string, reason: string>>"))
+    out = F.struct(ids("featured_pain_ids").alias("featured"), ids("secondary_pain_ids").alias("secondary"), ids("catalyst_ids").alias("catalysts"), rejects.alias("rejects"))
+    return F.when(F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull(), out)
