@@ -26,10 +26,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def ordered_distinct(value: Column, order: Column, n: int) -> Column:
-    """Aggregate: the first n different values in the given order, without null and ''."""
-    pairs = F.array_sort(F.collect_list(F.when(F.coalesce(value, F.lit("")) != "", F.struct(order.alias("o"), value.alias("v")))))
-    return F.slice(F.array_distinct(F.transform(pairs, lambda p: p["v"])), 1, n)
+def first_distinct(df: DataFrame, keys: list[str], value: str, order: str, n: int, name: str) -> DataFrame:
+    """(keys, name): the first n different values of each key in the given order, without null and ''.
+
+    Values are reduced to their first place before they are gathered, so no list grows with a key.
+    """
+    first = df.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*keys, value).agg(F.min(order).alias("_at"))
+    few = top_per_key(first, keys, [F.col("_at"), F.col(value)], n, "_rank")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("v")))), lambda x: x["v"])
+    return few.groupBy(*keys).agg(listed.alias(name))
 
 
 def greedy_disjoint(rows: Column, keys: str, keep=None) -> Column:

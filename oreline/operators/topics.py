@@ -17,16 +17,17 @@ def terms_of(text: str, stop: list[str] | None = None) -> Column:
     return F.concat(tokens, pairs)
 
 
-def term_counts(docs: DataFrame, group: str, doc: str, text: str, stop: list[str] | None = None) -> DataFrame:
-    """(group, doc, term, n) of ``terms_of``."""
-    return docs.select(group, doc, F.explode(terms_of(text, stop)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+#: Common English words, as a search engine leaves them out.
+STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each else ever every few for from further get had has have having he her here hers "
+    "herself him himself his how however if in into is it its itself just least less many may me might more most much must my myself neither no nor not now of off often on once one only or other others our ours ourselves out over own per "
+    "perhaps please rather same seem she should since so some still such than that the their theirs them themselves then there these they this those though through thus to together too under until up upon us very via was we well were what "
+    "when where whether which while who whom whose why will with within without would yet you your yours yourself yourselves"
+).split()
 
 
 def english_stop_words() -> list[str]:
-    """Spark's list, which is shorter than the reference's."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return STOP_WORDS
 
 
 def tfidf_vectors(docs: DataFrame, doc: str, text: str, features: int = 500, stop: list[str] | None = None) -> DataFrame:
@@ -46,18 +47,26 @@ def tfidf_vectors(docs: DataFrame, doc: str, text: str, features: int = 500, sto
     return Normalizer(inputCol="_w", outputCol="features").transform(weighted).select(doc, "features")
 
 
-def tfidf(counts: DataFrame, docs: DataFrame, group: str, doc: str) -> DataFrame:
-    """(group, doc, term, weight): n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document."""
-    n_docs = docs.groupBy(group).agg(F.countDistinct(doc).alias("docs"))
-    df = counts.groupBy(group, "term").agg(F.count("*").alias("df"))
-    raw = counts.join(df, [group, "term"]).join(n_docs, group).withColumn("w", F.col("n") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, doc)))
-    return raw.withColumn("weight", F.col("w") / length).select(group, doc, "term", "weight")
-
-
-def top_terms(docs: DataFrame, group: str, doc: str, text: str, k: int = 5, stop: list[str] | None = None) -> DataFrame:
-    weights = tfidf(term_counts(docs, group, doc, text, stop), docs, group, doc)
-    sums = weights.groupBy(group, "term").agg(F.round(F.sum("weight"), 6).alias("score"))
+def top_terms(docs: DataFrame, group: str, doc: str, text: str, k: int = 5, stop: list[str] | None = None, features: int = 200) -> DataFrame:
+    """(group, term, score, rank): the k terms with the largest sum of TF-IDF weights in each group.
+
+    A group's vocabulary are its ``features`` most frequent terms, ties to the lesser.  Weights are
+    n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document.  Only rows of the vocabulary are weighted,
+    so the large shuffles are two partial counts: of terms, and of the chosen ones per document.
+    """
+    terms = docs.select(group, doc, terms_of(text, stop).alias("terms"))
+    size = docs.groupBy(group).agg(F.countDistinct(doc).alias("docs"))
+    often = terms.select(group, F.explode("terms").alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))
+    chosen = often.withColumn("place", place).where(F.col("place") <= features).select(group, "term")
+    own = terms.select(group, doc, F.explode("terms").alias("term")).join(chosen, [group, "term"])
+    counts = own.groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+    held = counts.groupBy(group, doc).agg(F.collect_list(F.struct("term", "n")).alias("bag"))
+    df = held.select(group, F.explode("bag.term").alias("term")).groupBy(group, "term").agg(F.count("*").alias("df")).join(size, group)
+    weight = df.select(group, "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+    weighed = held.join(weight, group).select(group, F.transform("bag", lambda x: F.struct(x["term"].alias("term"), (x["n"] * F.element_at("idf", x["term"])).alias("w"))).alias("bag"))
+    length = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    sums = weighed.withColumn("length", length).select(group, "length", F.explode("bag").alias("x")).groupBy(group, F.col("x.term").alias("term")).agg(F.round(F.sum(F.col("x.w") / F.col("length")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "term"))
     return sums.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
@@ -79,26 +88,31 @@ def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, seeds
         return data.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"))
     models = [KMeans(k=k, seed=s).fit(data) for s in seeds]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     found = best.transform(data).select("id", F.col("prediction").alias("cluster"), "features")
     return place_singles(found, "id", "cluster", "features") if place else found.select("id", "cluster")
 
 
-def long_form(df: DataFrame, id_col: str, vec_col: str, *more: str) -> DataFrame:
-    return df.select(id_col, *more, F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x"))
+def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int = 2, most: int = 1000) -> DataFrame:
+    """(id, cluster): members of clusters below ``least`` rows move to the kept centroid of greatest cosine, ties to the smaller cluster.  With none kept all share cluster 0.
 
+    Up to ``most`` centroids, as k-means makes them, meet the orphans as one broadcast row of arrays, so no vector is
+    taken apart or moved; more of them come in blocks of that size, without a broadcast.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int = 2) -> DataFrame:
-    """(id, cluster): members of clusters below ``least`` rows move to the kept centroid of greatest cosine, ties to the smaller cluster.  With none kept all share cluster 0."""
-    size = df.groupBy(cluster).agg(F.count("*").alias("_n"))
-    sized = df.join(size, cluster)
-    kept, orphans = sized.where(F.col("_n") >= least), sized.where(F.col("_n") < least)
-    centroid = long_form(kept, id_col, vec_col, cluster).groupBy(cluster, "dim").agg(F.avg("x").alias("c"))
-    centroid = centroid.withColumn("cn", F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(cluster))))
-    own = long_form(orphans, id_col, vec_col).withColumn("xn", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col))))
-    near = own.join(centroid, "dim").groupBy(id_col, cluster).agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("c")), F.max("xn") * F.max("cn")), F.lit(0.0)).alias("cosine"))
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("cosine"), cluster))).where("_r = 1").select(id_col, cluster)
-    placed = orphans.select(id_col).join(best, id_col, "left").withColumn(cluster, F.coalesce(cluster, F.lit(0)))
-    return kept.select(id_col, cluster).unionByName(placed)
+    rows = df.select(id_col, cluster, F.col(vec_col).cast("array<double>").alias("v"))
+    means = rows.groupBy(cluster).agg(F.count("*").alias("n"), Summarizer.mean(array_to_vector("v")).alias("c"))
+    kept = means.where(F.col("n") >= least).select(cluster, vector_to_array("c").alias("c"))
+    sized = rows.join(means.select(cluster, "n"), cluster)
+    orphans = sized.where(F.col("n") < least).select(id_col, "v")
+    few = kept.count() <= most
+    blocks = kept.withColumn("block", F.floor((F.row_number().over(Window.orderBy(cluster)) - 1) / most)).groupBy("block").agg(F.collect_list(F.struct(F.col(cluster).alias("k"), "c")).alias("all"))
+    near = F.transform("all", lambda x: F.struct((-F.coalesce(cosine(F.col("v"), x["c"]), F.lit(0.0))).alias("far"), x["k"].alias("k")))
+    best = orphans.join(F.broadcast(blocks) if few else blocks, how="left").select(id_col, F.array_min(near).alias("best")).groupBy(id_col).agg(F.min("best").alias("best"))
+    placed = best.select(id_col, F.coalesce("best.k", F.lit(0)).alias(cluster))
+    return sized.where(F.col("n") >= least).select(id_col, cluster).unionByName(placed)
 
 
 def place_singles(df: DataFrame, id_col: str, cluster: str, vec_col: str) -> DataFrame:
@@ -119,4 +133,14 @@ def place_singles(df: DataFrame, id_col: str, cluster: str, vec_col: str) -> Dat
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def cluster_posts(posts: DataFrame, id_col: str, text: str, vectors: DataFrame | None = None, vec_col: str = "embedding") -> DataFrame:
+    """(id, cluster) of posts: by their vectors if every post has one, else by TF-IDF; single rows join the nearest cluster."""
+    if vectors is not None:
+        both = posts.select(id_col).join(vectors.select(id_col, vec_col), id_col, "left")
+        if both.where(F.col(vec_col).isNull()).limit(1).count() == 0:
+            found = kmeans(both, id_col, vec_col, seeds=range(42, 52))
+            return reassign_orphans(found.join(both.withColumnRenamed(id_col, "id"), "id"), "id", "cluster", vec_col)
+    return kmeans(tfidf_vectors(posts, id_col, text, stop=english_stop_words()), id_col, "features", seeds=range(42, 52), place=True)
