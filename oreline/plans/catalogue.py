@@ -2,52 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
-from ..functions import evidence, lexicons, render, scoring, text, validate
+from ..functions import lexicons, scoring
 from ..operators import relational, store, topics
-from ..sources import landed, provider
+from ..sources import landed
+from . import cards, ingest, views  # noqa: F401 - these register their queries
+from .registry import QUERIES, SQL, literal, n_contained, query  # noqa: F401
 from .views import ITEMS, LABELS, items, labels, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 def values(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-def literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, list):
-        return "[" + ", ".join(map(literal, v)) + "]"
-    return str(v)
-
-
 def table_of(columns: str, rows: list[tuple]) -> str:
-    """The rows as SQL: the expected result, written out."""
+    """The rows as SQL."""
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-#: Stand-ins that occur in the test tables' invented words.
-WORDS = ["hate", "license", "thatin", "ononst"]
 _B = "WITH " + ITEMS + ",\n" + LABELS + "\n"
 _PASS = "(label IN ('PAIN', 'DISCUSSION') AND confidence >= 0.55 AND ((audience_fit IS NULL AND pain_intensity IS NULL AND actionability IS NULL) OR (coalesce(audience_fit, 0) >= 0.65 AND (coalesce(pain_intensity, 0) >= 0.5 OR coalesce(actionability, 0) >= 0.6))))"
 _PENALTY = "(CASE WHEN contains(lower(title), 'show hn') AND label <> 'PAIN' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN source = 'rss' AND NOT has_spans THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN excluded THEN 0.2::DOUBLE ELSE 0 END)"
@@ -82,30 +56,14 @@ def rank_ties(spark, sf):
     return values(spark, "id int, score double, ord int", _TIES).orderBy(F.desc("score"), F.desc_nulls_last("ord"), "id").limit(4).select("id", "ord")
 
 
-_PAIN = [(1, "", "I wish there was a tool"), (2, "Why can't I export?", "so frustrated, please fix"), (3, "", "   "), (4, "", "all is well"), (5, "", "How do I move? I need a way, is there a simple way to do this; looking for an alternative to X. I hate that it sucks and it is broken"), (6, "", "debug the needle")]
-
-
-@query(table_of("id, score", [(1, 0.15), (2, 0.65), (3, 0.0), (4, 0.0), (5, 1.0), (6, 0.0)]).replace("SELECT *", "SELECT id, score::DOUBLE AS score"))
-def pain_heuristic_fixture(spark, sf):
-    return values(spark, "id int, title string, text string", _PAIN).select("id", F.round(scoring.pain_heuristic(F.col("text"), F.col("title")), 6).alias("score"))
-
-
-@query("SELECT doc_id, round(CASE WHEN trim(text) = '' THEN 0 ELSE least(1, 0.15 * ((regexp_matches(lower(text), '\\bthe\\b'))::INT + (regexp_matches(lower(text), '\\blicen[cs]e'))::INT + (regexp_matches(lower(text), '@\\w+'))::INT) + CASE WHEN contains(text, '?') THEN 0.2 ELSE 0 END) END, 6)::DOUBLE AS score FROM documents")
-def pain_heuristic_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(scoring.pain_heuristic(F.col("text"), patterns=[r"\bthe\b", r"\blicen[cs]e", r"@\w+"]), 6).alias("score"))
-
-
-@query(_B + "SELECT id, (CASE label WHEN 'PAIN' THEN 0.5::DOUBLE WHEN 'DISCUSSION' THEN 0.3::DOUBLE ELSE 0 END * confidence::DOUBLE)::DECIMAL(5,2) AS pain FROM v_labels")
-def combined_pain_score(spark, sf):
-    return labels(spark, sf).select("id", scoring.combined_pain(F.lit(0.0), F.col("label"), F.col("confidence")).alias("pain"))
+_TURNS = f"(SELECT conv_id, turn, substring(text || ' ' || {views.said_sql('conv_id + turn')}, 1, 2000) AS text FROM conversations)"
+_HITS = n_contained("text", lexicons.COMMENT_WORDS)
 
 
-_HITS = " + ".join(f"contains(lower(substring(text, 1, 2000)), '{w}')::INT" for w in WORDS)
-
-
-@query(f"SELECT conv_id, turn, rank::INT AS rank, score::INT AS score FROM (SELECT conv_id, turn, {_HITS} AS score, row_number() OVER (PARTITION BY conv_id ORDER BY {_HITS} DESC, length(substring(text, 1, 2000)) DESC, turn) AS rank FROM conversations WHERE coalesce(text, '') <> '') WHERE rank <= 3")
+@query(f"SELECT conv_id, turn, rank::INT AS rank, score::INT AS score FROM (SELECT conv_id, turn, {_HITS} AS score, row_number() OVER (PARTITION BY conv_id ORDER BY {_HITS} DESC, length(text) DESC, turn) AS rank FROM {_TURNS} WHERE coalesce(text, '') <> '') WHERE rank <= 3")
 def comment_rank_topk(spark, sf):
-    return landed.top_comments(table(spark, sf, "conversations"), "conv_id", "text", "turn", 3, WORDS).select("conv_id", "turn", "rank", F.col("score").cast("int").alias("score"))
+    turns = table(spark, sf, "conversations").withColumn("text", F.concat("text", F.lit(" "), views.said(F.col("conv_id") + F.col("turn"))))
+    return landed.top_comments(turns, "conv_id", "text", "turn", 3).select("conv_id", "turn", "rank", F.col("score").cast("int").alias("score"))
 
 
 @query("SELECT conv_id AS id, n::INT AS descendants, chars AS score FROM (SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1) ORDER BY n DESC, chars DESC, conv_id LIMIT 25")
@@ -115,59 +73,6 @@ def story_rank(spark, sf):
     return landed.top_stories(twice).select("id", "descendants", "score")
 
 
-# ---- evidence
-
-_W = lambda s: f"list_filter(regexp_split_to_array({s}, '\\s+'), lambda w: w <> '')"
-_F12 = lambda s: f"array_to_string(({_W(s)})[1:12], ' ')"
-_HAS = lambda s: f"(contains(lower({s}), 'hate') OR contains(lower({s}), 'thatin'))"
-
-
-@query(
-    f"""WITH d AS (SELECT doc_id, regexp_replace(substring(text, 1, 80), '^\\s+|\\s+$', '', 'g') AS title, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents),
- s AS (SELECT doc_id, 0 AS o, {_F12('title')} AS s FROM d WHERE {_HAS('title')}
-  UNION ALL SELECT doc_id, o, {_F12('p')} FROM (SELECT doc_id, generate_subscripts(ps, 1) AS o, regexp_replace(unnest(ps), '^\\s+|\\s+$', '', 'g') AS p FROM (SELECT doc_id, regexp_split_to_array(replace(title || chr(10) || chr(10) || body, chr(10), '. '), '[.!?]\\s+') AS ps FROM d)) WHERE length(p) > 10 AND {_HAS('p')} AND len({_W('p')}) >= 3),
- f AS (SELECT doc_id, s, o, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY o) AS k FROM s),
- g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS n FROM f WHERE k = 1),
- h AS (SELECT doc_id, string_agg(s, ' || ' ORDER BY n) AS x FROM g WHERE n <= 4 GROUP BY 1)
- SELECT d.doc_id, coalesce(h.x, {_F12("CASE WHEN title <> '' THEN title ELSE body END")}) AS snippets FROM d LEFT JOIN h USING (doc_id)"""
-)
-def evidence_snippets(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(evidence.snippets(F.substring("text", 1, 80), F.col("text"), lexicon=["hate", "thatin"]), " || ").alias("snippets"))
-
-
-_ITEM = "source string, source_id string, url string, evidence_snippets array<string>, comments array<struct<text: string, post_url: string, comment_id: string, comment_url: string>>"
-_ITEMS = [
-    ("hn", "7", "", ["it broke again", "login fails"], [("yes it broke again today", "p1", "c1", "u1"), ("IT BROKE AGAIN and login fails", None, "c2", "u2"), ("login fails", None, "c3", "u3")]),
-    ("rss", "8", "http://a", ["one", " ", "two", "three"], []),
-    ("hn", "9", "http://b", ["unmatched words"], [("other", None, "c4", "u4")]),
-]
-
-
-@query(table_of("source_id, ordinal, quote, post_url, comment_id", [("7", 0, "it broke again", "https://news.ycombinator.com/item?id=7", "c2"), ("7", 1, "login fails", "https://news.ycombinator.com/item?id=7", "c3"), ("8", 0, "one", "http://a", None), ("8", 1, "two", "http://a", None), ("9", 0, "unmatched words", "http://b", None)]))
-def evidence_bullets(spark, sf):
-    x = values(spark, _ITEM, _ITEMS).withColumn("item", F.struct("*"))
-    return x.select("source_id", F.posexplode(evidence.bullets(F.col("item"))).alias("ordinal", "b")).select("source_id", "ordinal", "b.quote", "b.post_url", "b.comment_id")
-
-
-_BUNDLE = [(1, [("u1", "T one", "text", ["a b", "c d"]), ("u2", "T two", "text", ["c d", "e f"]), ("u3", "T three", "x", ["g"])]), (2, [("u1", "T one", "line\nbreak", None), ("u1", "T two", "t", [])])]
-
-
-@query(table_of("id, snippets, links", [(1, "a b|c d|e f", "u1|u2"), (2, "T one|line break|T two", "u1")]))
-def evidence_bundle(spark, sf):
-    x = values(spark, "id int, items array<struct<url: string, title: string, text: string, evidence_snippets: array<string>>>", _BUNDLE).withColumn("b", evidence.bundle(F.col("items")))
-    return x.select("id", F.array_join("b.snippets", "|").alias("snippets"), F.array_join("b.links", "|").alias("links"))
-
-
-_TOPICS = [(1, ["Deploy", " "], ["deploy broke", "a deploy step", "x"]), (2, ["auth"], ["auth only once"]), (3, [], ["open source"]), (4, None, None), (5, ["k8s"], ["XSS found", "cve too"])]
-
-
-@query(table_of("id, passed, reason", [(1, True, "snippet_keyword_hits=2 across topic_tags"), (2, False, "insufficient support: snippet_keyword_hits=1 (need >=2), direct_indicator_hits=0 (need >=1)"), (3, True, "direct_indicator_hits=1"), (4, False, "insufficient support: snippet_keyword_hits=0 (need >=2), direct_indicator_hits=0 (need >=1)"), (5, True, "direct_indicator_hits=2")]))
-def topic_coherence(spark, sf):
-    x = values(spark, "id int, tags array<string>, evidence array<string>", _TOPICS).withColumn("c", evidence.coherence(F.col("tags"), F.col("evidence")))
-    return x.select("id", "c.passed", "c.reason")
-
-
 # ---- grades
 
 
@@ -183,15 +88,6 @@ def impact(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", scoring.impact(F.col("o_custkey") % 4, F.col("o_orderkey") % 3, urgent).alias("impact"), urgent.alias("urgent"))
 
 
-_BUILD = [(1, "Low", "a", "one two"), (2, "Med", "two words", "one two three four five"), (3, "High", "two words", "one two three four five"), (4, "?", None, None)]
-
-
-@query(table_of("id, pain, catalyst", [(1, 0.2, 0.2), (2, 0.7, 0.65), (3, 1.0, 0.95), (4, 0.4, 0.4)]).replace("SELECT *", "SELECT id, pain::DOUBLE AS pain, catalyst::DOUBLE AS catalyst"))
-def buildability(spark, sf):
-    x = values(spark, "id int, grade string, who string, wedge string", _BUILD)
-    return x.select("id", F.round(scoring.buildability_pain(F.col("grade"), F.col("who"), F.col("wedge")), 6).alias("pain"), F.round(scoring.buildability_catalyst(F.col("grade"), F.col("wedge")), 6).alias("catalyst"))
-
-
 # ---- joins, aggregates, sets
 
 _WEIGHTS = [("rss", " a ", 0.0), ("rss", "a", None), ("rss", "b", 1.5), ("subreddit", "", 2.0), ("subreddit", "c", 0.25)]
@@ -212,15 +108,19 @@ def interest_join(spark, sf):
  SELECT c.cluster, size, pain, urls FROM (SELECT cluster, count(*) AS size, round(avg(coalesce(confidence, 0)::DOUBLE), 2) AS pain FROM v_items LEFT JOIN v_labels USING (id) GROUP BY 1) c JOIN (SELECT cluster, string_agg(url, ' ' ORDER BY k) AS urls FROM r WHERE k <= 5 GROUP BY 1) x USING (cluster)"""
 )
 def cluster_rollup(spark, sf):
-    x = items(spark, sf).join(labels(spark, sf).select("id", "confidence"), "id", "left")
-    return x.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))), 2).alias("pain"), F.array_join(relational.ordered_distinct(F.col("url"), F.col("id"), 5), " ").alias("urls"))
+    x = items(spark, sf).select("id", "cluster", "url").join(labels(spark, sf).select("id", "confidence"), "id", "left")
+    sizes = x.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))), 2).alias("pain"))
+    urls = relational.first_distinct(x, ["cluster"], "url", "id", 5, "urls")
+    return sizes.join(urls, "cluster", "left").select("cluster", "size", "pain", F.array_join("urls", " ").alias("urls"))
 
 
-@query(_B + "SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY published_at DESC NULLS LAST, id)::INT AS position FROM v_items JOIN (SELECT DISTINCT cluster FROM v_items WHERE cluster < 5) USING (cluster)")
+@query(_B + "SELECT c.cluster AS cluster_index, i.id, row_number() OVER (PARTITION BY c.cluster ORDER BY i.published_at DESC NULLS LAST, i.id)::INT AS position FROM (SELECT DISTINCT cluster FROM v_items) c JOIN v_items m ON m.cluster = c.cluster JOIN v_items i ON i.id = m.id")
 def cluster_items_join(spark, sf):
+    """Clusters, their members and the members' items, in order of cluster, then newest first."""
     x = items(spark, sf)
-    joined = x.join(x.where("cluster < 5").select("cluster").distinct(), "cluster")
-    return joined.select("cluster", "id", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc_nulls_last("published_at"), "id")).cast("int").alias("position"))
+    clusters, members = x.select("cluster").distinct(), x.select("cluster", "id")
+    joined = clusters.join(members, "cluster").join(x.drop("cluster"), "id")
+    return joined.select(F.col("cluster").alias("cluster_index"), "id", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc_nulls_last("published_at"), "id")).cast("int").alias("position"))
 
 
 @query(_B + "SELECT i.id FROM v_items i LEFT JOIN v_labels l USING (id) WHERE i.source = 'rss' OR l.label = 'NEWS'")
@@ -246,12 +146,13 @@ def set_union(spark, sf):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def set_diff(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").exceptAll(table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+    return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def dedupe_first(spark, sf):
-    return table(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    # two hashes name a text, so only narrow keys move
+    return table(spark, sf, "documents").groupBy(F.xxhash64("text"), F.hash("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("SELECT lower(p_name) AS theme, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
@@ -260,17 +161,6 @@ def dedupe_theme_ci(spark, sf):
     return first.select("theme", "p_partkey")
 
 
-_GREEDY = [(1, ["a", "b"], None), (2, ["b"], None), (3, ["b"], "x"), (4, ["c"], None), (5, ["c", "d"], None), (6, [], None)]
-
-
-@query(table_of("tags, urls", [([1, 3, 4, 6], [1, 4, 6])]))
-def greedy_dedupe(spark, sf):
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "keys", "connects")))
-    x = values(spark, "ordinal int, keys array<string>, connects string", _GREEDY).agg(rows.alias("r"))
-    linked = lambda r: F.coalesce(r["connects"], F.lit("")) != ""
-    return x.select(relational.greedy_disjoint(F.col("r"), "keys", linked).alias("tags"), relational.greedy_disjoint(F.col("r"), "keys").alias("urls"))
-
-
 @query("SELECT l_returnflag AS source, count(*) AS n FROM lineitem GROUP BY 1")
 def source_counts(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.count("*").alias("n"))
@@ -326,17 +216,21 @@ def key_lookup(spark, sf):
 # ---- topics
 
 
+_STOP = topics.STOP_WORDS
+
+
 @query(
-    """WITH d AS (SELECT doc_id, (doc_id % 15)::INT AS g, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS ws FROM documents WHERE lang = 'en' AND length(text) < 3000),
+    f"""WITH d AS (SELECT doc_id, (doc_id % 15)::INT AS g, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({literal(_STOP)}, w)) AS ws FROM documents),
  t AS (SELECT g, doc_id, unnest(ws) AS term FROM d UNION ALL SELECT g, doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT g, doc_id, ws, unnest(range(1, len(ws))) AS i FROM d WHERE len(ws) > 1)),
- c AS (SELECT g, doc_id, term, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT g, term, count(*) AS df FROM c GROUP BY ALL), m AS (SELECT g, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1),
+ v AS (SELECT g, term FROM (SELECT g, term, row_number() OVER (PARTITION BY g ORDER BY k DESC, term) AS r FROM (SELECT g, term, count(*) AS k FROM t GROUP BY ALL)) WHERE r <= 200),
+ c AS (SELECT g, doc_id, term, count(*) AS n FROM t JOIN v USING (g, term) GROUP BY ALL), f AS (SELECT g, term, count(*) AS df FROM c GROUP BY ALL), m AS (SELECT g, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1),
  w AS (SELECT g, doc_id, term, n * (ln((1 + docs) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN f USING (g, term) JOIN m USING (g)),
  x AS (SELECT g, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc_id)) AS w FROM w), s AS (SELECT g, term, round(sum(w), 6) AS score FROM x GROUP BY ALL)
  SELECT g AS cluster, term, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5"""
 )
 def tfidf_top_terms(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' AND length(text) < 3000").withColumn("cluster", (F.col("doc_id") % 15).cast("int"))
-    return topics.top_terms(d, "cluster", "doc_id", "text").select("cluster", "term", "score", "rank")
+    d = table(spark, sf, "documents").withColumn("cluster", (F.col("doc_id") % 15).cast("int"))
+    return topics.top_terms(d, "cluster", "doc_id", "text", stop=_STOP).select("cluster", "term", "score", "rank")
 
 
 @query(
@@ -360,70 +254,7 @@ def kmeans_tfidf(spark, sf):
     return topics.kmeans(vectors, "doc_id", "features", seeds=range(42, 52), place=True)
 
 
-# ---- cards
-
-_EV = [("two words here", "http://p", "http://c")]
-_CARD = ("API gateways can drop calls", "Teams lose hours each week when gateways silently drop calls", "Calls vanish.", "Backend teams at scale", _EV, "Platform leads at startups", "", ["Hours lost"], ["now"], ("icp", "a small cli checker", "saves hours", "forums", "no agents"), "high", "no users in a month")
-
-
-def _card(**change) -> tuple:
-    names = "title hook problem who_is_affected evidence who_pays why_existing_tools_fail stakes why_now wedge confidence kill_criteria".split()
-    return tuple(change.get(n, v) for n, v in zip(names, _CARD, strict=True))
-
-
-_CARDS = [
-    (1, _card()), (2, _card(who_pays="developers", kill_criteria="")), (3, _card(title="Software Supply Chain Woe", stakes=[])), (4, _card(evidence=[("q", "http://bad", "")], who_pays="")),
-    (5, _card(wedge=("icp", "an idea only", "", "forums", "x"), confidence="sure")), (6, _card(problem="This highlights a need", evidence=None)),
-]
-_STAKE = "stakes must include at least one (time, reliability, security, money); proxy/estimate allowed if labeled"
-
-
-def _cards(spark):
-    return spark.createDataFrame(_CARDS, StructType([StructField("id", IntegerType()), StructField("card", _parse_datatype_string(validate.CARD))]))
-
-
-@query(table_of("id, hard, soft, warnings", [(1, "", "", 0), (2, "buyer/owner undefined (generic 'developers' with no role/team)|kill_criteria required", "", 0), (3, "title must imply failure mode", _STAKE, 0), (4, "evidence contains invented post link|evidence has no post_url links", "who_pays missing", 1), (5, "", "wedge.mvp should include tangible artifact (scanner, diff, CLI, etc.)|wedge.why_they_pay missing|confidence must be low|med|high", 0), (6, "evidence missing entirely|banned phrase in content", "", 0)]))
-def card_validate(spark, sf):
-    e = validate.card_errors(F.col("card"), F.array(F.lit("http://p"), F.lit("http://c")))
-    return _cards(spark).withColumn("e", e).select("id", F.array_join("e.hard", "|").alias("hard"), F.array_join("e.soft", "|").alias("soft"), F.size("e.warnings").alias("warnings"))
-
-
-@query(table_of("id, who_pays, n_stakes, confidence, n_soft", [(1, "Platform leads at startups", 1, "med", 0), (2, "Platform / backend teams at scale", 1, "med", 0), (3, "Platform leads at startups", 2, "med", 0), (4, "Platform / backend teams at scale", 1, "med", 0), (5, "Platform leads at startups", 1, "med", 2), (6, "Platform leads at startups", 1, "med", 0)]))
-def card_repair(spark, sf):
-    fixed = _cards(spark).withColumn("card", validate.repaired(F.col("card")))
-    again = fixed.withColumn("e", validate.card_errors(F.col("card"), F.array().cast("array<string>")))
-    return again.select("id", "card.who_pays", F.size("card.stakes").alias("n_stakes"), "card.confidence", F.size("e.soft").alias("n_soft"))
-
-
-_NITEM = "id int, hook string, explanation string, why_bullets array<string>, who string, wedge string, evidence_snippets array<string>, links array<string>, strength_or_impact string"
-_NITEMS = [(1, "Builders keep losing hours to flaky tests every week", "It hurts.", ["why"], "Teams", "Fix it", ["flaky again"], ["http://a"], "Med"), (2, "This article is short", "This showcases x", [], "w", "w", [], ["a", "b", "c", "d"], "Big")]
-
-
-@query(table_of("id, errors", [(1, ""), (2, "links count 4 > 3|evidence_snippets required|hook must be 8–14 words|hook must not start with 'This article' / 'This post'|strength_or_impact must be Low, Med, or High|banned phrase in content")]))
-def item_validate(spark, sf):
-    return values(spark, _NITEM, _NITEMS).withColumn("item", F.struct("*")).select("id", F.array_join(validate.item_errors(F.col("item")), "|").alias("errors"))
-
-
-_HN = "https://news.ycombinator.com/item?id="
-_LINKS = [(1, "high", [("q", "p", _HN + "1"), ("q", "p", _HN + "2"), ("q", "p", _HN + "3"), ("q", "p", "")]), (2, "high", [("q", "p", _HN + "1"), ("q", "p", _HN + "2"), ("q", "p", ""), ("q", "p", None)]), (3, "med", [("q", "p", _HN + "1")]), (4, "high", [])]
-
-
-@query(table_of("id, share, threads, confidence", [(1, 0.75, 3, "high"), (2, 0.5, 2, "med"), (3, 1.0, 1, "low"), (4, 0.0, 0, "low")]).replace("SELECT *", "SELECT id, share::DOUBLE AS share, threads, confidence"))
-def permalink_confidence(spark, sf):
-    x = values(spark, "id int, confidence string, evidence array<struct<quote: string, post_url: string, comment_url: string>>", _LINKS)
-    e = F.col("evidence")
-    return x.select("id", validate.comment_share(e).alias("share"), validate.thread_links(e).alias("threads"), validate.lowered_confidence(F.col("confidence"), e).alias("confidence"))
-
-
-# ---- model answers, fallbacks, mappers
-
-_ANSWERS = [(1, '{"label": "pain", "confidence": 1.7, "topic_tags": ["a", ""]}'), (2, '```json\n{"label": "odd", "audience_fit": 0.25}\n```'), (3, "news\n0.4"), (4, "garbage"), (5, None)]
-
-
-@query(table_of("id, label, confidence, audience_fit, tags, exclude_reason", [(1, "PAIN", 1.0, 0.5, 1, None), (2, "OTHER", 0.5, 0.25, 0, None), (3, "NEWS", 0.4, 0.0, 0, "parse_fallback"), (4, "OTHER", 0.5, 0.0, 0, "parse_fallback"), (5, "OTHER", 0.5, 0.0, 0, "parse_fallback")]).replace("SELECT *", "SELECT id, label, confidence::DOUBLE AS confidence, audience_fit::DOUBLE AS audience_fit, tags, exclude_reason"))
-def json_normalise(spark, sf):
-    x = values(spark, "id int, answer string", _ANSWERS).withColumn("a", provider.label_answer(F.col("answer")))
-    return x.select("id", "a.label", "a.confidence", "a.audience_fit", F.size("a.topic_tags").alias("tags"), "a.exclude_reason")
+# ---- answers, fallbacks
 
 
 @query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")
@@ -436,84 +267,6 @@ def gate_fallback(spark, sf):
     return relational.gate_fallback(labels(spark, sf).select("id", "label", F.col("id").alias("ordinal"))).select("id", "featured")
 
 
-_TIMES = [(1, "1700000000"), (2, "2024-02-03T04:05:06Z"), (3, "soon"), (4, None)]
-
-
-@query(table_of("id, epoch", [(1, 1700000000), (2, 1706933106), (3, None), (4, None)]).replace("SELECT *", "SELECT id, epoch::BIGINT AS epoch"))
-def polymorphic_ts(spark, sf):
-    return values(spark, "id int, t string", _TIMES).select("id", F.unix_timestamp(landed.parse_time(F.col("t"))).alias("epoch"))
-
-
-_POSTS = [("7", "/r/x/1", "T", "b", ""), (None, "http://h/2", None, "", "self")]
-
-
-@query(table_of("url, title, text", [("https://www.reddit.com/r/x/1", "T", "b"), ("http://h/2", "", "self")]))
-def url_fix(spark, sf):
-    return landed.map_thread_item(values(spark, "id string, permalink string, title string, body string, selftext string", _POSTS)).select("url", "title", "text")
-
-
-_MAILS = [(1, " A@B.com "), (2, "bad"), (3, "x@y"), (4, "a@b.com"), (5, None)]
-
-
-@query(table_of("email", [("a@b.com",)]))
-def email_clean(spark, sf):
-    x = values(spark, "id int, email string", _MAILS).select(F.lower(F.trim("email")).alias("email"))
-    return x.where(F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")).distinct()
-
-
-# ---- rendering
-
-
-@query(table_of("id, markdown", [(1, "### **Builders keep losing hours to flaky tests every week**\n\nIt hurts.\n\n- why\n\n**Who:** Teams\n**Possible wedge:** Fix it\n**Signal strength:** Med\n\n**Evidence:** flaky again\n- http://a\n")]))
-def render_item(spark, sf):
-    x = values(spark, _NITEM, _NITEMS[:1]).withColumn("item", F.struct("*"))
-    return x.select("id", render.item_markdown(F.col("item"), F.lit("pain")).alias("markdown"))
-
-
-_MD = (
-    '### **API gateways can drop calls**\n\nTeams lose hours each week when gateways silently drop calls\n\n**Problem:** Calls vanish.\n\n**Who is affected:** Backend teams at scale\n\n**Evidence:**\n- "two words here" — Post: http://p — Comment: http://c\n\n'
-    "**Who pays:** Platform leads at startups\n**Stakes:**\n- Hours lost\n\n**Why now:**\n- now\n\n**Wedge:**\n- ICP: icp\n- MVP: a small cli checker\n- Why they pay: saves hours\n- First channel: forums\n- Anti-feature: no agents\n\n**Confidence:** high\n\n**Kill criteria:** no users in a month\n\n**Warnings:** w1; w2\n"
-)
-
-
-@query(table_of("id, markdown", [(1, _MD)]))
-def render_card(spark, sf):
-    w = F.array(F.lit("w1"), F.lit("w2"))
-    return _cards(spark).where("id = 1").select("id", render.card_markdown(F.col("card"), w, F.lit(False)).alias("markdown"))
-
-
-@query(table_of("title, problem, who_pays, n_evidence, stakes, confidence", [("API gateways can drop calls", "Calls vanish.", "Platform leads at startups", 1, "Hours lost", "high")]))
-def parse_report(spark, sf):
-    x = values(spark, "md string", [(_MD,)]).withColumn("c", render.parse_card(F.col("md")))
-    return x.select("c.title", "c.problem", "c.who_pays", F.size("c.evidence").alias("n_evidence"), F.array_join("c.stakes", "|").alias("stakes"), "c.confidence")
-
-
-_INLINE = [(1, "## a **b** *c* `d` <e>"), (2, "[x](http://y) & z"), (3, None)]
-
-
-@query(table_of("id, html", [(1, "a <strong>b</strong> <em>c</em> <code>d</code> &lt;e&gt;"), (2, '<a href="http://y">x</a> &amp; z'), (3, "")]))
-def md_to_html(spark, sf):
-    return values(spark, "id int, md string", _INLINE).select("id", render.inline_html(F.col("md")).alias("html"))
-
-
-@query(table_of("line, parsed", [("Today's themes: a, b.", "a|b"), ("Today's themes: c.", "c"), ("", "")]))
-def themes_round_trip(spark, sf):
-    x = values(spark, "titles array<string>", [(["a", "", " b "],), (["c"],), ([],)]).select(render.themes(F.col("titles")).alias("line"))
-    return x.select("line", F.array_join(render.parse_themes(F.col("line")), "|").alias("parsed"))
-
-
-_BETS = [(1, [(1, 0.5, "x"), (2, 0.7, "y"), (3, 0.7, "z")]), (2, [(1, 0.1, "x")]), (3, [])]
-
-
-@query(table_of("id, bet", [(1, "One line I'd bet on: y"), (2, "Worth exploring: x"), (3, "Worth exploring: re-run with more data.")]))
-def one_bet(spark, sf):
-    x = values(spark, "id int, items array<struct<ordinal: int, score: double, wedge: string>>", _BETS)
-    return x.select("id", render.one_bet(F.col("items")).alias("bet"))
-
-
 @query(f"SELECT count(*) AS n, sum(length(title))::BIGINT AS chars FROM (WITH {ITEMS} SELECT * FROM v_items)")
 def report_totals(spark, sf):
     return items(spark, sf).agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("chars"))
-
-
-__all__ = ["QUERIES", "SQL", "lexicons", "text"]
