@@ -34,3 +34,5 @@ PENALTY_SHOW, PENALTY_FEED, PENALTY_EXCLUDED = 0.25, 0.25, 0.20
 LABELS = ["PAIN", "DISCUSSION", "NEWS", "OTHER"]
 # Texts that stand in where a card lacks them.
 PROXY_STAKES = ["Estimate: engineer-hours and MTTR risk when incidents recur.", "Proxy: reliability and security impact (likely sev escalation if unaddressed)."]
+# Topics that are left out of news.
+EXCLUDED = ["local human interest", "agriculture/food giveaways", "sports", "celebrity", "lifestyle", "pure politics"]

@@ -13,6 +13,11 @@ _NONE = "array<string>"
 # Phrases of a summary that found nothing.
 EMPTY_SUMMARY = ["unclear from evidence", "not enough evidence"]
 
+#: The fields of validate.CARD inside of a struct.
+_CARD_FIELDS = (
+    "title: string, hook: string, problem: string, who_is_affected: string, evidence: array<struct<quote: string, post_url: string, comment_url: string>>, who_pays: string, why_existing_tools_fail: string, stakes: array<string>, why_now: array<string>, "
+    "wedge: struct<icp: string, mvp: string, why_they_pay: string, first_channel: string, anti_feature: string>, confidence: string, kill_criteria: string"
+)
 SAMPLE = (
     "date string, clusters array<struct<id: string, title: string, summary: string, persona: string, why_matters: string, size: int, score: double, items: array<struct<title: string, text: string, url: string, evidence_snippets: array<string>>>>>, "
     "catalysts array<struct<title: string, summary: string, interests: array<string>, problems_created: string, source_urls: array<string>>>, wildcard struct<title: string, text: string, url: string, evidence_snippets: array<string>>"
@@ -121,6 +126,14 @@ def assemble(name: str, cards: DataFrame, rejects: DataFrame | None = None, bets
     return out.select("date", render.report_markdown(F.lit(name), F.col("date").cast("string"), F.col("cards"), bet, gone, F.col("drops")).alias("markdown"))
 
 
+def empty_report(name: str, date: str = "date", bet: str = "bet", rejects: str = "rejects") -> Column:
+    """The report of a day without any card."""
+    gone = F.coalesce(F.col(rejects), F.array().cast("array<struct<ordinal: int, kind: string, index: string, reason: string>>"))
+    cards = F.array().cast(f"array<struct<ordinal: int, card: struct<{_CARD_FIELDS}>, warnings: array<string>>>")
+    drops = F.array().cast("array<struct<ordinal: int, title: string, errors: array<string>>>")
+    return render.report_markdown(F.lit(name), F.col(date).cast("string"), cards, nz(F.col(bet), normalise.NO_DATA), gone, drops)
+
+
 # ---- the sample report: the whole way without a model
 
 
