@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = p / (p + n) if p + n else 0.0
         return FactorizationMachine(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), slot, np.zeros(1), np.zeros((1, 0)))
     a, b, c, d = F.col("p"), F.col("n"), p - F.col("p"), n - F.col("n")
-    chi = (p + n) * (a * d - b * c) * (a * d - b * c) / (F.lit(float(p)) * n * (a + b) * (c + d))
+    # a bucket in every row says nothing: no chi
+    chi = F.try_divide((p + n) * (a * d - b * c) * (a * d - b * c).cast("double"), F.lit(float(p)) * n * (a + b) * (c + d))
     best = sums.where("term >= 0").withColumn("chi", chi.cast("double")).where("chi > 12").orderBy(F.desc("chi"), "term").limit(TERMS).select("term").toPandas()["term"].to_numpy()
     slot[best] = np.arange(len(best))
 

@@ -184,6 +184,37 @@ def test_op2_held_out_accuracy(spark, odd, none):
     assert none.select(toxicity.score_column(model)).count() == 0
 
 
+def test_op2_score_is_the_sum_over_pairs():
+    """The score against a plain sum over all pairs of a text's terms."""
+    rng = np.random.default_rng(3)
+    texts = [b"", "You ARE a fool, fool!".encode(), " ".join(f"w{i}" for i in range(300)).encode(), b"unknown", "é ü fool".encode()]
+    slot = np.full(1 << toxicity.BITS, -1, dtype=np.int16)
+    _, term = toxicity.terms_of(texts[1:3])
+    known = np.unique(term)[::2]
+    slot[known] = np.arange(len(known))
+    w, v = rng.normal(size=len(known)), rng.normal(scale=0.1, size=(len(known), toxicity.FACTORS))
+    got = toxicity.FactorizationMachine(-0.4, slot, w, v).score(texts)
+    for k, t in enumerate(texts):
+        at = sorted({int(slot[x]) for x in toxicity.terms_of([t])[1]} - {-1})
+        z = -0.4 + sum(w[i] for i in at) + sum(float(v[i] @ v[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_op2_repeated_ids_and_labels(spark, monkeypatch):
+    """Rows under one id don't break the bound; equal rows and several labels count once; labels of one kind give their share."""
+    docs = spark.createDataFrame([(i % 20, f"text {i % 40} " + ("fool " * 3 if i % 20 < 5 else "fine day")) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(20)] + [(3, 0), (7, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=12)
+    got = docs.select("doc_id", toxicity.score_column(model).alias("s")).toPandas()
+    assert got["s"].between(0, 1).all()
+    free = toxicity.train(docs, labels)
+    scores = docs.select("doc_id", toxicity.score_column(free).alias("s")).toPandas()
+    assert scores[scores["doc_id"] < 5]["s"].min() > scores[scores["doc_id"] >= 5]["s"].max()
+    assert toxicity.train(docs, labels.where("toxic = 0")).score([b"fool"])[0] < 0.01
+    clash = docs.withColumns({c: F.lit(1) for c in ("key", "y", "term")})
+    assert clash.select(toxicity.score_column(toxicity.train(clash, labels)).alias("s")).count() == 200
+
+
 def test_machine_learns_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4)) < 0.5
