@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import contains_any, count_contained, distinct_ignoring_case, first_n, first_words, n_words, sentences, strip, words
+from .text import contains_any, count_contained, distinct_ignoring_case, first_n, first_words, n_words, sentences, strip
 
 NONE = "array<string>"
 
@@ -101,6 +101,3 @@ def bundle(items: Column, most: int = 3, links: int = 3) -> Column:
 def catalyst_bundle(title: Column, summary: Column, urls: Column) -> Column:
     heads = F.filter(F.array(first_words(title), first_words(summary)), lambda s: s != "")
     return F.struct(heads.alias("snippets"), first_n(F.coalesce(urls, F.array().cast(NONE)), 3).alias("links"))
-
-
-__all__ = ["bullets", "bundle", "catalyst_bundle", "coherence", "indicator_hits", "keyword_hits", "matched_comment", "snippets", "words"]

@@ -51,16 +51,16 @@ def top_terms(docs: DataFrame, group: str, doc: str, text: str, k: int = 5, stop
     """(group, term, score, rank): the k terms with the largest sum of TF-IDF weights in each group.
 
     A group's vocabulary are its ``features`` most frequent terms, ties to the lesser.  Weights are
-    n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document.  Only rows of the vocabulary are weighted,
-    so the large shuffles are two partial counts: of terms, and of the chosen ones per document.
+    n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document.  Only rows of the vocabulary are weighted;
+    the large shuffles are the counts per document and, summed before they move, those per group.
     """
-    terms = docs.select(group, doc, terms_of(text, stop).alias("terms"))
     size = docs.groupBy(group).agg(F.countDistinct(doc).alias("docs"))
-    often = terms.select(group, F.explode("terms").alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
+    # counted once: both uses below read the same exchange
+    every = docs.select(group, doc, F.explode(terms_of(text, stop)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+    often = every.groupBy(group, "term").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))
     chosen = often.withColumn("place", place).where(F.col("place") <= features).select(group, "term")
-    own = terms.select(group, doc, F.explode("terms").alias("term")).join(chosen, [group, "term"])
-    counts = own.groupBy(group, doc, "term").agg(F.count("*").alias("n"))
+    counts = every.join(chosen, [group, "term"])
     held = counts.groupBy(group, doc).agg(F.collect_list(F.struct("term", "n")).alias("bag"))
     df = held.select(group, F.explode("bag.term").alias("term")).groupBy(group, "term").agg(F.count("*").alias("df")).join(size, group)
     weight = df.select(group, "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
