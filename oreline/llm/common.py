@@ -34,8 +34,10 @@ class Steps:
     step reads; those behind a returned DataFrame stay.  Bucketed tables are
     in the catalogue only while they are written or opened.
 
-    A table gets at most TASKS files for each core: every file costs several
-    calls to the file system, and on a local one a process each.
+    A table gets at most TASKS files for each core, or an eighth of the shuffle
+    partitions if that is more, as on a cluster that is still growing: every
+    file costs several calls to the file system, and on a local one a process
+    each.  What is put together runs one after the other, so memory is the same.
     """
 
     TASKS = 4
@@ -59,7 +61,8 @@ class Steps:
             out = self.spark.table(table)
             self.spark.sql(f"DROP TABLE {table}")  # the files stay
         else:
-            df.coalesce(self.TASKS * self.spark.sparkContext.defaultParallelism).write.option("compression", codec).parquet(path)
+            most = max(self.TASKS * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+            df.coalesce(most).write.option("compression", codec).parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         out._oreline_path = path
         tidy(self.spark)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Steps, binaries, components, id_keys, keyed, kind_of
 from .substring import chunks
-from .wordhash import hash_words, mix, signed, window_hashes
+from .wordhash import hash_words, mix, window_hashes
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999999
 SKETCH, SMALL, TRIED, SPLITS, ALIKE, DEPTH = 64, 512, 8, 4, 0.6, 12
