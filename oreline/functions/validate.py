@@ -43,6 +43,9 @@ def has_stake(stakes: Column) -> Column:
     return F.coalesce(F.exists(stakes, lambda s: contains_any(s, L.STAKES)), F.lit(False))
 
 
+# The texts of all messages in item_errors and card_errors, which reports show, in this order.
+
+
 def item_errors(item: Column) -> Column:
     """Errors of an item struct (hook, explanation, why_bullets, who, wedge, evidence_snippets, links, strength_or_impact)."""
     total = n_words(item["hook"]) + n_words(item["explanation"]) + n_words(item["who"]) + n_words(item["wedge"]) + n_words(item["strength_or_impact"])
