@@ -51,7 +51,8 @@ class Steps:
         self._n += 1
         return f"{self.base}/{self._n}-{name}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd", bucket: tuple[int, *tuple[str, ...]] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", bucket: tuple[int, *tuple[str, ...]] | None = None, spread: bool = False) -> DataFrame:
+        """``spread`` keeps the partitions of df, whose work is dealt out already."""
         path = self.path(name)
         if bucket:
             n, *columns = bucket
@@ -62,7 +63,7 @@ class Steps:
             self.spark.sql(f"DROP TABLE {table}")  # the files stay
         else:
             most = max(self.TASKS * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-            df.coalesce(most).write.option("compression", codec).parquet(path)
+            (df if spread else df.coalesce(most)).write.option("compression", codec).parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
         out._oreline_path = path
         tidy(self.spark)

@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a merge join at every size: the candidates grow with the input; it has repeated rows together already
     named, at = id_keys(kind_of(rows, "doc_id")), ["hi", "lo", "_id", "_null"]
     texts = steps.write(rows.where("text is not null").withColumns(named).drop("doc_id").join(keys.withColumns(named).drop("doc_id").hint("merge"), at).dropDuplicates(at).select("component", "node", "copies", "block", "blocks", "text"), "candidates")
-    checked = steps.write(_exact(texts, threshold, n, tasks), "links")
+    checked = steps.write(_exact(texts, threshold, n, tasks), "links", spread=True)
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     group = components(checked.where("a <> b").select("a", "b"), steps)
     all_sets = sets.drop("sketch").join(links, "node", "left").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
