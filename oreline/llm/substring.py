@@ -146,8 +146,8 @@ class FingerprintIndex:
     opens the index in that folder, or begins one there.
     """
 
-    #: schema and bucket columns of the kinds of tables; windows are plain
-    KINDS = {"texts": (_TEXTS, ("hi", "lo")), "run": (_RUN, ("fp",)), "shared": (_SHARED, ("fp",)), "windows": (_WINDOWS, ())}
+    #: schema and bucket columns of the kinds of tables; narrow ones, which are cheap to move, are plain
+    KINDS = {"texts": (_TEXTS, ("hi", "lo")), "run": (_RUN, ("fp",)), "shared": (_SHARED, ()), "windows": (_WINDOWS, ())}
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, max_runs: int = MAX_RUNS):
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
@@ -183,7 +183,7 @@ class FingerprintIndex:
     def _add(self, kind: str, df: DataFrame, codec: str = "zstd", deal: bool = False) -> DataFrame:
         """Writes a table; ``deal`` moves rows to their buckets first, so that there is a file per bucket and not one per task and bucket."""
         columns = self.KINDS[kind][1]
-        df = df.repartition(self.buckets, *columns) if deal else df
+        df = df.repartition(self.buckets, *columns) if deal and columns else df
         table = self.steps.write(df, kind, codec, (self.buckets, *columns) if columns else None)
         self.tables[kind].append(table)
         return table
@@ -203,14 +203,14 @@ class FingerprintIndex:
         for k, old in enumerate(older):
             keys = keys.join(old.groupBy("fp").agg(F.lit(True).alias(f"old{k}")), "fp", "left")
         in_old = reduce(Column.__or__, [F.coalesce(F.col(f"old{k}"), F.lit(False)) for k in range(len(older))], F.lit(False))
-        hits = self.steps.write(keys.select("fp", (F.col("twice") | (F.col("n") > 1)).alias("inside"), in_old.alias("old")).where("inside or old"), "hits", "lz4", (self.buckets, "fp"))
+        hits = self.steps.write(keys.select("fp", (F.col("twice") | (F.col("n") > 1)).alias("inside"), in_old.alias("old")).where("inside or old"), "hits", "lz4")
         parts = [self._texts_of(self.batches, self._holders(run, hits.select("fp")))]
         if older:
             # what earlier batches made shared is verified already
             fresh = hits.where("old").select("fp")
             for known in self.tables["shared"]:
                 fresh = fresh.join(known, "fp", "left_anti")
-            fresh = self.steps.write(fresh, "fresh", "lz4", (self.buckets, "fp"))
+            fresh = self.steps.write(fresh, "fresh", "lz4")
             held = self.steps.write(_all([self._holders(old, fresh) for old in older]), "held", "zstd")
             parts += [self._texts_of(k, held) for k in range(1, self.batches)]
         self._add("windows", _windows(_all(parts), self.window, self.gram))
