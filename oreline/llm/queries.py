@@ -3,6 +3,7 @@
 import corpus_pipeline
 
 from . import mixing
+from .bytebpe import op11_byte_bpe
 from .html import op10_html
 from .jaccard import op1_jaccard_join
 from .mixing import op6_mixing
@@ -14,7 +15,7 @@ from .substring import op5_substring
 from .tokenfiles import op9_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_pieces, op4_sharding, op5_substring, op6_mixing, op7_quality, op8_nearest, op9_token_counts, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_pieces, op4_sharding, op5_substring, op6_mixing, op7_quality, op8_nearest, op9_token_counts, op10_html, op11_byte_bpe)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
