@@ -39,7 +39,7 @@ def label(tables: Tables, day, provider: Callable[[], models.ModelProvider]) ->
         F.col("id").alias("raw_item_id"), "title", "text", F.when(failed, "OTHER").otherwise(F.col("a.label")).alias("label"), zero("confidence"), *map(zero, _SCORES), "a.evidence_spans", "a.topic_tags", "a.claim_anchors",
         F.when(failed, "error").otherwise(F.col("a.exclude_reason")).alias("exclude_reason"),
     )
-    tables.put_labels(_kept(told.withColumn("pain_score", pain).drop("title", "text")))
+    tables.put_labels(_kept(told.withColumn("pain_score", pain).drop("title", "text")), day)
     fit = items.join(tables.labels_of(items).where(report.eligible(F.col("label"))).select(F.col("raw_item_id").alias("id")), "id", "left_semi")
     said = F.transform("metadata.comments", lambda c: c["text"])
     tables.put_snippets(_kept(fit.select("id", evidence.snippets(F.col("title"), F.col("text"), said).alias("evidence_snippets")).where(F.size("evidence_snippets") > 0)))
@@ -62,7 +62,7 @@ def cluster(tables: Tables, day, provider: Callable[[], models.ModelProvider], t
         tables.delete_day("clusters", day)
         return
     vectors = _kept(models.embed(posts.select("id", "body"), "body", "embedding", provider))
-    tables.put_embeddings(vectors.where("embedding is not null").select(F.col("id").alias("raw_item_id"), "embedding", F.lit("given").alias("model")))
+    tables.put_embeddings(vectors.where("embedding is not null").select(F.col("id").alias("raw_item_id"), "embedding", F.lit("given").alias("model")), day)
     grouped = _kept(topics.cluster_posts(posts, "id", "body", vectors).withColumn("cluster_index", F.col("cluster").cast("int")).drop("cluster"))
     both = posts.join(grouped, "id").join(labels.select("id", "pain_score"), "id", "left")
     both = both.withColumn("ordinal", F.row_number().over(Window.partitionBy("cluster_index").orderBy(F.desc_nulls_last("published_at"), "id")))

@@ -2,9 +2,10 @@
 
 Tables of one day's results (clusters, catalysts, reports) are partitioned by
 day, and a write replaces the days it has.  Tables with keys across days
-(items, labels, embeddings, seeds) are written as a new version and then
-swapped in: the last version that was finished counts, so readers never see
-half a write and a failed one leaves the table as it was.
+(items, labels, embeddings, seeds) are ``KeyedTable``: in partitions by day and
+a hash of the key, of which a change rewrites those that hold its keys, under
+versions, so readers never see half a write and a failed one changes nothing.
+Items move to the day they are fetched anew; labels and vectors stay.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.landed import CATALYST, CLUSTER, LABEL, RAW_ITEM, item_id
 from . import store
+from .keyed import KeyedTable
 
 _ITEM_RULES = {"url": "old", "evidence_snippets": "old"}
 _LABEL_RULES = dict.fromkeys(("audience_fit", "pain_intensity", "actionability"), "coalesce")
@@ -23,7 +25,9 @@ SCHEMAS = {
     "clusters": CLUSTER, "cluster_items": "date date, cluster_id string, raw_item_id string", "catalysts": CATALYST + ", ordinal int", "reports": "date date, markdown string",
 }
 DAILY = ("clusters", "cluster_items", "catalysts", "reports")
-KEYS = {"raw_items": ["source", "source_id"], "item_labels": ["raw_item_id"], "embeddings": ["raw_item_id"], "interests": ["name"], "interest_sources": ["interest_id", "source_type", "source_value"]}
+#: An item's id is made of its source and source_id.
+KEYS = {"raw_items": ["id"], "item_labels": ["raw_item_id"], "embeddings": ["raw_item_id"], "interests": ["name"], "interest_sources": ["interest_id", "source_type", "source_value"]}
+SEEDS = ("interests", "interest_sources")
 MAX_TEXT = 100_000
 
 
@@ -33,52 +37,40 @@ class Tables:
 
     # ---- files
 
-    def _version(self, name: str) -> int:
-        """The last finished version of a table; 0 if there is none."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return 0
-        names = [f.getPath() for f in fs.listStatus(fs_path)]
-        done = [int(p.getName().removeprefix("v")) for p in names if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
+    def keyed(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.base}/{name}", SCHEMAS[name], KEYS[name], slots=1 if name in SEEDS else 16, moves=name == "raw_items")
 
     def read(self, name: str) -> DataFrame:
         """A table, empty if nothing was written yet."""
-        reader = self.spark.read.schema(SCHEMAS[name])
-        if name in DAILY:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-            return reader.parquet(f"{self.base}/{name}") if there else self.spark.createDataFrame([], SCHEMAS[name])
-        n = self._version(name)
-        return reader.parquet(f"{self.base}/{name}/v{n}") if n else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _swap(self, name: str, df: DataFrame) -> None:
-        store.align(df, SCHEMAS[name]).write.mode("overwrite").parquet(f"{self.base}/{name}/v{self._version(name) + 1}")
+        if name not in DAILY:
+            return self.keyed(name).read().drop("day")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}") if there else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _replace(self, name: str, df: DataFrame) -> None:
         store.overwrite_partitions(store.align(df, SCHEMAS[name]), f"{self.base}/{name}", "date")
 
-    def _upsert(self, name: str, new: DataFrame, rules: dict) -> None:
-        self._swap(name, store.upsert(self.read(name), store.align(new, SCHEMAS[name]), KEYS[name], rules))
+    def _upsert(self, name: str, new: DataFrame, rules: dict, day=None) -> None:
+        self.keyed(name).retried(3, store.align(new, SCHEMAS[name]), rules, day)
 
     # ---- writes
 
     def put_items(self, rows: DataFrame) -> None:
         """Inserts or updates items by (source, source_id); the first address and stored snippets stay.  Of repeated keys the newest counts."""
         new = rows.withColumns({"id": item_id(F.col("source"), F.col("source_id")), "text": F.substring("text", 1, MAX_TEXT), "title": F.coalesce("title", F.lit(""))})
-        self._upsert("raw_items", store.last_of(new, KEYS["raw_items"], [F.desc_nulls_last("published_at"), F.col("text")]), _ITEM_RULES)
+        self._upsert("raw_items", store.last_of(new, KEYS["raw_items"], [F.desc_nulls_last("published_at"), F.col("text")]), _ITEM_RULES, F.to_date("fetched_at"))
 
     def put_snippets(self, rows: DataFrame) -> None:
-        """Sets evidence_snippets of (id, evidence_snippets)."""
-        self._swap("raw_items", store.update_column(self.read("raw_items"), rows, "id", "evidence_snippets"))
+        """Sets evidence_snippets of (id, evidence_snippets) where they aren't null; other ids are left out."""
+        self.keyed("raw_items").retried(3, rows.select("id", "evidence_snippets").where("evidence_snippets IS NOT NULL"), insert=False)
 
-    def put_labels(self, rows: DataFrame) -> None:
-        """Inserts or updates labels; a null score keeps the old one, the reason to exclude is always the new one."""
-        self._upsert("item_labels", rows, _LABEL_RULES)
+    def put_labels(self, rows: DataFrame, day=None) -> None:
+        """Inserts or updates labels; a null score keeps the old one, the reason to exclude is always the new one.  New ones are kept with those of ``day``."""
+        self._upsert("item_labels", rows, _LABEL_RULES, F.lit(day).cast("date"))
 
-    def put_embeddings(self, rows: DataFrame) -> None:
-        self._upsert("embeddings", rows, {})
+    def put_embeddings(self, rows: DataFrame, day=None) -> None:
+        self._upsert("embeddings", rows, {}, F.lit(day).cast("date"))
 
     def put_clusters(self, clusters: DataFrame, members: DataFrame) -> None:
         """Replaces the days of clusters and of their members (date, cluster_id, raw_item_id); repeated members count once."""
@@ -91,7 +83,8 @@ class Tables:
     def add_members(self, members: DataFrame) -> None:
         """Adds members that are not there yet."""
         new = store.align(members, SCHEMAS["cluster_items"]).dropDuplicates(["cluster_id", "raw_item_id"])
-        new = new.join(self.read("cluster_items"), ["cluster_id", "raw_item_id"], "left_anti")
+        days = [r[0] for r in new.select("date").distinct().collect()]
+        new = new.join(self.read("cluster_items").where(F.col("date").isin(days)), ["cluster_id", "raw_item_id"], "left_anti")
         # checkpoint: the table is written while it is read
         new.checkpoint().write.mode("append").partitionBy("date").parquet(f"{self.base}/cluster_items")
 
@@ -130,18 +123,18 @@ class Tables:
 
     def items_of(self, day) -> DataFrame:
         """Items fetched on a day, newest first."""
-        return self.read("raw_items").where(F.to_date("fetched_at") == F.lit(day).cast("date")).orderBy(F.desc_nulls_last("published_at"), "id")
+        return self.keyed("raw_items").read([str(day)]).drop("day").orderBy(F.desc_nulls_last("published_at"), "id")
 
     def labels_of(self, ids: DataFrame) -> DataFrame:
         """Labels of the ids (id): scores as doubles, null where unknown; confidence and pain score 0, lists empty instead of null."""
-        rows = self.read("item_labels").join(ids.select(F.col("id").alias("raw_item_id")).distinct(), "raw_item_id", "left_semi")
+        rows = self.keyed("item_labels").of_keys(ids.select(F.col("id").alias("raw_item_id")))
         zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         plain = {c: F.col(c).cast("double") for c in ("audience_fit", "pain_intensity", "actionability")}
         lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("evidence_spans", "topic_tags", "claim_anchors")}
         return rows.withColumns(plain | lists | {"confidence": zero("confidence"), "pain_score": zero("pain_score")})
 
     def embeddings_of(self, ids: DataFrame) -> DataFrame:
-        return self.read("embeddings").join(ids.select(F.col("id").alias("raw_item_id")).distinct(), "raw_item_id", "left_semi")
+        return self.keyed("embeddings").of_keys(ids.select(F.col("id").alias("raw_item_id")))
 
     def _day(self, name: str, day) -> DataFrame:
         return self.read(name).where(F.col("date") == F.lit(day).cast("date"))
@@ -157,7 +150,7 @@ class Tables:
         """Items of a day's clusters with cluster_id and cluster_index, in order of cluster, then newest first."""
         c = self._day("clusters", day).select(F.col("id").alias("cluster_id"), "cluster_index")
         m = self._day("cluster_items", day).select("cluster_id", F.col("raw_item_id").alias("id"))
-        return c.join(m, "cluster_id").join(self.read("raw_items"), "id").orderBy("cluster_index", F.desc_nulls_last("published_at"), "id")
+        return c.join(m, "cluster_id").join(self.keyed("raw_items").of_keys(m.select("id")), "id").orderBy("cluster_index", F.desc_nulls_last("published_at"), "id")
 
     def catalysts_of(self, day) -> DataFrame:
         return self._day("catalysts", day).orderBy("ordinal", "id")
