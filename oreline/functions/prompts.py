@@ -74,3 +74,19 @@ def bet(cards: Column) -> Column:
     """For up to five cards: one prediction."""
     line = lambda c: F.concat(F.lit("Card: "), nz(c["title"], ""), F.lit("\nProblem: "), nz(c["problem"], ""))
     return F.concat(F.lit("State one trend in a single sentence.\n"), F.substring(_numbered(cards, 5, line), 1, 3000))
+
+
+_ITEM_KEYS = "hook, explanation, why_bullets, who, wedge, evidence_snippets, links, strength_or_impact"
+
+
+def rewrite(kind: Column, draft: Column, evidence: Column, strength: Column) -> Column:
+    """For one draft and its evidence: a short item."""
+    task = f"Write one item with the keys {_ITEM_KEYS}: a hook of 8 to 14 words, up to three why_bullets, evidence_snippets of at most 12 words and links taken from those below, at most three of each, 120 words in all. Mark what you infer as likely. Leave out phrases that only announce, such as 'this highlights'.\n"
+    lines = [F.concat(F.lit(f"{k}: "), nz(draft[k], "")) for k in ("title", "summary", "persona", "why_matters")]
+    listed = lambda a, n: F.array_join(F.transform(first_n(a, n), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return F.concat(F.lit(_JSON + task + "Kind: "), kind, F.lit(" strength_or_impact: "), strength, F.lit("\n"), F.concat_ws("\n", *lines), F.lit("\nEvidence:\n"), listed(evidence["snippets"], 5), F.lit("\nLinks:\n"), listed(evidence["links"], 3))
+
+
+def repair_item(asked: Column, answer: Column, errors: Column) -> Column:
+    """For an item that breaks rules: the same again, without the faults."""
+    return F.concat(F.lit("Your JSON breaks these rules: "), F.array_join(errors, "; "), F.lit(f". Answer with valid JSON only, with the keys {_ITEM_KEYS}.\nYour answer was:\n"), answer, F.lit("\nThe task was:\n"), asked)

@@ -1,7 +1,7 @@
 """A day from its items to its report: labels, clusters, cards, with one model behind one interface.
 
-Each step is written to the tables, which cuts lineage, so a model is asked
-once and a lost executor repeats a step only.  Lists in single rows are those
+Each step is written to the tables, which cuts lineage, and answers go through
+the tables' ledger, so a model is asked once whatever is lost or run again.  Lists in single rows are those
 of a day's prompts and hold at most the numbers of the prompts.
 """
 
@@ -17,21 +17,17 @@ from ..functions.text import nz
 from ..sources import provider as models
 from . import relational, report, topics
 from .tables import Tables
+from .work import kept as _kept
 
 _NONE = "array<string>"
 _SCORES = ("audience_fit", "pain_intensity", "actionability")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows as they are now, so that a model's answers are not asked for again."""
-    return df.checkpoint()
-
-
 def label(tables: Tables, day, provider: Callable[[], models.ModelProvider]) -> None:
     """Labels, scores and evidence snippets of a day's items; an item without an answer is OTHER, with the reason error."""
     items = tables.items_of(day)
     rows = items.select("id", "title", "text", prompts.classify(F.col("title"), F.col("text")).alias("prompt"))
-    a = models.generate(rows, "prompt", "answer", provider).withColumn("a", models.label_answer(F.col("answer")))
+    a = tables.ledger().generate(rows, "prompt", "answer", provider).withColumn("a", models.label_answer(F.col("answer")))
     failed = F.col("answer").isNull()
     zero = lambda k: F.when(failed, 0.0).otherwise(F.col(f"a.{k}")).alias(k)
     pain = scoring.combined_pain(scoring.pain_heuristic(F.substring("text", 1, 8000), F.substring("title", 1, 500)), F.col("label"), F.col("confidence"))
@@ -53,7 +49,7 @@ def cluster(tables: Tables, day, provider: Callable[[], models.ModelProvider], t
     ranked = _kept(relational.rank_candidates(items, labels, top).withColumn("ordinal", F.row_number().over(place)))
     fields = ("id", "title", "url", "label", *_SCORES, "evidence_spans")
     one = ranked.agg(F.array_sort(F.collect_list(F.struct("ordinal", *fields))).alias("all")).where(F.size("all") > 0)
-    answer = _kept(models.generate(one.select(prompts.editor(F.col("all")).alias("prompt")), "prompt", "answer", provider).select(models.editor_answer(F.col("answer")).alias("e")))
+    answer = _kept(tables.ledger().generate(one.select(prompts.editor(F.col("all")).alias("prompt")), "prompt", "answer", provider).select(models.editor_answer(F.col("answer")).alias("e")))
     named = answer.where("e is not null").select(F.explode(F.array_union("e.featured", "e.secondary")).alias("id"))
     fallback = relational.gate_fallback(ranked.select("id", "label", "ordinal")).where("featured").select("id")
     chosen = items.join(named if answer.where("e is not null").limit(1).count() else fallback, "id", "left_semi")
@@ -61,7 +57,7 @@ def cluster(tables: Tables, day, provider: Callable[[], models.ModelProvider], t
     if posts.limit(1).count() == 0:
         tables.delete_day("clusters", day)
         return
-    vectors = _kept(models.embed(posts.select("id", "body"), "body", "embedding", provider))
+    vectors = _kept(tables.ledger().embed(posts.select("id", "body"), "body", "embedding", provider))
     tables.put_embeddings(vectors.where("embedding is not null").select(F.col("id").alias("raw_item_id"), "embedding", F.lit("given").alias("model")), day)
     grouped = _kept(topics.cluster_posts(posts, "id", "body", vectors).withColumn("cluster_index", F.col("cluster").cast("int")).drop("cluster"))
     both = posts.join(grouped, "id").join(labels.select("id", "pain_score"), "id", "left")
@@ -91,7 +87,7 @@ def summarise(tables: Tables, day, provider: Callable[[], models.ModelProvider])
     """Writes up each cluster of a day from its first fifteen members."""
     few = _members(tables, day).where("ordinal < 15").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "text", "url"))).alias("m"))
     rows = tables.clusters_of(day).join(few, F.col("id") == F.col("cluster_id")).select("id", "title", "summary", "persona", "why_matters", F.filter(F.transform("m", lambda x: x["url"]), lambda u: nz(u, "") != "").alias("links"), prompts.cluster(F.col("m")).alias("prompt"))
-    told = models.generate(rows, "prompt", "answer", provider)
+    told = tables.ledger().generate(rows, "prompt", "answer", provider)
     s = normalise.cluster_summary(F.col("answer"), F.col("title"), F.col("summary"), F.col("persona"), F.col("why_matters"), F.col("links"))
     tables.set_cluster_texts(day, _kept(told.select("id", s.alias("s")).select("id", "s.title", "s.summary", "s.persona", "s.why_matters", "s.example_urls")))
 
@@ -101,10 +97,13 @@ def publish(tables: Tables, day, provider: Callable[[], models.ModelProvider], n
     items = tables.items_of(day)
     labels = tables.labels_of(items).withColumnRenamed("raw_item_id", "id")
     date = F.lit(day).cast("date")
-    ask = lambda df, prompt: models.generate(df.withColumn("_p", prompt), "_p", "answer", provider)
+    ask = lambda df, prompt: tables.ledger().generate(df.withColumn("_p", prompt), "_p", "answer", provider)
     payloads = _kept(report.cluster_payloads(tables.clusters_of(day), _members(tables, day).drop("cluster_index"), labels))
-    renamed = ask(payloads, prompts.rename(F.col("title"), F.col("snippets"), "a short phrase that the snippets support")).withColumn("new", normalise.new_title(F.col("answer"), F.col("title"), F.col("snippets")))
-    passed = _kept(report.coherent(renamed.drop("_p", "answer"), F.col("new")).drop("new"))
+    # only a title that its evidence does not support is asked for anew, and kept
+    renamed = ask(payloads, F.when(~F.col("supported"), prompts.rename(F.col("title"), F.col("snippets"), "a short phrase that the snippets support")))
+    renamed = _kept(renamed.withColumn("title", F.when(F.col("supported"), F.col("title")).otherwise(normalise.new_title(F.col("answer"), F.col("title"), F.col("snippets")))).drop("_p", "answer"))
+    tables.set_cluster_texts(day, renamed.where(~F.col("supported")).select(F.col("cluster_id").alias("id"), "title"))
+    passed = _kept(report.coherent(renamed))
     # the first thirty news items of the day
     news = items.join(labels.select("id", "label"), "id", "left").where((F.col("source") == "rss") | (F.col("label") == "NEWS")).orderBy(F.desc_nulls_last("published_at"), "id").limit(30)
     listed = news.agg(F.collect_list(F.struct("title", "url", F.substring("text", 1, 800).alias("text"))).alias("n")).where(F.size("n") > 0)
@@ -112,8 +111,7 @@ def publish(tables: Tables, day, provider: Callable[[], models.ModelProvider], n
     blank = items.sparkSession.range(1).select(F.from_json(F.lit("[]"), found.schema["c"].dataType).alias("none"))
     cats = _kept(blank.join(found, how="left").select(F.coalesce("c", "none").alias("c")))  # one row each
     each = cats.select(F.posexplode("c").alias("ordinal", "x")).select("ordinal", "x.*").withColumn("problems_created", normalise.problems_text(F.col("problems_created")))
-    tables.delete_day("catalysts", day)
-    tables.put_catalysts(each.withColumns({"date": date, "id": F.sha2(F.concat_ws("/", F.lit(str(day)), "ordinal"), 256), "title": nz(F.col("title"), "News")}))
+    tables.put_catalysts(each.withColumns({"date": date, "id": F.sha2(F.concat_ws("/", F.lit(str(day)), "ordinal"), 256), "title": nz(F.col("title"), "News")}), day)
     fields = ("title", "summary", "snippets", "bullets", "links", "topic_tags")
     pain = passed.agg(F.array_sort(F.collect_list(F.struct("cluster_index", *fields))).alias("pain"))
     both = pain.join(cats.select(report.distinct_catalysts(F.col("c")).alias("cats")))  # one row each

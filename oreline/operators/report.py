@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import evidence, normalise, render, scoring, validate
+from ..functions import evidence, lexicons, normalise, render, scoring, validate
 from ..functions.text import first_n, nz, strip
 from .relational import greedy_disjoint
 
@@ -36,11 +36,12 @@ def has_summary(summary: Column) -> Column:
 
 
 def cluster_payloads(clusters: DataFrame, members: DataFrame, labels: DataFrame, most: int = 15) -> DataFrame:
-    """(cluster_id, cluster_index, title, summary, snippets, bullets, links, topic_tags) of clusters (id, ...), from their members in order.
+    """(cluster_id, cluster_index, title, summary, snippets, bullets, links, topic_tags, supported) of clusters (id, ...), from their members in order.
 
     Members are (cluster_id, ordinal, id, source, source_id, url, title, text, evidence_snippets, comments).  Of a
     cluster's members only the first ``most`` feed bullets; snippets, links and tags are cut to ten, five and ten
-    before they are gathered, so no list grows with a cluster.
+    before they are gathered, so no list grows with a cluster.  ``supported`` is whether all snippets of all members,
+    not the ten that are kept, cohere with all tags.
     """
     tagged = members.join(labels.select("id", "topic_tags"), "id", "left")
     flat = lambda column, name: tagged.select("cluster_id", "ordinal", F.posexplode(F.coalesce(column, F.array().cast(_NONE))).alias("place", "value")).where("value is not null").withColumn("kind", F.lit(name))
@@ -59,16 +60,33 @@ def cluster_payloads(clusters: DataFrame, members: DataFrame, labels: DataFrame,
     some = some.select("cluster_id", first_n(F.flatten(F.transform("all", lambda x: x["b"])), 15).alias("bullets"))
     empty = lambda c: F.coalesce(c, F.array().cast(_NONE))
     own = clusters.select(F.col("id").alias("cluster_id"), "cluster_index", nz(F.col("title"), "").alias("title"), nz(F.col("summary"), "").alias("summary"), first_n(F.coalesce("example_urls", F.array().cast(_NONE)), 5).alias("known"))
-    joined = own.join(lists, "cluster_id", "left").join(some, "cluster_id", "left")
+    joined = own.join(lists, "cluster_id", "left").join(some, "cluster_id", "left").join(support(every, tags).select("cluster_id", "supported"), "cluster_id", "left")
     bullets = F.coalesce("bullets", F.array().cast("array<struct<quote: string, post_id: string, post_url: string, comment_id: string, comment_url: string>>"))
-    return joined.select("cluster_id", "cluster_index", "title", "summary", empty("snippet").alias("snippets"), bullets.alias("bullets"), F.when(F.size("known") > 0, F.col("known")).otherwise(empty("link")).alias("links"), empty("tag").alias("topic_tags"))
+    return joined.select("cluster_id", "cluster_index", "title", "summary", empty("snippet").alias("snippets"), bullets.alias("bullets"), F.when(F.size("known") > 0, F.col("known")).otherwise(empty("link")).alias("links"), empty("tag").alias("topic_tags"), F.coalesce("supported", F.lit(False)).alias("supported"))
 
 
-def coherent(payloads: DataFrame, renamed: Column | None = None) -> DataFrame:
-    """Payloads whose evidence supports their topic, with the new title where one was proposed, and whose summary says something."""
-    passed = evidence.coherence(F.col("topic_tags"), F.col("snippets"))["passed"]
-    rows = payloads if renamed is None else payloads.withColumn("title", F.when(passed, F.col("title")).otherwise(renamed))
-    return rows.where(passed & has_summary(F.col("summary")))
+def support(snippets: DataFrame, tags: DataFrame) -> DataFrame:
+    """(cluster_id, direct, hits, supported) of all snippets (cluster_id, ordinal, place, value) and tags (cluster_id, value): the coherence test by counts, so no list of them is made.
+
+    ``direct`` are the indicators that the snippets, joined in order, hold; the longest has two words, so it lies in
+    one snippet or over two that adjoin.  ``hits`` are the snippets that hold any tag of the cluster; a repeated one is tested once.
+    """
+    from pyspark.sql import Window
+
+    after = F.lead("value").over(Window.partitionBy("cluster_id").orderBy("ordinal", "place"))
+    joined = snippets.select("cluster_id", F.lower(F.concat_ws(" ", "value", after)).alias("said"))
+    direct = joined.groupBy("cluster_id").agg(*[F.max(F.contains("said", F.lit(w)).cast("int")).alias(f"_{k}") for k, w in enumerate(lexicons.DIRECT_INDICATORS)])
+    direct = direct.select("cluster_id", sum((F.col(f"_{k}") for k in range(1, len(lexicons.DIRECT_INDICATORS))), F.col("_0")).cast("long").alias("direct"))
+    known = tags.select("cluster_id", F.lower(strip(F.col("value"))).alias("tag")).where("tag <> ''").distinct()
+    said = snippets.groupBy("cluster_id", "value").agg(F.count("*").alias("n"))
+    held = said.join(known, "cluster_id").where("contains(lower(value), tag)").select("cluster_id", "value", "n").distinct()
+    both = direct.join(held.groupBy("cluster_id").agg(F.sum("n").alias("hits")), "cluster_id", "left").select("cluster_id", "direct", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    return both.withColumn("supported", (F.col("direct") >= 1) | (F.col("hits") >= 2))
+
+
+def coherent(payloads: DataFrame) -> DataFrame:
+    """Payloads whose evidence supports their topic, and whose summary says something."""
+    return payloads.where(F.col("supported") & has_summary(F.col("summary")))
 
 
 def distinct_catalysts(catalysts: Column) -> Column:

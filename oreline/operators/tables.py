@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.landed import CATALYST, CLUSTER, LABEL, RAW_ITEM, item_id
-from . import store
+from ..sources.ledger import Ledger
+from . import store, work
 from .keyed import KeyedTable
 
 _ITEM_RULES = {"url": "old", "evidence_snippets": "old"}
@@ -37,6 +38,10 @@ class Tables:
 
     # ---- files
 
+    def ledger(self) -> Ledger:
+        """What a model has answered for these tables."""
+        return Ledger(self.spark, f"{self.base}/ledger")
+
     def keyed(self, name: str) -> KeyedTable:
         return KeyedTable(self.spark, f"{self.base}/{name}", SCHEMAS[name], KEYS[name], slots=1 if name in SEEDS else 16, moves=name == "raw_items")
 
@@ -86,19 +91,24 @@ class Tables:
         days = [r[0] for r in new.select("date").distinct().collect()]
         new = new.join(self.read("cluster_items").where(F.col("date").isin(days)), ["cluster_id", "raw_item_id"], "left_anti")
         # checkpoint: the table is written while it is read
-        new.checkpoint().write.mode("append").partitionBy("date").parquet(f"{self.base}/cluster_items")
+        work.kept(new).write.mode("append").partitionBy("date").parquet(f"{self.base}/cluster_items")
 
     def set_cluster_texts(self, day, rows: DataFrame) -> None:
-        """Sets title, summary, persona and why_matters of (id, ...), and example_urls unless null."""
-        old, names = self.read("clusters").where(F.col("date") == F.lit(day).cast("date")), ("title", "summary", "persona", "why_matters")
-        new = rows.select("id", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_{n}") for n in (*names, "example_urls")])
+        """Sets those of title, summary, persona and why_matters that the rows (id, ...) have, and example_urls unless null."""
+        old, names = self._day("clusters", day), [n for n in ("title", "summary", "persona", "why_matters") if n in rows.columns]
+        urls = F.col("example_urls") if "example_urls" in rows.columns else F.lit(None)
+        new = rows.select("id", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_{n}") for n in names], urls.alias("_urls"))
         joined = old.join(new, "id", "left")
-        changed = {n: F.when(F.col("_hit"), F.col(f"_{n}")).otherwise(F.col(n)) for n in names} | {"example_urls": F.coalesce("_example_urls", "example_urls")}
-        self._replace("clusters", joined.withColumns(changed).checkpoint())
-
-    def put_catalysts(self, rows: DataFrame) -> None:
-        """Replaces the days of catalysts; their order is ``ordinal``."""
-        self._replace("catalysts", rows)
+        changed = {n: F.when(F.col("_hit"), F.col(f"_{n}")).otherwise(F.col(n)) for n in names} | {"example_urls": F.coalesce(F.col("_urls").cast("array<string>"), "example_urls")}
+        self._replace("clusters", work.kept(joined.withColumns(changed)))
+
+    def put_catalysts(self, rows: DataFrame, day=None) -> None:
+        """Replaces the days of catalysts; their order is ``ordinal``.  Without rows ``day`` is left without catalysts."""
+        rows = work.kept(rows)
+        if rows.limit(1).count():
+            self._replace("catalysts", rows)
+        elif day is not None:
+            self.delete_day("catalysts", day)
 
     def put_report(self, rows: DataFrame, markdown_path: str | None = None) -> None:
         """Replaces the reports (date, markdown) of their days, and writes one markdown file if a path is given."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons, scoring
 from ..operators import relational, store, topics
 from ..sources import landed
-from . import cards, ingest, views  # noqa: F401 - these register their queries
+from . import cards, ingest, stores, views  # noqa: F401 - these register their queries
 from .registry import QUERIES, SQL, literal, n_contained, query  # noqa: F401
 from .views import ITEMS, LABELS, items, labels, table
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import work
 from ..operators.store import last_of, overwrite_partitions
 
 
@@ -24,7 +25,7 @@ def write_daily(stream: DataFrame, path: str, checkpoint: str, key: str, time: s
         except Exception as e:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        # checkpoint: the table is overwritten while it is read
-        overwrite_partitions(last_of(batch, [key], [F.desc(time)]).checkpoint(), path, "date")
+        # kept: the table is overwritten while it is read
+        overwrite_partitions(work.kept(last_of(batch, [key], [F.desc(time)])), path, "date")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

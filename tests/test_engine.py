@@ -257,9 +257,15 @@ def split_fields(ddl):
     return [*out, part]
 
 
-def test_coherent_payloads(spark):
-    rows = spark.createDataFrame([("a", "t", "s", ["rce"], ["rce found"]), ("b", "t", "Unclear from evidence", [], ["xss"]), ("c", "t", "s", ["x"], ["nothing"])], "cluster_id string, title string, summary string, topic_tags array<string>, snippets array<string>")
-    assert [r.cluster_id for r in report.coherent(rows, F.lit("new")).collect()] == ["a"]
+def test_coherence_counts_all_snippets(spark):
+    """An eleventh member's indicator counts, one over two snippets too, and a tag in two snippets."""
+    said = [("eleven", i, 0, f"nothing {i}") for i in range(11)] + [("eleven", 11, 0, "XSS found"), ("over", 0, 0, "a sql"), ("over", 1, 0, "Injection now"), ("apart", 0, 0, "a sql"), ("apart", 1, 0, "now injection")]
+    said += [("tags", 0, 0, "Deploys broke"), ("tags", 1, 0, "deploys broke"), ("once", 0, 0, "deploys broke"), ("twice", 0, 0, "deploy"), ("twice", 3, 1, "deploy"), ("none", 0, 0, "x")]
+    tags = [("tags", " DEPLOY "), ("once", "deploy"), ("once", "broke"), ("twice", "deploy"), ("twice", ""), ("none", None), ("none", " ")]
+    got = {r.cluster_id: (r.direct, r.hits, r.supported) for r in report.support(spark.createDataFrame(said, "cluster_id string, ordinal int, place int, value string"), spark.createDataFrame(tags, "cluster_id string, value string")).collect()}
+    assert got == {"eleven": (1, 0, True), "over": (1, 0, True), "apart": (0, 0, False), "tags": (0, 2, True), "once": (0, 1, False), "twice": (0, 2, True), "none": (0, 0, False)}
+    rows = spark.createDataFrame([("a", "s", True), ("b", "Unclear from evidence", True), ("c", "s", False)], "cluster_id string, summary string, supported boolean")
+    assert [r.cluster_id for r in report.coherent(rows).collect()] == ["a"]
 
 
 def test_lexicon_matching_is_literal(spark):
