@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import contains_any, count_contained, distinct_ignoring_case, first_n, first_words, n_words, sentences, strip
+from .text import contains_any, count_contained, distinct_ignoring_case, first_n, first_words, let, n_words, sentences, strip
 
 NONE = "array<string>"
 
@@ -19,10 +19,10 @@ def snippets(title: Column, text: Column, comments: Column | None = None, most:
         more = F.transform(F.filter(F.coalesce(comments, F.array().cast(NONE)), lambda c: F.coalesce(c, F.lit("")) != ""), lambda c: F.concat(F.lit("\n\n"), F.substring(c, 1, 2000)))
         whole = F.concat(whole, F.array_join(more, ""))
     own = F.when(contains_any(head, lexicon), F.array(first_words(head))).otherwise(F.array().cast(NONE))
-    said = F.filter(F.transform(F.filter(sentences(whole), lambda s: contains_any(s, lexicon)), lambda s: first_words(s)), lambda s: n_words(s) >= 3)
+    said = F.filter(F.transform(sentences(whole, lexicon), lambda s: first_words(s)), lambda s: n_words(s) >= 3)
     found = distinct_ignoring_case(F.concat(own, said), most)
     fallback = first_words(F.when(head != "", head).otherwise(body))
-    return F.when(F.size(found) > 0, found).when(fallback != "", F.array(fallback)).otherwise(F.array().cast(NONE))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(let(fallback, lambda y: F.when(y != "", F.array(y)).otherwise(F.array().cast(NONE)))))
 
 
 def keyword_hits(evidence: Column, tags: Column) -> Column:

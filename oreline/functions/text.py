@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 BLANKS = r"[\s\p{Z}]+"
+#: The same characters one by one.
+BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def nz(c: Column, default) -> Column:
@@ -16,8 +19,13 @@ def nz(c: Column, default) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), default if isinstance(default, Column) else F.lit(default))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def words(c: Column) -> Column:
@@ -33,16 +41,44 @@ def first_words(c: Column, n: int = 12) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
 
 
-def sentences(c: Column) -> Column:
-    """Rough sentences of more than ten characters; a line end also ends a sentence."""
+def sentences(c: Column, lexicon: list[str] | None = None) -> Column:
+    """Rough sentences of more than ten characters, or those of them that hold a word of the lexicon; a line end also ends a sentence.
+
+    The lexicon, whose words neither begin nor end with a blank, is looked for before anything else is done to a sentence.
+    """
     parts = F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(". ")), r"[.!?]\s+")
+    if lexicon:
+        parts = F.filter(parts, lambda s: contains_any(s, lexicon))
     return F.filter(F.transform(parts, strip), lambda s: F.length(s) > 10)
 
 
+@functools.cache
+def alternation(words: tuple[str, ...]) -> str:
+    """A pattern that finds any of the words: they are laid into a prefix tree, so a place in the text is left at the first character that begins none."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:  # a shorter word is found first
+            return ""
+        parts = [_quoted(c) + pattern(below) for c, below in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    first = "".join(_quoted(c) for c in sorted(tree))
+    return (f"(?=[{first}])" if len(tree) > 1 and "" not in tree else "") + pattern(tree)
+
+
+def _quoted(c: str) -> str:
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", c)
+
+
 def contains_any(c: Column, lexicon: list[str]) -> Column:
-    """Whether the lower-cased text holds one of the substrings: one pass with an alternation of them."""
-    quoted = "|".join(re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", w) for w in lexicon)
-    return F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit(quoted))
+    """Whether the lower-cased text holds one of the substrings, in one pass."""
+    return F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit(alternation(tuple(lexicon))))
 
 
 def count_contained(c: Column, lexicon: list[str]) -> Column:

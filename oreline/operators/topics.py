@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import work
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def tokens_of(text: str, stop: list[str] | None = None) -> Column:
+    """Lower-case words of two characters or more, without stop words."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
+    return F.filter(tokens, lambda t: ~t.isin(stop)) if stop else tokens
+
+
+def pairs_of(tokens: Column) -> Column:
+    """Pairs of neighbouring tokens."""
+    made = F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(tokens) > 1, made).otherwise(F.array().cast("array<string>"))
+
+
+def pairs_among(tokens: str, some: list[str]) -> Column:
+    """Pairs of neighbours of a column of tokens of which both are among some; as SQL text, since each literal is a call to the JVM otherwise."""
+    listed = ", ".join(f"'{w}'" for w in some)  # words have no quotes
+    pair = f"(a, b) -> CASE WHEN a IN ({listed}) AND b IN ({listed}) THEN concat(a, ' ', b) END"
+    return F.expr(f"CASE WHEN size({tokens}) > 1 THEN array_compact(zip_with(slice({tokens}, 1, size({tokens}) - 1), slice({tokens}, 2, size({tokens}) - 1), {pair})) ELSE CAST(array() AS ARRAY<STRING>) END")
+
+
 def terms_of(text: str, stop: list[str] | None = None) -> Column:
     """Words and pairs of neighbouring words; stop words go before pairs are formed."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
-    if stop:
-        tokens = F.filter(tokens, lambda t: ~t.isin(stop))
-    pairs = F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+    tokens = tokens_of(text, stop)
+    return F.concat(tokens, pairs_of(tokens))
 
 
 #: Common English words, as a search engine leaves them out.
@@ -47,12 +65,61 @@ def tfidf_vectors(docs: DataFrame, doc: str, text: str, features: int = 500, sto
     return Normalizer(inputCol="_w", outputCol="features").transform(weighted).select(doc, "features")
 
 
+#: Frequent words written into a plan, and weights (groups times terms) that every task holds.
+MOST_WORDS, MOST_WEIGHTS = 20_000, 1_000_000
+
+
 def top_terms(docs: DataFrame, group: str, doc: str, text: str, k: int = 5, stop: list[str] | None = None, features: int = 200) -> DataFrame:
-    """(group, term, score, rank): the k terms with the largest sum of TF-IDF weights in each group.
+    """(group, term, score, rank): the k terms with the largest sum of TF-IDF weights in each group; every row is a document of its own.
 
     A group's vocabulary are its ``features`` most frequent terms, ties to the lesser.  Weights are
-    n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document.  Only rows of the vocabulary are weighted;
-    the large shuffles are the counts per document and, summed before they move, those per group.
+    n (ln((1 + docs) / (1 + df)) + 1), scaled to length 1 per document.
+
+    A pair is no more frequent than its words, so only pairs of a group's ``features`` most frequent words (with
+    ties) can be in its vocabulary, and only those are counted; words and these pairs move as partial sums.  With the
+    vocabulary known, terms are counted and weighed inside the row.  Where the frequent words are too many for a plan,
+    or the vocabularies of all groups for a task, ``top_terms_by_shuffle`` gives the same.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+
+    tokens = docs.select(group, tokens_of(text, stop).alias("_w"))
+    size = tokens.groupBy(group).agg(F.count("*").alias("docs"))
+    # explode_outer: for explode Spark tests the size of the array first, which works it out twice
+    count = lambda column: tokens.select(group, F.explode_outer(column).alias("term")).where("term IS NOT NULL").groupBy(group, "term").agg(F.count("*").alias("n"))
+    often = Window.partitionBy(group).orderBy(F.desc("n"))
+    frequent = work.kept(count(F.col("_w")).withColumn("place", F.rank().over(often)).where(F.col("place") <= features).drop("place"))
+    words = [r["term"] for r in frequent.select("term").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS or size.count() ** 2 * features > MOST_WEIGHTS:
+        return top_terms_by_shuffle(docs, group, doc, text, k, stop, features)
+    pairs = pairs_among("_w", words) if words else F.array().cast("array<string>")
+    every = frequent.unionByName(count(pairs))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))
+    chosen = work.kept(every.withColumn("place", place).where(F.col("place") <= features).select(group, "term"))
+    vocabulary = sorted({r["term"] for r in chosen.collect()})  # features of each group at most
+    if not vocabulary:
+        return chosen.select(group, "term", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    model = CountVectorizerModel.from_vocabulary(vocabulary, "_t", "_tf")
+    tf = model.transform(tokens.select(group, F.concat("_w", pairs).alias("_t"))).select(group, F.unwrap_udt("_tf").alias("v"))
+    tf = work.kept(tf.select(group, F.arrays_zip(F.col("v.indices").alias("at"), F.col("v.values").alias("n")).alias("bag")))
+    known = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "at int, term string")
+    places = chosen.join(F.broadcast(known), "term")
+    df = tf.select(group, F.explode("bag.at").alias("at")).groupBy(group, "at").agg(F.count("*").alias("df"))
+    idf = places.join(df, [group, "at"]).join(size, group).select(group, "at", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("at", "idf")))
+    dense = idf.groupBy(group).agg(by_place.alias("m")).select(group, F.transform(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("idf"))
+    weighed = tf.join(F.broadcast(dense), group).select(group, F.filter(F.transform("bag", lambda x: F.struct(x["at"].alias("at"), (x["n"] * F.get("idf", x["at"])).alias("w"))), lambda x: x["w"] > 0).alias("bag"))
+    length = F.sqrt(F.aggregate("bag", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    sums = weighed.withColumn("length", length).select(group, "length", F.explode("bag").alias("x")).groupBy(group, F.col("x.at").alias("at")).agg(F.round(F.sum(F.col("x.w") / F.col("length")), 6).alias("score"))
+    named = sums.join(F.broadcast(known), "at").select(group, "term", "score")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "term"))
+    return named.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+
+def top_terms_by_shuffle(docs: DataFrame, group: str, doc: str, text: str, k: int = 5, stop: list[str] | None = None, features: int = 200) -> DataFrame:
+    """``top_terms`` for any number of groups, for documents with ids of their own.
+
+    Only rows of the vocabulary are weighted; the large shuffles are the counts per document and, summed before they
+    move, those per group.
     """
     size = docs.groupBy(group).agg(F.countDistinct(doc).alias("docs"))
     # counted once: both uses below read the same exchange

@@ -35,3 +35,26 @@ def test_single_rows_are_placed(spark):
     sparse = spark.createDataFrame([(i, c, Vectors.sparse(3, [(k, x) for k, x in enumerate(v) if x])) for i, c, v in rows], ["id", "cluster", "v"]).selectExpr("id", "int(cluster) AS cluster", "v")
     got = {r["id"]: r["cluster"] for r in topics.place_singles(sparse, "id", "cluster", "v").collect()}
     assert {k: v for k, v in got.items() if k < 7} == want and want[5] == 1 and want[6] == 0 and got[7] in (0, 1)
+
+
+def test_top_terms_with_and_without_a_shuffle(spark, monkeypatch):
+    """Pairs are counted only of frequent words, which loses none: ties, groups of few words, repeated words, null and empty texts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(int(i), int(i % 4), " ".join(rng.choice(words, size=rng.integers(0, 40), p=np.arange(30, 0, -1) / 465))) for i in range(120)]
+    rows += [(200, 5, "one"), (201, 5, None), (202, 6, ""), (203, 7, "the of"), (204, 8, "echo echo echo echo"), (205, 9, "a1 b1 c1 d1"), (206, 9, "c1 d1 a1 b1")]
+    docs = spark.createDataFrame(rows, "doc long, g int, text string")
+    for features, k in ((5, 3), (12, 5), (200, 5)):
+        rank = lambda df: sorted(tuple(r) for r in df.select("g", "term", "rank", "score").collect())
+        want = rank(topics.top_terms_by_shuffle(docs, "g", "doc", "text", k, ["the", "of"], features))
+        got = rank(topics.top_terms(docs, "g", "doc", "text", k, ["the", "of"], features))
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-6)
+    monkeypatch.setattr(topics, "MOST_WORDS", 3)
+    assert rank(topics.top_terms(docs, "g", "doc", "text", k, ["the", "of"], features)) == want
+    assert topics.top_terms(docs.where("g = 6"), "g", "doc", "text").count() == 0
+
+
+def test_no_exchange_on_documents(spark):
+    docs = spark.createDataFrame([(1, 0, "some words of a text"), (2, 0, "other words of it")], "doc long, g int, text string")
+    plan = topics.top_terms(docs, "g", "doc", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(g" in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "doc" in x]
