@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,22 +145,122 @@ def n_clusters(rows: int, most: int = 15) -> int:
     return min(max(1, rows // 3), rows, most)
 
 
-def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, seeds: range = range(42, 45), place: bool = False) -> DataFrame:
-    """(id, cluster): the cheapest of several seeded runs, with single rows placed if asked for; one cluster each if there are no more rows than clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    ready = df.schema[vec_col].dataType.typeName() != "array"
-    data = df.select(F.col(id_col).alias("id"), (F.col(vec_col) if ready else array_to_vector(F.col(vec_col).cast("array<double>"))).alias("features")).persist()
+#: A prime: hashes of rows are numbers below it.  Its predecessor has no factor 5, so a fifth power keeps different numbers apart.
+_RACE = 2_147_483_647
+
+
+def race_key(number, start, step, far):
+    """The key by which a centre is drawn: of all rows the least wins, with a chance in proportion to ``far``.  Whole numbers only, so that SQL can say the same."""
+    x = (number % _RACE * 31 + start * 7919 + step * 104729 + 12345) % _RACE
+    square = x * x % _RACE
+    x = square * square % _RACE * x % _RACE
+    with np.errstate(divide="ignore"):
+        return np.where(far > 0, -np.log((x + 0.5) / _RACE) / far, np.inf)
+
+
+def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (start, row, centre), by products; those below 1e-9 are 0."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    far = (v**2).sum(axis=1)[:, None] - 2 * v @ flat.T + (flat**2).sum(axis=1)[None]
+    return np.where(far < 1e-9, 0, far).reshape(len(v), len(centres), -1).transpose(1, 0, 2)
+
+
+def _nearest(far: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, ties to the first.  Vectors without a common term are all equally far, so distances count to nine digits."""
+    return np.round(far, 9).argmin(axis=-1)
+
+
+def _vectors(batch) -> np.ndarray:
+    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 0)
+
+
+def _seed(data: DataFrame, starts: int, k: int) -> np.ndarray:
+    """Centres (start, centre, dimension) by k-means++: each next one is drawn with a chance in proportion to the squared distance from those before.  All starts draw together, by one aggregate a centre."""
+    centres = None
+    for step in range(k):
+
+        def race(batches, centres=centres, step=step):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    v, number = _vectors(part), part.column("number").to_numpy()
+                    far = np.ones((starts, len(v))) if centres is None else _distances(v, centres).min(axis=2)
+                    best = []
+                    for s in range(starts):
+                        key = race_key(number, s, step, far[s])
+                        i = np.lexsort((number, key))[0]
+                        best.append((s, key[i], number[i], v[i]))
+                    yield pa.RecordBatch.from_arrays([pa.array([b[j] for b in best], t) for j, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int64()))] + [pa.array([b[3].tolist() for b in best], pa.list_(pa.float64()))], ["start", "key", "number", "v"])
+
+        drawn = data.mapInArrow(race, "start int, key double, number long, v array<double>").groupBy("start").agg(F.min_by("v", F.struct("key", "number")).alias("v")).collect()
+        new = np.array([r["v"] for r in sorted(drawn)])[:, None, :]
+        centres = new if centres is None else np.concatenate([centres, new], axis=1)
+    return centres
+
+
+def _advance(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next centres and the cost of these, for all starts by one aggregate; a centre without rows stays."""
+    starts, k, _ = centres.shape
+
+    def sums(batches):
+        total, n, cost = np.zeros_like(centres), np.zeros((starts, k)), np.zeros(starts)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                v = _vectors(batch.slice(at, 512))
+                far = _distances(v, centres)
+                own = _nearest(far)
+                cost += far.min(axis=2).sum(axis=1)
+                for s in range(starts):
+                    np.add.at(total[s], own[s], v)
+                    n[s] += np.bincount(own[s], minlength=k)
+        row = np.concatenate([total, n[:, :, None], np.repeat(cost[:, None, None], k, axis=1)], axis=2)
+        s, c, d = np.indices(row.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int32)) for x in (s, c, d)] + [pa.array(row.ravel())], ["s", "c", "d", "x"])
+
+    rows = data.mapInArrow(sums, "s int, c int, d int, x double").groupBy("s", "c", "d").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((starts, k, centres.shape[2] + 2))
+    for r in rows:
+        out[r["s"], r["c"], r["d"]] = r["x"]
+    n = out[:, :, -2:-1]
+    return np.where(n > 0, out[:, :, :-2] / np.maximum(n, 1), centres), out[:, 0, -1]
+
+
+def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, starts: int = 10, rounds: int = 20, least: int = 2) -> DataFrame:
+    """(id, cluster): the cheapest of several k-means runs from k-means++ centres, all advanced together until none moves, ``rounds`` at most.
+
+    The draws are by a hash of the id, so a table gives the same clusters whatever its partitions.  Clusters are
+    numbered by their least id; members of those below ``least`` rows then join the nearest kept one.  One cluster
+    each if there are no more rows than clusters.  Only centres (starts times k vectors) reach the driver.
+    """
+    own = F.col(id_col)
+    number = F.crc32(own.cast("string").cast("binary")) if df.schema[id_col].dataType.typeName() == "string" else own.cast("long")
+    vector = F.col(vec_col) if df.schema[vec_col].dataType.typeName() == "array" else vector_to_array(vec_col)
+    data = work.kept(df.select(own.alias("id"), F.pmod(number, F.lit(_RACE)).cast("long").alias("number"), vector.cast("array<double>").alias("v")))
     n = data.count()
     k = k or n_clusters(n)
     if n < 2 or k >= n:
         return data.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"))
-    models = [KMeans(k=k, seed=s).fit(data) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    data.unpersist()
-    found = best.transform(data).select("id", F.col("prediction").alias("cluster"), "features")
-    return place_singles(found, "id", "cluster", "features") if place else found.select("id", "cluster")
+    rows = data.select("id", "number", "v")
+    centres = _seed(rows, starts, k)
+    for _ in range(rounds):
+        moved, _ = _advance(rows, centres)
+        if (moved == centres).all():
+            break
+        centres = moved
+    _, cost = _advance(rows, centres)
+    best = centres[int(np.argmin(np.round(cost, 6)))][None]
+
+    def assign(batches):
+        for batch in batches:
+            where = [_nearest(_distances(_vectors(batch.slice(at, 512)), best)[0]) for at in range(0, batch.num_rows, 512)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(np.concatenate(where).astype(np.int32) if where else np.zeros(0, np.int32))], ["id", "v", "found"])
+
+    kind = data.schema["id"].dataType.simpleString()
+    found = work.kept(rows.mapInArrow(assign, f"id {kind}, v array<double>, found int"))
+    named = found.groupBy("found").agg(F.min("id").alias("first")).select("found", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("cluster"))  # k rows
+    out = found.join(F.broadcast(named), "found").select("id", "cluster", "v")
+    return reassign_orphans(out, "id", "cluster", "v", least).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
 def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int = 2, most: int = 1000) -> DataFrame:
@@ -166,7 +269,7 @@ def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, lea
     Up to ``most`` centroids, as k-means makes them, meet the orphans as one broadcast row of arrays, so no vector is
     taken apart or moved; more of them come in blocks of that size, without a broadcast.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
     rows = df.select(id_col, cluster, F.col(vec_col).cast("array<double>").alias("v"))
@@ -182,22 +285,6 @@ def reassign_orphans(df: DataFrame, id_col: str, cluster: str, vec_col: str, lea
     return sized.where(F.col("n") >= least).select(id_col, cluster).unionByName(placed)
 
 
-def place_singles(df: DataFrame, id_col: str, cluster: str, vec_col: str) -> DataFrame:
-    """(id, cluster) as by ``reassign_orphans`` with least 2, for sparse vectors and few clusters: it is given the orphans and, twice each, the kept centroids."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    means = df.groupBy(cluster).agg(F.count("*").alias("n"), Summarizer.mean(F.col(vec_col)).alias("v")).select(cluster, "n", vector_to_array("v").alias("v")).collect()
-    if all(r["n"] > 1 for r in means):
-        return df.select(id_col, cluster)
-    rows = [(r[cluster] if k == 0 else -1 - r[cluster], r[cluster], r["v"]) for r in means for k in range(min(2, r["n"]))]
-    small = df.sparkSession.createDataFrame(rows, "id int, cluster int, v array<double>")
-    alone = {r[cluster] for r in means if r["n"] < 2}
-    to = {r["id"]: r["cluster"] for r in reassign_orphans(small, "id", "cluster", "v").collect() if r["id"] in alone}
-    moved = F.create_map(*[F.lit(x) for p in to.items() for x in p])
-    return df.select(id_col, F.coalesce(F.try_element_at(moved, F.col(cluster)), F.col(cluster)).alias(cluster))
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -208,6 +295,5 @@ def cluster_posts(posts: DataFrame, id_col: str, text: str, vectors: DataFrame |
     if vectors is not None:
         both = posts.select(id_col).join(vectors.select(id_col, vec_col), id_col, "left")
         if both.where(F.col(vec_col).isNull()).limit(1).count() == 0:
-            found = kmeans(both, id_col, vec_col, seeds=range(42, 52))
-            return reassign_orphans(found.join(both.withColumnRenamed(id_col, "id"), "id"), "id", "cluster", vec_col)
-    return kmeans(tfidf_vectors(posts, id_col, text, stop=english_stop_words()), id_col, "features", seeds=range(42, 52), place=True)
+            return kmeans(both, id_col, vec_col)
+    return kmeans(tfidf_vectors(posts, id_col, text, stop=english_stop_words()), id_col, "features")

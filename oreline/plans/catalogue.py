@@ -243,15 +243,51 @@ def orphan_reassign(spark, sf):
     return topics.reassign_orphans(e, "vec_id", "cluster", "embedding")
 
 
-@query()
+def _kmeans_sql(points: str, starts: int = 10, rounds: int = 20) -> str:
+    """k-means over a list ``points`` (id, v) of vectors: ten starts drawn by hashes, advanced together, the cheapest one's clusters by least id, single rows placed."""
+    far = "(CASE WHEN list_distance(p.v, c) < sqrt(1e-9) THEN 0 ELSE pow(list_distance(p.v, c), 2) END)"
+    x = "((p.id % 2147483647 * 31 + s.start * 7919 + {step} * 104729 + 12345) % 2147483647)"
+    key = f"({x} * {x} % 2147483647 * ({x} * {x} % 2147483647) % 2147483647 * {x} % 2147483647 + 0.5) / 2147483647::DOUBLE"
+    near = "list_position(list_transform(ds, lambda d: round(d, 9)), round(list_min(ds), 9))"
+    return f"""points AS MATERIALIZED ({points}), sized AS (SELECT least(greatest(1, count(*) // 3), count(*), 15) AS k FROM points), starts AS (SELECT unnest(range({starts})) AS start),
+ seeds AS (
+  SELECT s.start, 1 AS n, [arg_min(p.v, {{'key': -ln({key.format(step=0)}), 'id': p.id}})] AS cs FROM starts s, points p GROUP BY s.start
+  UNION ALL
+  SELECT s.start, s.n + 1, list_append(any_value(s.cs), arg_min(p.v, {{'key': CASE WHEN s.d > 0 THEN -ln({key.format(step='s.n')}) / s.d ELSE 'inf'::DOUBLE END, 'id': p.id}}))
+  FROM (SELECT s.start, s.n, s.cs, p.id, list_min(list_transform(s.cs, lambda c: {far})) AS d FROM seeds s, points p, sized WHERE s.n < sized.k) s JOIN points p USING (id) GROUP BY s.start, s.n
+ ), runs AS (
+  SELECT start, 0 AS n, cs FROM seeds, sized WHERE n = sized.k
+  UNION ALL
+  (WITH own AS MATERIALIZED (SELECT start, n, cs, v, {near} AS c FROM (SELECT r.start, r.n, r.cs, p.v, list_transform(r.cs, lambda c: {far}) AS ds FROM runs r, points p WHERE r.n < {rounds})),
+   means AS (SELECT start, c, list(x ORDER BY i) AS m FROM (SELECT start, c, i, avg(v[i]) AS x FROM (SELECT start, c, v, unnest(range(1, len(v) + 1)) AS i FROM own) GROUP BY ALL) GROUP BY ALL),
+   each AS (SELECT DISTINCT start, n, cs FROM own)
+   SELECT start, n + 1, list(coalesce(m, old) ORDER BY c) FROM (SELECT start, n, unnest(range(1, len(cs) + 1)) AS c, unnest(cs) AS old FROM each) LEFT JOIN means USING (start, c) GROUP BY start, n)
+ ), last AS (SELECT start, id, v, ds, {near} AS c FROM (SELECT r.start, p.id, p.v, list_transform(r.cs, lambda c: {far}) AS ds FROM runs r, points p WHERE r.n = {rounds})),
+ best AS (SELECT start FROM last GROUP BY start ORDER BY round(sum(list_min(ds)), 6), start LIMIT 1),
+ found AS (SELECT id, v, dense_rank() OVER (ORDER BY first) - 1 AS cluster FROM (SELECT id, v, min(id) OVER (PARTITION BY c) AS first FROM last WHERE start = (SELECT start FROM best))),
+ counted AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM found),
+ middle AS (SELECT cluster, list(x ORDER BY i) AS m FROM (SELECT cluster, i, avg(v[i]) AS x FROM (SELECT cluster, v, unnest(range(1, len(v) + 1)) AS i FROM counted WHERE n > 1) GROUP BY ALL) GROUP BY ALL),
+ placed AS (SELECT a.id, arg_min(b.cluster, {{'far': -coalesce(list_inner_product(a.v, b.m) / nullif(sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.m, b.m)), 0), 0), 'c': b.cluster}}) AS cluster FROM counted a, middle b WHERE a.n = 1 GROUP BY a.id)
+ SELECT id, cluster::INT AS cluster FROM counted WHERE n > 1 UNION ALL SELECT id, cluster::INT FROM placed"""
+
+
+@query("WITH RECURSIVE " + _kmeans_sql("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"))
 def kmeans_embeddings(spark, sf):
     return topics.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+_TFIDF = f"""d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({literal(_STOP)}, w)) AS ws FROM documents),
+ t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS term FROM d UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d WHERE len(ws) > 1)) GROUP BY ALL),
+ vocabulary AS (SELECT term, row_number() OVER (ORDER BY sum(n) DESC, term) AS place, count(*) AS df FROM t GROUP BY term ORDER BY sum(n) DESC, term LIMIT 500),
+ w AS (SELECT doc_id, place, n * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)::DOUBLE) + 1) AS w FROM t JOIN vocabulary USING (term)),
+ grid AS (SELECT doc_id, place, coalesce(w.w, 0) AS w FROM (SELECT doc_id, place FROM d, vocabulary) LEFT JOIN w USING (doc_id, place)),
+ vectors AS (SELECT doc_id AS id, list(w / CASE WHEN length > 0 THEN length ELSE 1 END ORDER BY place) AS v FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS length FROM grid) GROUP BY doc_id)"""
+
+
+@query("WITH RECURSIVE " + _TFIDF + ", " + _kmeans_sql("SELECT id, v FROM vectors"))
 def kmeans_tfidf(spark, sf):
     vectors = topics.tfidf_vectors(table(spark, sf, "documents"), "doc_id", "text", stop=topics.english_stop_words())
-    return topics.kmeans(vectors, "doc_id", "features", seeds=range(42, 52), place=True)
+    return topics.kmeans(vectors, "doc_id", "features")
 
 
 # ---- answers, fallbacks
