@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import lexicons
+from ..functions import lexicons, text
 from ..operators import report, rewrite, work
 from ..operators.tables import Tables
+from ..sources import feeds, landed
 from ..sources.ledger import Ledger
 from . import views
 from .cards import _C, _DRAFT_COLS, _P, _VALID, _drafts, _plain
@@ -107,3 +108,29 @@ def rewritten_items(spark, sf):
     rows = _drafts(spark, sf).withColumn("kind", F.concat(F.lit("case "), (F.col("id") % 4).cast("string")))
     out = rewrite.rewrite_items(rows, Ledger(spark, work.new_folder(spark, "ledger")), ScriptedItems)
     return out.select("id", "item.hook", F.array_join("item.links", "|").alias("links"), F.col("item.strength_or_impact").alias("grade"), "made_by")
+
+
+# ---- feeds
+
+
+_ENTRY_SQL = "SELECT 'rss' AS source, CASE WHEN doc_id % 3 = 0 THEN 'http://l/' || doc_id WHEN doc_id % 3 = 1 THEN 'urn:' || doc_id ELSE 'g' || doc_id END AS source_id, 'http://l/' || doc_id AS url, substring(t, 1, 500) AS title, substring(t || chr(10) || chr(10) || t, 1, 50000) AS text, 'http://f/' || source AS feed"
+
+
+@query(_ENTRY_SQL + rf" FROM (SELECT doc_id, source, {strip('text')} AS t FROM documents) WHERE t <> ''")
+def feed_files(spark, sf):
+    """Every document as a feed of its source in RSS, with or without a guid, or in Atom; read as bytes."""
+    k = F.col("doc_id").cast("string")
+    t = text.strip(F.coalesce("text", F.lit("")))
+    safe = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    feed = F.concat(F.lit("http://f/"), "source")
+    rss = lambda more: F.concat(F.lit("<rss><channel><link>"), feed, F.lit("</link><item><title>"), safe, F.lit("</title><link>http://l/"), k, F.lit("</link>"), more, F.lit("<description>"), safe, F.lit("</description></item></channel></rss>"))
+    atom = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><link rel="alternate" href="http://other"/><link rel="self" href="'), feed, F.lit('"/><entry><link rel="edit" href="http://edit"/><link href="http://l/'), k,
+        F.lit('"/><id>urn:'), k, F.lit("</id><title>"), safe, F.lit("</title><summary>"), safe, F.lit("</summary></entry></feed>"),
+    )
+    content = F.when(F.col("doc_id") % 3 == 0, rss(F.lit(""))).when(F.col("doc_id") % 3 == 1, atom).otherwise(rss(F.concat(F.lit("<guid>g"), k, F.lit("</guid>"))))
+    rows = views.table(spark, sf, "documents").where(t != "").select(F.concat(F.lit("file:/landed/"), k).alias("path"), content.alias("content"))
+    entries = feeds.parse_feeds(rows)
+    # each file holds one entry, so each is among the first of its feed
+    items = landed.feed_items(entries.withColumn("own", F.col("feed_url")).withColumn("feed_url", F.concat("feed_url", F.lit("#"), F.coalesce("id", "link"))), 20)
+    return items.select("source", "source_id", "url", "title", "text", F.substring_index("metadata.feed_url", "#", 1).alias("feed"))

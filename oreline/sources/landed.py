@@ -26,16 +26,6 @@ def read_landed(spark: SparkSession, path: str, schema: str, kind: str = "json")
     return reader.option("multiLine", True).json(path) if kind == "json" else reader.format(kind).load(path)
 
 
-#: Entries of a feed in either of the two common XML vocabularies, with the alternatives that the mapper falls back on.
-FEED_ENTRY = "title string, link string, id string, guid string, summary string, description string, author string, published string, pubDate string, updated string"
-
-
-def read_feed(spark: SparkSession, path: str, schema: str = FEED_ENTRY, tag: str = "item") -> DataFrame:
-    """Entries of landed XML feeds, in order, with the file as the feed's address."""
-    entries = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    return entries.withColumn("feed_url", F.input_file_name()).withColumn("ordinal", F.monotonically_increasing_id())
-
-
 def item_id(source: Column, source_id: Column) -> Column:
     """The same id in every run."""
     return F.sha2(F.concat_ws("\u0001", source, source_id), 256)
@@ -152,7 +142,9 @@ def listing_items(listings: DataFrame, n: int = 25) -> DataFrame:
 
 
 def feed_items(entries: DataFrame, n: int = 20) -> DataFrame:
-    """The first n entries of each feed (feed_url, ordinal, ...) as items, with the fallbacks of their fields."""
+    """The first n entries of each feed (feed_url, ordinal, ...) as items, with the fallbacks of their fields; rows with an error are left out."""
+    if "error" in entries.columns:
+        entries = entries.where("error IS NULL")
     rows = newest_entries(entries, n=n)
     title, link = nz(_first(rows, "title"), ""), nz(_first(rows, "link"), "")
     summary = nz(_first(rows, "summary", "description"), "")

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from oreline.functions import lexicons, normalise, render, text, validate
-from oreline.operators import relational, report, store, topics
+from oreline.operators import intake, relational, report, store, topics
 from oreline.operators.tables import Tables, seeds
-from oreline.sources import landed, provider
+from oreline.sources import feeds, landed, provider
 from oreline.streaming import ingest
 
 DAY = "2024-02-03"
@@ -115,14 +115,48 @@ def test_append_needs_no_table(spark, tables):
 # ---- sources
 
 
+RSS = "<rss><channel><title>F</title><link>http://site</link>{}</channel></rss>"
+ATOM = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><link href="http://atom"/><link rel="self" href="http://atom/feed"/>{}</feed>'
+
+
 def test_feed_files(spark, tmp_path):
+    """RSS and Atom beside a broken file: entries, addresses, and the error."""
     entry = "<item><title>T{i}</title><link>http://l/{i}</link><description>D &amp; d</description><pubDate>Sat, 3 Feb 2024 04:00:0{i} GMT</pubDate></item>"
-    (tmp_path / "feed.xml").write_text("<rss><channel>" + "".join(entry.format(i=i) for i in range(4)) + "<item><title>bare</title></item></channel></rss>")
-    entries = landed.read_feed(spark, str(tmp_path / "feed.xml"))
+    atom = '<entry><title>A</title><link rel="edit" href="http://edit"/><link rel="alternate" href="http://l/a"/><author><name>N</name><uri>u</uri></author><updated>2024-02-03T04:00:00Z</updated><content>C</content></entry><entry><title>B</title><link href="http://l/b"/><id>urn:b</id></entry>'
+    (tmp_path / "feed.xml").write_text(RSS.format("".join(entry.format(i=i) for i in range(4)) + "<item><title>bare</title></item>"))
+    (tmp_path / "atom.xml").write_text(ATOM.format(atom))
+    (tmp_path / "broken.xml").write_text("<rss><channel><item>")
+    (tmp_path / "page.xml").write_text("<html/>")
+    (tmp_path / "empty.xml").write_text(" ")
+    entries = feeds.read_feeds(spark, str(tmp_path))
+    errors = {r.feed_url.split("/")[-1]: r.error for r in entries.where("error IS NOT NULL").collect()}
+    assert set(errors) == {"broken.xml", "page.xml", "empty.xml"} and "ParseError" in errors["broken.xml"] and errors["page.xml"] == "ValueError: no feed: html"
     got = {r.title: r for r in landed.feed_items(entries, 20).collect()}
-    assert len(got) == 5 and got["T2"].source_id == "http://l/2" and got["T2"].text == "T2\n\nD & d" and got["T2"].published_at.second == 2
-    assert got["bare"].url is None and got["bare"].source_id.endswith(tuple("0123456789")) and got["bare"].published_at is None
-    assert landed.feed_items(entries, 2).count() == 2
+    assert len(got) == 7 and got["T2"].source_id == "http://l/2" and got["T2"].text == "T2\n\nD & d" and got["T2"].published_at.second == 2
+    assert got["bare"].url is None and got["bare"].source_id.startswith("http://site_") and got["bare"].published_at is None
+    assert (got["A"].url, got["A"].source_id, got["A"].author, got["A"].text, got["A"].published_at.hour) == ("http://l/a", "http://l/a", "N", "A\n\nC", 4)
+    assert (got["B"].url, got["B"].source_id, got["B"].metadata.feed_url) == ("http://l/b", "urn:b", "http://atom/feed")
+    assert landed.feed_items(entries, 2).count() == 4
+    # the same entries landed elsewhere are the same items
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "copy.xml").write_text((tmp_path / "feed.xml").read_text())
+    again = landed.feed_items(feeds.read_feeds(spark, str(tmp_path / "other")), 20)
+    assert {r.source_id for r in again.collect()} == {r.source_id for r in got.values() if r.title not in "AB"}
+
+
+def test_fetched_feeds_and_intake(spark, tables, tmp_path):
+    """A partition a feed; a feed, and a source, that fails is told of and the others are in."""
+    (tmp_path / "a.xml").write_text(RSS.format("".join(f"<item><title>t{i}</title><guid>g{i}</guid></item>" for i in range(30))))
+    (tmp_path / "b.xml").write_text("not a feed")
+    addresses = [f"file://{tmp_path}/{n}.xml" for n in ("a", "b", "missing")]
+    entries = feeds.fetch_feeds(spark, addresses)
+    assert entries.rdd.getNumPartitions() == 3
+    assert {r.feed_url.split("/")[-1]: (r["n"], r["e"] is not None) for r in entries.groupBy("feed_url").agg(F.count("ordinal").alias("n"), F.max("error").alias("e")).collect()} == {"a.xml": (20, False), "b.xml": (0, True), "missing.xml": (0, True)}
+    story = lambda bad: items(spark, [("hn", "1", "u", "a", "b", 1), ("hn", "2", "u", "a", "b", 1)]).withColumn("author", F.raise_error(F.lit("gone")).cast("string") if bad else F.lit("x"))
+    told = intake.take_in(tables, DAY, {"stories": lambda: story(False), "listings": lambda: story(True), "unread": lambda: spark.read.parquet(f"{tmp_path}/none"), "feeds": lambda: landed.feed_items(entries)})
+    got = {r["name"]: (r["items"], r["error"]) for r in told.collect()}
+    assert got["stories"] == (2, None) and got["feeds"] == (20, None) and got["listings"][0] == got["unread"][0] == 0 and "PATH_NOT_FOUND" in got["unread"][1] and got["listings"][1]
+    assert tables.items_of(DAY).count() == 22
 
 
 def test_landed_files_and_rows(spark, tmp_path):

@@ -30,11 +30,21 @@ def test_tfidf_vectors_match_brute_force(spark):
 
 def test_single_rows_are_placed(spark):
     rows = [(1, 0, [1.0, 0.0, 0.0]), (2, 0, [0.9, 0.1, 0.0]), (3, 1, [0.0, 1.0, 0.0]), (4, 1, [0.0, 1.0, 0.1]), (5, 2, [0.1, 0.8, 0.0]), (6, 3, [0.7, 0.0, 0.2]), (7, 4, [0.0, 0.0, 0.0])]
-    df = spark.createDataFrame([(i, c, Vectors.dense(v).toArray().tolist()) for i, c, v in rows], "id long, cluster int, v array<double>")
-    want = {r["id"]: r["cluster"] for r in topics.reassign_orphans(df, "id", "cluster", "v").where("id < 7").collect()}
-    sparse = spark.createDataFrame([(i, c, Vectors.sparse(3, [(k, x) for k, x in enumerate(v) if x])) for i, c, v in rows], ["id", "cluster", "v"]).selectExpr("id", "int(cluster) AS cluster", "v")
-    got = {r["id"]: r["cluster"] for r in topics.place_singles(sparse, "id", "cluster", "v").collect()}
-    assert {k: v for k, v in got.items() if k < 7} == want and want[5] == 1 and want[6] == 0 and got[7] in (0, 1)
+    df = spark.createDataFrame(rows, "id long, cluster int, v array<double>")
+    got = {r["id"]: r["cluster"] for r in topics.reassign_orphans(df, "id", "cluster", "v").collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
+
+
+def test_kmeans_is_the_same_for_any_partitions(spark):
+    """Three groups far apart, a single row near one of them, an id of text, repeated rows; as many clusters as rows."""
+    rng = np.random.default_rng(2)
+    rows = [(f"r{i}", (np.eye(3)[i % 3] * 9 + rng.normal(size=3) * 0.1).tolist()) for i in range(30)] + [("r99", [30.0, 0.0, 0.0]), ("r98", [9.0, 0.0, 0.0]), ("r97", [9.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    runs = [{r["id"]: r["cluster"] for r in topics.kmeans(df.repartition(n), "k", "v", k=4).collect()} for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 33
+    groups = [{runs[0][f"r{i}"] for i in range(j, 30, 3)} for j in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and runs[0]["r99"] == runs[0]["r0"] == runs[0]["r98"]
+    assert sorted(r["cluster"] for r in topics.kmeans(df.limit(2), "k", "v").collect()) in ([0, 1], [0, 0]) and topics.kmeans(df.limit(0), "k", "v").count() == 0
 
 
 def test_top_terms_with_and_without_a_shuffle(spark, monkeypatch):
