@@ -21,6 +21,7 @@ without rows.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 import numpy as np
@@ -142,8 +143,10 @@ class FingerprintIndex:
     Joins read a bucket as a stream, so a fingerprint that very many texts share costs its bucket time, not memory.
 
     The manifest holds a row per live table of each version: the last version
-    counts, and a batch that failed half-way leaves the one before.  ``path``
-    opens the index in that folder, or begins one there.
+    counts.  A batch is in the index once its version is; only then do the files
+    that it replaced go, and until then this object and the folder are as they
+    were, wherever it fails.  ``path`` opens the index in that folder, or begins
+    one there.
     """
 
     #: schema and bucket columns of the kinds of tables; narrow ones, which are cheap to move, are plain
@@ -171,7 +174,7 @@ class FingerprintIndex:
             table._oreline_path = r["path"]
             self.tables[r["kind"]].append(table)
             self.version, self.batches, self.buckets, self.window, self.gram = r["version"], r["batches"], r["buckets"], r["window"], r["gram"]
-        self.steps._n = 1000 * self.version
+        self.steps._n = time.time_ns() // 1_000_000  # no name that a failed batch of another session has used
 
     def _commit(self) -> None:
         """A new version: the live tables, a few rows."""
@@ -194,6 +197,17 @@ class FingerprintIndex:
 
     def ingest(self, rows: DataFrame) -> None:
         """Adds a batch of rows (hi, lo, text): its run, the fingerprints it makes shared, and the verified windows behind them."""
+        before = self.version, self.batches, {kind: list(tables) for kind, tables in self.tables.items()}
+        try:
+            self._ingest(rows)
+            gone = self._merge() if len(self.tables["run"]) > self.max_runs else []
+            self._commit()
+        except BaseException:
+            self.version, self.batches, self.tables = before
+            raise
+        self.steps.drop(*gone)
+
+    def _ingest(self, rows: DataFrame) -> None:
         self.batches += 1
         # one entry per text; the partial aggregate thins out copies before they are moved
         texts = self._add("texts", rows.groupBy("hi", "lo").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("hi", "lo", "text", "copies"))
@@ -215,19 +229,18 @@ class FingerprintIndex:
             parts += [self._texts_of(k, held) for k in range(1, self.batches)]
         self._add("windows", _windows(_all(parts), self.window, self.gram))
         self._add("shared", reduce(lambda x, known: x.join(known, "fp", "left_anti"), self.tables["shared"], hits.select("fp")), "lz4")
-        if len(self.tables["run"]) > self.max_runs:
-            self.compact()
-        self._commit()
 
     def _texts_of(self, batch: int, held: DataFrame) -> DataFrame:
         return self.tables["texts"][batch - 1].join(held.hint("merge"), ["hi", "lo"]).select(F.lit(batch).alias("batch"), "hi", "lo", "text", "fps")
 
-    def compact(self) -> None:
-        """Merges all runs into one, and the shared fingerprints likewise; the old files go."""
+    def _merge(self) -> list[DataFrame]:
+        """Merges all runs into one, and the shared fingerprints likewise; returns the tables that may go once this is a version."""
+        gone = []
         for kind in ("run", "shared"):
             old, self.tables[kind] = self.tables[kind], []
             self._add(kind, _all(old), "lz4", True)
-            self.steps.drop(*old)
+            gone += old
+        return gone
 
     def starts(self) -> DataFrame:
         """(batch, hi, lo, starts): where windows begin that are found twice or more in all that was ingested."""

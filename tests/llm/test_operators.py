@@ -171,6 +171,51 @@ def test_op5_index_grows_and_reopens(spark, tmp_path):
     assert not spark.catalog.listTables()
 
 
+def test_op5_fails_at_every_write(spark, tmp_path, monkeypatch):
+    """A batch that fails at any of its writes, with and without compaction, leaves an index that opens, takes the batch again and equals brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).toPandas()
+    docs = pd.concat([docs, docs.iloc[:4].assign(doc_id=lambda d: -d["doc_id"] - 1)])
+    parts = [docs.iloc[p] for p in np.array_split(np.arange(len(docs)), 3)]
+    rows = [spark.createDataFrame(p).selectExpr("xxhash64(text) AS hi", "hash(text) AS lo", "text") for p in parts]
+    want = sorted(x[1:] for x in expected_removal(docs.itertuples(index=False, name=None)))
+    write, commit = substring.Steps.write, substring.FingerprintIndex._commit
+    for batch in (1, 2):  # the second has no compaction, the third has
+        base = str(tmp_path / f"index{batch}")
+        index = substring.FingerprintIndex(spark, base, buckets=2, max_runs=2)
+        for r in rows[:batch]:
+            index.ingest(r)
+        at = failures = 0
+        while True:
+            left = [at]
+
+            def failing(step, left=left):
+                def run(*args, **kwargs):
+                    left[0] -= 1
+                    if left[0] < 0:
+                        raise OSError("the disk is gone")
+                    return step(*args, **kwargs)
+
+                return run
+
+            monkeypatch.setattr(substring.Steps, "write", failing(write))
+            monkeypatch.setattr(substring.FingerprintIndex, "_commit", failing(commit))
+            index = index if at % 2 else substring.FingerprintIndex(spark, base, buckets=2, max_runs=2)  # the same object, and one that opens the folder
+            assert (index.batches, len(index.tables["texts"])) == (batch, batch)
+            try:
+                index.ingest(rows[batch])
+                break
+            except OSError:
+                at, failures = at + 1, failures + 1
+        assert failures >= (7 if batch == 1 else 9)
+        monkeypatch.undo()
+        index = substring.FingerprintIndex(spark, base, buckets=2, max_runs=2)
+        for r in rows[batch + 1 :]:
+            index.ingest(r)
+        assert index.batches == 3
+        got = sorted((r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in index.cut().collect() for _ in range(r.copies))
+        assert got == want
+
+
 def test_op2_held_out_accuracy(spark, odd, none):
     got = toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
