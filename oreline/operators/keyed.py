@@ -161,21 +161,31 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema).select(*self.keys, "day")
         paths = [f"{self.path}/{f}" for f in manifest["index"]]
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/index").parquet(*paths).where(F.col("slot").isin(slots))
-        return rows.groupBy(*self.keys).agg(F.max_by("day", "version").alias("day"))
+        return rows.groupBy(*self.keys).agg(F.max(F.struct("version", "day")).alias("m")).select(*self.keys, F.col("m.day").alias("day"))
 
     def of_keys(self, wanted: DataFrame) -> DataFrame:
         """Rows with the keys, read from the partitions that the index names."""
         m, own = self.manifest(), wanted.select(*self.keys).dropDuplicates()
         slots = [r[0] for r in own.select(self._slot().alias("slot")).distinct().collect()]
-        places = self._index(m, slots).join(own, self.keys, "left_semi").select("day", self._slot().alias("slot")).distinct().collect()
+        places = self._index(m, slots).where("day IS NOT NULL").join(own, self.keys, "left_semi").select("day", self._slot().alias("slot")).distinct().collect()
         return self._open(m, sorted({f"{r['day']}/{r['slot']}" for r in places})).join(own, self.keys, "left_semi").drop("slot", "day")
 
+    def known(self, wanted: DataFrame) -> DataFrame:
+        """The keys, once each, that the table has; the index alone is read."""
+        own = wanted.select(*self.keys).dropDuplicates()
+        slots = [r[0] for r in own.select(self._slot().alias("slot")).distinct().collect()]
+        return own.join(self._index(self.manifest(), slots).where("day IS NOT NULL"), self.keys, "left_semi")
+
     # ---- changing
 
-    def change(self, rows: DataFrame, rules: dict[str, str | Callable[[Column, Column], Column]] | None = None, day: Column | None = None, insert: bool = True) -> None:
-        """Inserts or updates by key under the rules of ``store.upsert``; without ``insert`` rows of unknown keys are left out.
+    def remove(self, wanted: DataFrame) -> None:
+        """Deletes the rows of the keys."""
+        self.retried(3, wanted.select(*self.keys).dropDuplicates(), insert=False, delete=True)
+
+    def change(self, rows: DataFrame, rules: dict[str, str | Callable[[Column, Column], Column]] | None = None, day: Column | None = None, insert: bool = True, delete: bool = False) -> None:
+        """Inserts or updates by key under the rules of ``store.upsert``; without ``insert`` rows of unknown keys are left out, with ``delete`` those of the keys go.
 
-        ``rows`` have one row a key and may lack columns; ``day`` says where new rows go.
+        ``rows`` have one row a key and may lack columns; ``day`` says where new rows go.  The index then has no day for a deleted key.
         """
         base, own = self.manifest(), f"write={uuid.uuid4().hex}"
         try:
@@ -183,17 +193,20 @@ class KeyedTable:
             rows.withColumns({"_day": day, "slot": self._slot()}).write.parquet(f"{self.path}/stage/{own}")
             new = self.spark.read.parquet(f"{self.path}/stage/{own}")
             slots = [r[0] for r in new.select("slot").distinct().collect()]
-            placed = new.join(self._index(base, slots).withColumnRenamed("day", "_was"), self.keys, "left" if insert else "inner")
+            there = self._index(base, slots).where("day IS NOT NULL").withColumnRenamed("day", "_was")
+            placed = new.join(there, self.keys, "left" if insert else "inner")
             goes = F.col("_day") if self.moves and insert else F.coalesce("_was", "_day")
             placed = placed.withColumn("day", goes)
             hit = placed.select(F.explode(F.array_distinct(F.array(F.coalesce("_was", "day"), "day"))).alias("d"), "slot").distinct().collect()
             parts = sorted({f"{r['d']}/{r['slot']}" for r in hit} & base["parts"].keys())
-            both = store.upsert(self._open(base, parts), placed.drop("_day", "_was"), self.keys, rules or {})
+            old = self._open(base, parts)
+            both = old.join(placed, self.keys, "left_anti") if delete else store.upsert(old, placed.drop("_day", "_was"), self.keys, rules or {})
             both.repartition("day", "slot").write.partitionBy("day", "slot").parquet(f"{self.path}/rows/{own}")
-            moved = placed.where(F.col("_was").isNull() | (F.col("_was") != F.col("day"))).select(*self.keys, F.lit(base["version"] + 1).cast("long").alias("version"), "day", "slot")
+            now = F.lit(None).cast("string") if delete else F.col("day")
+            moved = placed.where(F.col("_was").isNull() | now.isNull() | (F.col("_was") != now)).select(*self.keys, F.lit(base["version"] + 1).cast("long").alias("version"), now.alias("day"), "slot")
             index, gone = [*base["index"], f"index/{own}"], [base["parts"][p] for p in parts]
             if len(index) > COMPACT:
-                everywhere = self._index(base, list(range(self.slots))).select(*self.keys, F.lit(base["version"]).cast("long").alias("version"), "day", self._slot().alias("slot"))
+                everywhere = self._index(base, list(range(self.slots))).where("day IS NOT NULL").select(*self.keys, F.lit(base["version"]).cast("long").alias("version"), "day", self._slot().alias("slot"))
                 moved, gone, index = moved.unionByName(everywhere), gone + base["index"], [f"index/{own}"]
             moved.repartition("slot").write.partitionBy("slot").parquet(f"{self.path}/index/{own}")
             made = {f"{d.removeprefix('day=')}/{s.removeprefix('slot=')}": f"rows/{own}/{d}/{s}" for d in self.folder.names(f"rows/{own}") if d.startswith("day=") for s in self.folder.names(f"rows/{own}/{d}")}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.landed import CATALYST, CLUSTER, LABEL, RAW_ITEM, item_id
 from ..sources.ledger import Ledger
-from . import store, work
+from . import constraints, store, work
 from .keyed import KeyedTable
 
 _ITEM_RULES = {"url": "old", "evidence_snippets": "old"}
@@ -33,8 +33,10 @@ MAX_TEXT = 100_000
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.base = spark, path.rstrip("/")
+    """``strict`` tables keep the constraints of ``constraints.RULES``: rows that break one are not written but added to ``rejects``."""
+
+    def __init__(self, spark: SparkSession, path: str, strict: bool = False):
+        self.spark, self.base, self.strict = spark, path.rstrip("/"), strict
 
     # ---- files
 
@@ -54,10 +56,43 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}") if there else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        store.overwrite_partitions(store.align(df, SCHEMAS[name]), f"{self.base}/{name}", "date")
+        store.overwrite_partitions(self._checked(name, store.align(df, SCHEMAS[name])), f"{self.base}/{name}", "date")
 
     def _upsert(self, name: str, new: DataFrame, rules: dict, day=None) -> None:
-        self.keyed(name).retried(3, store.align(new, SCHEMAS[name]), rules, day)
+        self.keyed(name).retried(3, self._checked(name, store.align(new, SCHEMAS[name])), rules, day)
+
+    def _checked(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows that keep the constraints; the others are added to the rejects."""
+        if not self.strict:
+            return rows
+        rows, parents = work.kept(rows), {}
+        for column, parent in constraints.RULES[name].parents:
+            own = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("id"))
+            parents[column] = self.read(parent).select("id").distinct() if parent in DAILY or KEYS[parent] != ["id"] else self.keyed(parent).known(own)
+        told = work.kept(constraints.checked(name, rows, parents))
+        constraints.rejects(name, told).write.mode("append").parquet(f"{self.base}/rejects")
+        return told.where("_broken IS NULL").drop("_broken")
+
+    def rejects(self) -> DataFrame:
+        """(table_name, constraint_name, row) of what was not written."""
+        return self.spark.read.schema(constraints.REJECTS).parquet(f"{self.base}/rejects")
+
+    def delete_items(self, ids: DataFrame) -> None:
+        """Deletes items (id) with their labels, vectors and memberships; the children go first, so that a crash leaves no child without its item."""
+        ids = work.kept(ids.select("id").distinct())
+        for name, column in constraints.CHILDREN["raw_items"]:
+            if name in DAILY:
+                rows = self.read(name)
+                hit = [r[0] for r in rows.join(ids.withColumnRenamed("id", column), column, "left_semi").select("date").distinct().collect()]
+                rest = rows.where(F.col("date").isin(hit)).join(ids.withColumnRenamed("id", column), column, "left_anti")
+                rest = work.kept(rest)
+                if hit:
+                    store.overwrite_partitions(rest, f"{self.base}/{name}", "date")
+                for day in set(hit) - {r[0] for r in rest.select("date").distinct().collect()}:
+                    self.delete_day(name, day)
+            else:
+                self.keyed(name).remove(ids.withColumnRenamed("id", column))
+        self.keyed("raw_items").remove(ids)
 
     # ---- writes
 
