@@ -61,6 +61,6 @@ def gate_fallback(candidates: DataFrame, n: int = 20) -> DataFrame:
 
 
 def source_weights(rows: DataFrame) -> DataFrame:
-    """Weight per trimmed source; null and 0 count as 1."""
+    """Weight per trimmed source, the heaviest first; null and 0 count as 1."""
     w = F.coalesce(F.nullif(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1.0))
-    return rows.withColumn("source_value", F.trim("source_value")).where("source_value <> ''").groupBy("source_type", "source_value").agg(F.sum(w).alias("weight")).orderBy(F.desc("weight"), "source_value")
+    return rows.withColumn("source_value", F.trim("source_value")).where("source_value <> ''").groupBy("source_type", "source_value").agg(F.sum(w).alias("weight")).orderBy(F.desc("weight"), "source_value", "source_type")

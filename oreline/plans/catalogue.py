@@ -48,12 +48,10 @@ def noise_penalty(spark, sf):
     return x.select("id", F.round(scoring.noise_penalty(F.col("title"), F.col("label"), F.col("source"), F.col("evidence_spans"), F.col("exclude_reason")), 6).alias("penalty"))
 
 
-_TIES = [(1, 0.9, None), (2, 0.9, 5), (3, 0.9, 7), (4, 0.5, 9), (5, 0.9, 5), (6, 0.95, None)]
-
-
-@query(f"SELECT id, ord FROM ({table_of('id, score, ord', _TIES)}) ORDER BY score DESC, ord DESC NULLS LAST, id LIMIT 4")
+@query(f"WITH {ITEMS} SELECT cluster, id, rank::INT AS rank FROM (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY id % 3 DESC, published_at DESC NULLS LAST, id) AS rank FROM v_items) WHERE rank <= 40")
 def rank_ties(spark, sf):
-    return values(spark, "id int, score double, ord int", _TIES).orderBy(F.desc("score"), F.desc_nulls_last("ord"), "id").limit(4).select("id", "ord")
+    """The first forty of each cluster by a score of three values, so that ties are broken by newest, unknown times last, then id."""
+    return relational.top_per_key(items(spark, sf), ["cluster"], [F.desc(F.col("id") % 3), F.desc_nulls_last("published_at"), F.col("id")], 40).select("cluster", "id", "rank")
 
 
 _TURNS = f"(SELECT conv_id, turn, substring(text || ' ' || {views.said_sql('conv_id + turn')}, 1, 2000) AS text FROM conversations)"
@@ -90,12 +88,16 @@ def impact(spark, sf):
 
 # ---- joins, aggregates, sets
 
-_WEIGHTS = [("rss", " a ", 0.0), ("rss", "a", None), ("rss", "b", 1.5), ("subreddit", "", 2.0), ("subreddit", "c", 0.25)]
-
-
-@query(f"SELECT source_type, trim(source_value) AS source_value, sum(CASE WHEN coalesce(weight, 0) = 0 THEN 1 ELSE weight END)::DOUBLE AS weight FROM ({table_of('source_type, source_value, weight', _WEIGHTS)}) WHERE trim(source_value) <> '' GROUP BY ALL")
+@query(
+    """SELECT *, row_number() OVER (ORDER BY weight DESC, source_value, source_type) - 1 AS place FROM (SELECT lang AS source_type, trim(v) AS source_value, sum(CASE WHEN coalesce(w, 0) = 0 THEN 1 ELSE w END)::DOUBLE AS weight
+ FROM (SELECT lang, CASE doc_id % 3 WHEN 0 THEN ' ' || source WHEN 1 THEN source || '  ' ELSE CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END END AS v, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 * 0.25 - 0.25 END AS w FROM documents) WHERE trim(v) <> '' GROUP BY ALL)"""
+)
 def source_weights(spark, sf):
-    return relational.source_weights(values(spark, "source_type string, source_value string, weight double", _WEIGHTS))
+    """Documents as sources of their language with weights of which some are null or 0, and their places in the result's order."""
+    k = F.col("doc_id")
+    value = F.when(k % 3 == 0, F.concat(F.lit(" "), "source")).when(k % 3 == 1, F.concat("source", F.lit("  "))).otherwise(F.when(k % 7 == 0, " ").otherwise(F.col("source")))
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("source_type"), value.alias("source_value"), F.when(k % 4 > 0, k % 4 * 0.25 - 0.25).alias("weight"))
+    return relational.source_weights(rows).coalesce(1).withColumn("place", F.monotonically_increasing_id())
 
 
 @query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import report, rewrite, work
+from ..operators import greedy, report, rewrite, work
 from ..operators.tables import Tables
 from ..sources import feeds, landed
 from ..sources.ledger import Ledger
@@ -79,6 +79,23 @@ def coherent_clusters(spark, sf):
     return report.support(said, tags).select(F.col("cluster_id").cast("long").alias("cluster"), "direct", "hits", "supported")
 
 
+# ---- the greedy choice over a table
+
+_LONG = r"[\p{L}]{13,}"
+
+
+@query(
+    f"""WITH RECURSIVE src AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{_LONG}')) AS keys FROM documents),
+ g AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS seen, NULL::BIGINT AS doc_id UNION ALL
+  SELECT s.n, CASE WHEN list_has_any(g.seen, s.keys) THEN g.seen ELSE list_concat(g.seen, s.keys) END, CASE WHEN list_has_any(g.seen, s.keys) THEN NULL ELSE s.doc_id END FROM g JOIN src s ON s.n = g.n + 1)
+ SELECT doc_id FROM g WHERE doc_id IS NOT NULL"""
+)
+def disjoint_documents(spark, sf):
+    """Documents in order of their ids that share no long word with one kept before."""
+    d = views.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_LONG), 0).alias("keys"))
+    return greedy.keep_disjoint(d, "doc_id", "keys", tail=100).select("doc_id")
+
+
 # ---- drafts rewritten in rounds
 
 
