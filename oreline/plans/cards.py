@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, lexicons, normalise, render, scoring, text, validate
+from ..functions import evidence, lexicons, normalise, render, scoring, validate
 from ..operators import relational, report
 from ..sources import provider
 from . import views
@@ -407,21 +407,23 @@ def sample_report(spark, sf):
 _LETTERS = lambda x: rf"regexp_replace({x}, '[^\p{{L}}]', '', 'g')"
 
 
-@query(_C + f"SELECT id, a || ' <strong>' || b || '</strong> <em>' || c || '</em> <code>' || d || '</code> &lt;' || a || '&gt; &amp; <a href=\"http://y/' || id || '\">' || b || '</a>' AS html FROM (SELECT id, 'x' || {_LETTERS('w[1]')} AS a, 'y' || {_LETTERS('w[2]')} AS b, 'z' || {_LETTERS('w[3]')} AS c, 'q' || {_LETTERS('w[4]')} AS d FROM (SELECT id, list_resize(w, 4, '') AS w FROM v_words))")
+_RUN = lambda a, b: _LETTERS(f"array_to_string(w[{a}:{b}], '')")
+
+
+@query(_C + f"SELECT id, a || ' <strong>' || b || '</strong> <em>' || c || '</em> <code>' || d || '</code> &lt;' || a || '&gt; &amp; <a href=\"http://y/' || id || '\">' || b || '</a>' AS html FROM (SELECT id, 'x' || {_RUN(1, 15)} AS a, 'y' || {_RUN(16, 30)} AS b, 'z' || {_RUN(31, 45)} AS c, 'q' || {_RUN(46, 60)} AS d FROM v_words)")
 def md_to_html(spark, sf):
-    w = F.slice(text.words(F.col("text")), 1, 4)
-    bare = lambda n, p: F.concat(F.lit(p), F.regexp_replace(F.coalesce(F.get("w", F.lit(n)), F.lit("")), r"[^\p{L}]", ""))
-    x = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), w.alias("w")).withColumns({"a": bare(0, "x"), "b": bare(1, "y"), "c": bare(2, "z"), "d": bare(3, "q")})
+    bare = lambda n, p: F.concat(F.lit(p), F.regexp_replace(F.array_join(F.slice("w", n * 15 + 1, 15), ""), r"[^\p{L}]", ""))
+    x = views.card_words(spark, sf).withColumns({"a": bare(0, "x"), "b": bare(1, "y"), "c": bare(2, "z"), "d": bare(3, "q")})
     md = F.concat(F.lit("## "), F.col("a"), F.lit(" **"), F.col("b"), F.lit("** *"), F.col("c"), F.lit("* `"), F.col("d"), F.lit("` <"), F.col("a"), F.lit("> & ["), F.col("b"), F.lit("](http://y/"), F.col("id").cast("string"), F.lit(")"))
     return x.select("id", render.inline_html(md).alias("html"))
 
 
-@query(_C + f"SELECT id, CASE WHEN len(ts) > 0 THEN 'Today''s themes: ' || array_to_string(ts, ', ') || '.' ELSE '' END AS line, array_to_string(ts, '|') AS parsed FROM (SELECT id, CASE WHEN id % 4 = 0 THEN [] ELSE ['a' || {_LETTERS('w[1]')}, 'b' || id] || CASE WHEN id % 2 = 0 THEN ['c'] ELSE [] END END AS ts FROM (SELECT id, list_resize(w, 1, '') AS w FROM v_words))")
+@query(_C + f"SELECT id, CASE WHEN len(ts) > 0 THEN 'Today''s themes: ' || array_to_string(ts, ', ') || '.' ELSE '' END AS line, array_to_string(ts, '|') AS parsed FROM (SELECT id, CASE WHEN id % 4 = 0 THEN [] ELSE ['a' || {_RUN(1, 60)}, 'b' || id] || CASE WHEN id % 2 = 0 THEN ['c'] ELSE [] END END AS ts FROM v_words)")
 def themes_round_trip(spark, sf):
-    k = F.col("doc_id")
-    head = F.concat(F.lit(" a"), F.regexp_replace(F.coalesce(F.get(F.slice(text.words(F.col("text")), 1, 1), F.lit(0)), F.lit("")), r"[^\p{L}]", ""), F.lit(" "))
+    k = F.col("id")
+    head = F.concat(F.lit(" a"), F.regexp_replace(F.array_join("w", ""), r"[^\p{L}]", ""), F.lit(" "))
     titles = F.when(k % 4 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.concat(F.array(head, F.lit(""), F.concat(F.lit("b"), k.cast("string"))), F.when(k % 2 == 0, F.array(F.lit("c"), F.lit("over"))).otherwise(F.array().cast("array<string>"))))
-    x = views.table(spark, sf, "documents").select(k.alias("id"), render.themes(titles).alias("line"))
+    x = views.card_words(spark, sf).select("id", render.themes(titles).alias("line"))
     return x.select("id", "line", F.array_join(render.parse_themes(F.col("line")), "|").alias("parsed"))
 
 
@@ -448,10 +450,6 @@ def _object(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def _words(spark, sf):
-    return views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.slice(text.words(F.col("text")), 1, 60).alias("w"))
-
-
 def _part(a: int, n: int) -> Column:
     return F.array_join(F.slice("w", F.lit(a + 1), F.lit(n)), " ")
 
@@ -466,7 +464,7 @@ def json_normalise(spark, sf):
     number = F.element_at(F.array(*[F.lit(x).cast("string") for x in (None, "1.7", "-0.5", "0.25", "0.75")]), (k % 5 + 1).cast("int"))
     made = _object(label=_js(label), confidence=number, audience_fit=F.when(k % 2 == 1, F.lit("0.125")), topic_tags=F.to_json(F.slice("w", 1, 7)), claim_anchors=F.to_json(F.array(F.substring(_part(0, 20), 1, 150))), exclude_reason=F.when(k % 3 == 0, _js(F.lit(" off "))).otherwise(F.lit("null")))
     answer = F.when(k % 10 == 9, "garbage, no JSON").when(k % 3 == 0, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).otherwise(made)
-    a = _words(spark, sf).withColumn("a", provider.label_answer(answer))
+    a = views.card_words(spark, sf).withColumn("a", provider.label_answer(answer))
     return a.select("id", "a.label", "a.confidence", "a.audience_fit", F.size("a.topic_tags").alias("n_tags"), F.coalesce(F.get("a.claim_anchors", F.lit(0)), F.lit("")).alias("anchor"), "a.exclude_reason")
 
 
@@ -491,7 +489,7 @@ def catalyst_answers(spark, sf):
     )
     # an answer that is no list has no catalysts
     answer = F.when(k % 10 == 9, F.concat(F.lit("Sorry: "), one)).otherwise(F.concat(F.lit("```json\n["), one, F.lit(", 5, \"x\"]\n```")))
-    x = _words(spark, sf).select("id", F.posexplode(normalise.catalysts(answer)).alias("ordinal", "c"))
+    x = views.card_words(spark, sf).select("id", F.posexplode(normalise.catalysts(answer)).alias("ordinal", "c"))
     return x.select("id", "ordinal", "c.title", F.size("c.topic_tags").alias("n_tags"), "c.what_changed", "c.summary", normalise.problems_text(F.col("c.problems_created")).alias("problems"), F.col("c.opportunity_wedge").alias("wedge"), "c.confidence", "c.connects_to")
 
 
@@ -502,7 +500,7 @@ def summary_answers(spark, sf):
     made = _object(title=_js(F.when(k % 7 == 3, "Insufficient evidence").otherwise(_part(0, 30))), summary=F.when(k % 4 != 0, _js(_part(1, 50))), stakes=F.to_json(F.slice("w", F.lit(1), (k % 8).cast("int"))), example_urls=F.when(k % 2 == 0, F.lit('["http://own"]')))
     answer = F.when(k % 10 == 9, "not JSON").otherwise(made)
     links = F.array(*[F.lit(f"http://l{j}") for j in range(1, 8)])
-    x = _words(spark, sf).withColumn("s", normalise.cluster_summary(answer, F.lit("old"), F.lit("old summary"), F.lit("old persona"), F.lit("old why"), links))
+    x = views.card_words(spark, sf).withColumn("s", normalise.cluster_summary(answer, F.lit("old"), F.lit("old summary"), F.lit("old persona"), F.lit("old why"), links))
     return x.select("id", "s.title", "s.summary", F.col("s.why_matters").alias("why"), F.size("s.stakes").alias("n_stakes"), F.array_join("s.example_urls", "|").alias("urls"))
 
 
@@ -522,7 +520,7 @@ def new_titles(spark, sf):
     k = F.col("id")
     answer = F.when(k % 4 == 0, "no").when(k % 5 == 0, '{"new_title": "  "}').otherwise(_object(new_title=_js(_part(0, 40))))
     snippets = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s")))
-    return _words(spark, sf).select("id", normalise.new_title(answer, F.lit("old"), snippets).alias("title"))
+    return views.card_words(spark, sf).select("id", normalise.new_title(answer, F.lit("old"), snippets).alias("title"))
 
 
 _AFF = f"CASE WHEN id % 4 = 0 THEN CASE WHEN pays <> '' THEN pays WHEN icp <> '' THEN icp ELSE 'Engineering teams' END ELSE 'Platform team' END"
@@ -541,7 +539,7 @@ def card_answers(spark, sf):
         who_is_affected=F.when(k % 4 == 0, F.lit('"Developers"')).otherwise(F.lit('" Platform team"')), wedge=_object(icp=F.when(k % 8 == 0, F.lit('""')).otherwise(F.lit('"the icp"'))), confidence=F.lit('"MED"'),
     )
     answer = F.when(k % 10 == 9, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
-    x = _words(spark, sf).select("id", F.explode(normalise.cards(answer)).alias("c"))
+    x = views.card_words(spark, sf).select("id", F.explode(normalise.cards(answer)).alias("c"))
     shown = F.transform("c.evidence", lambda e: F.concat_ws(">", e["quote"], F.coalesce(e["post_url"], F.lit("-")), F.coalesce(e["comment_url"], F.lit("-"))))
     return x.select("id", "c.title", "c.who_is_affected", F.array_join(shown, "|").alias("evidence"), "c.confidence", F.size("c.card_warnings").alias("n_warnings"))
 

@@ -13,15 +13,6 @@ from .registry import QUERIES, SQL, literal, n_contained, query  # noqa: F401
 from .views import ITEMS, LABELS, items, labels, table
 
 
-def values(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, ddl)
-
-
-def table_of(columns: str, rows: list[tuple]) -> str:
-    """The rows as SQL."""
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS t({columns})"
-
-
 _B = "WITH " + ITEMS + ",\n" + LABELS + "\n"
 _PASS = "(label IN ('PAIN', 'DISCUSSION') AND confidence >= 0.55 AND ((audience_fit IS NULL AND pain_intensity IS NULL AND actionability IS NULL) OR (coalesce(audience_fit, 0) >= 0.65 AND (coalesce(pain_intensity, 0) >= 0.5 OR coalesce(actionability, 0) >= 0.6))))"
 _PENALTY = "(CASE WHEN contains(lower(title), 'show hn') AND label <> 'PAIN' THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN source = 'rss' AND NOT has_spans THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN excluded THEN 0.2::DOUBLE ELSE 0 END)"

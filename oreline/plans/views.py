@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_words, words
+from ..functions.text import first_words, let, words
 from .registry import first_words as sql_first_words
 from .registry import literal
 from .registry import words as sql_words
@@ -88,10 +88,24 @@ POSTS = f"""v_posts AS (SELECT id, source, CASE WHEN id % 29 = 0 THEN '' ELSE id
 HN = "https://news.ycombinator.com/item?id="
 
 
+#: Words that a card is made of, and the number of cards that the ids of a document have room for.
+CARD_WORDS, CARD_IDS = 60, 1009
+
+
+def card_words(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, w): whole texts cut into runs of words, each a card's; a text without a word is one, too."""
+    def cut(w: Column) -> Column:
+        last = F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / CARD_WORDS).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * CARD_WORDS + 1, F.lit(CARD_WORDS)))
+
+    parts = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(let(words(F.col("text")), cut)).alias("at", "w"))
+    return parts.select((F.col("doc_id") * CARD_IDS + F.col("at")).alias("id"), "w")
+
+
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     """(id, card, allowed)."""
     k = F.col("id")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.slice(words(F.col("text")), 1, 60).alias("w"))
+    d = card_words(spark, sf)
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     seg = lambda a, n: F.array_join(F.slice("w", lit(a) + 1, lit(n)), " ")
     pick = lambda n, *xs: F.element_at(F.array(*map(lit, xs)), (k % n + 1).cast("int"))
@@ -125,7 +139,7 @@ def _seg(a: str, n: str) -> str:
     return f"array_to_string(w[({a}) + 1:({a}) + ({n})], ' ')"
 
 
-CARDS = f"""v_words AS (SELECT doc_id AS id, ({sql_words('text')})[1:60] AS w FROM documents),
+CARDS = f"""v_words AS (SELECT doc_id * {CARD_IDS} + part_ AS id, w[part_ * {CARD_WORDS} + 1:part_ * {CARD_WORDS} + {CARD_WORDS}] AS w FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 0) // {CARD_WORDS} + 1)) AS part_ FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents))),
 v_cards AS (SELECT id, {_pick(7, "'Software supply chain woe'", _seg('0', '4') + " || ' can break'", "''", "'One api fails overnight'", *[_seg('0', '2 + id % 12')] * 3)} AS title, CASE WHEN id % 10 = 0 THEN '' ELSE {_seg('3', '6 + id % 11')} END AS hook,
  CASE WHEN id % 9 = 0 THEN 'This highlights a need' WHEN id % 9 = 8 THEN '' ELSE {_seg('8', '12')} END AS problem, {_pick(6, "''", "'developers'", *["'Platform team ' || " + _seg('1', '2')] * 4)} AS who_is_affected,
  list_transform(range(id % 4), lambda j: {{'quote': array_to_string(w[j * 5 + 1:j * 5 + 4 + (id + j) % 11], ' '),
