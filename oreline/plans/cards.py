@@ -595,15 +595,15 @@ _MEMBERS = "m AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id)
 @query(
     _P + f""", {_MEMBERS}, {_BULLETS}, s AS (SELECT cluster, list(s ORDER BY o, n)[1:10] AS l FROM (SELECT cluster, o, generate_subscripts(evidence_snippets, 1) AS n, unnest(evidence_snippets) AS s FROM m) GROUP BY 1),
  u AS (SELECT cluster, list(url ORDER BY o)[1:5] AS l FROM m WHERE coalesce(url, '') <> '' GROUP BY 1), tg AS (SELECT cluster, list(t ORDER BY pos_)[1:10] AS l FROM (SELECT cluster, t, min(o * 10 + n) AS pos_ FROM (SELECT cluster, o, generate_subscripts(topic_tags, 1) AS n, unnest(topic_tags) AS t FROM m) GROUP BY ALL) GROUP BY 1),
- bl AS (SELECT cluster, least(15, count(*)) AS n FROM b JOIN m USING (id) WHERE o < 15 GROUP BY 1), f AS (SELECT DISTINCT cluster FROM m)
- SELECT cluster, array_to_string(coalesce(s.l, []), '|') AS snippets, array_to_string(coalesce(u.l, []), '|') AS links, array_to_string(coalesce(tg.l, []), '|') AS tags, coalesce(bl.n, 0)::INT AS n_bullets FROM f LEFT JOIN s USING (cluster) LEFT JOIN u USING (cluster) LEFT JOIN tg USING (cluster) LEFT JOIN bl USING (cluster)"""
+ bl AS (SELECT cluster, list(quote || '>' || coalesce(c.comment_url, '') ORDER BY o, b.n)[1:15] AS l FROM b JOIN m USING (id) WHERE o < 15 GROUP BY 1), f AS (SELECT DISTINCT cluster FROM m)
+ SELECT cluster, array_to_string(coalesce(s.l, []), '|') AS snippets, array_to_string(coalesce(u.l, []), '|') AS links, array_to_string(coalesce(tg.l, []), '|') AS tags, array_to_string(coalesce(bl.l, []), '|') AS bullets FROM f LEFT JOIN s USING (cluster) LEFT JOIN u USING (cluster) LEFT JOIN tg USING (cluster) LEFT JOIN bl USING (cluster)"""
 )
 def cluster_payloads(spark, sf):
     p = posts(spark, sf)
     members = p.withColumns({"cluster_id": F.col("cluster").cast("string"), "ordinal": F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1}).drop("topic_tags")
     clusters = p.select("cluster").distinct().select(F.col("cluster").cast("string").alias("id"), F.col("cluster").alias("cluster_index"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.array().cast("array<string>").alias("example_urls"))
     out = report.cluster_payloads(clusters, members, p.select("id", "topic_tags"))
-    return out.select(F.col("cluster_index").alias("cluster"), F.array_join("snippets", "|").alias("snippets"), F.array_join("links", "|").alias("links"), F.array_join("topic_tags", "|").alias("tags"), F.size("bullets").alias("n_bullets"))
+    return out.select(F.col("cluster_index").alias("cluster"), F.array_join("snippets", "|").alias("snippets"), F.array_join("links", "|").alias("links"), F.array_join("topic_tags", "|").alias("tags"), F.array_join(F.transform("bullets", lambda b: F.concat(b["quote"], F.lit(">"), F.coalesce(b["comment_url"], F.lit("")))), "|").alias("bullets"))
 
 
 @query(_P + f"SELECT id, array_to_string(list_distinct_kept, '|') AS urls FROM (SELECT id, [x for x in [coalesce(url, ''), 'http://k/' || (id % 3), CASE WHEN id % 2 = 0 THEN coalesce(url, '') ELSE '' END] if x <> ''] AS l, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_kept FROM v_posts)")

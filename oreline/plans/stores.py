@@ -62,6 +62,53 @@ def labels_of_day(spark, sf):
     return got.select("source_id", "label", F.round("confidence", 6).alias("confidence"), F.round(F.coalesce("audience_fit", F.lit(0.0)), 6).alias("audience_fit"))
 
 
+@query("SELECT vec_id::VARCHAR AS raw_item_id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+def vectors_by_key(spark, sf):
+    """All vectors stored, and those of labelled ids looked up through the key index."""
+    t = Tables(spark, work.new_folder(spark, "tables"))
+    t.put_embeddings(views.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("raw_item_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("given").alias("model")), "2024-01-01")
+    found = t.embeddings_of(views.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")))
+    return found.select("raw_item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("SELECT 'rss' AS source_type, s_name AS source_value, n_name AS interest, (s_suppkey % 3 * 0.5)::DOUBLE AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def seeded_sources(spark, sf):
+    """Nations as interests and suppliers as their sources, seeded twice; sources of an unknown interest are skipped."""
+    t = Tables(spark, work.new_folder(spark, "tables"))
+    nation, supplier = views.table(spark, sf, "nation"), views.table(spark, sf, "supplier")
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("interest"), F.lit("rss").alias("source_type"), F.col("s_name").alias("source_value"), (F.col("s_suppkey") % 3 * 0.5).alias("weight"))
+    interests = nation.select(F.col("n_name").alias("name"), F.lit("old").alias("description"))
+    t.seed(interests, rows.withColumn("weight", F.lit(1.0)).unionByName(rows.withColumn("interest", F.lit("nobody"))))
+    t.seed(interests.withColumn("description", F.lit("new")), rows)
+    return t.source_list().select("source_type", "source_value", "interest", "weight")
+
+
+_DAYS = f"WITH {ITEMS}, c AS (SELECT published_at AS date, cluster, count(*) AS size FROM v_items WHERE published_at IS NOT NULL GROUP BY ALL)\n"
+
+
+def _clustered(spark, sf) -> Tables:
+    """Documents as items of their days, and their clusters and members."""
+    t = Tables(spark, work.new_folder(spark, "tables"))
+    d = views.items(spark, sf).where("published_at IS NOT NULL")
+    t.put_items(d.select("source", F.col("id").cast("string").alias("source_id"), "url", "title", "text", F.col("published_at").cast("timestamp").alias("published_at"), F.col("published_at").cast("timestamp").alias("fetched_at")))
+    rows = d.select(F.col("published_at").alias("date"), F.concat_ws("/", "published_at", "cluster").alias("cluster_id"), F.col("cluster").alias("cluster_index"), landed.item_id(F.col("source"), F.col("id").cast("string")).alias("raw_item_id"))
+    clusters = rows.groupBy("date", F.col("cluster_id").alias("id"), "cluster_index").agg(F.count("*").cast("int").alias("size")).withColumns({"title": F.concat(F.lit("c"), "cluster_index"), "score": F.col("size") / 10})
+    t.put_clusters(clusters, rows)
+    return t
+
+
+@query(_DAYS + "SELECT cluster AS cluster_index, size::INT AS size, 'c' || cluster AS title FROM c WHERE date = DATE '2024-01-15'")
+def clusters_before(spark, sf):
+    """The clusters of the day before."""
+    return _clustered(spark, sf).previous_clusters("2024-01-16").select("cluster_index", "size", "title")
+
+
+@query(_DAYS + "SELECT cluster AS cluster_index, id::VARCHAR AS source_id, title FROM v_items WHERE published_at = DATE '2024-01-15'")
+def members_of_day(spark, sf):
+    """The items of a day's clusters, looked up by their ids."""
+    return _clustered(spark, sf).cluster_members("2024-01-15").select("cluster_index", "source_id", "title")
+
+
 # ---- coherence over all snippets
 
 
