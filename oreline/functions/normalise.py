@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import render, validate
+from .answers import text_of, texts_of, with_object
 from .scoring import unit
 from .text import first_n, nz, strip
 
@@ -24,7 +25,6 @@ CATALYSTS = (
     "confidence: string, source_urls: array<string>, summary: string, connects_to: string>"
 )
 SUMMARY = "title string, moment_of_pain string, summary string, persona string, stakes array<string>, what_people_do_now string, example_urls array<string>"
-GATE = "selected_pain_indices array<double>, selected_catalyst_indices array<double>, rejects array<struct<kind: string, index: string, reason: string>>"
 CARDS = (
     "struct<title: string, hook: string, problem: string, who_is_affected: string, evidence: array<string>, who_pays: string, why_existing_tools_fail: string, stakes: array<string>, why_now: array<string>, "
     "wedge: struct<icp: string, mvp: string, why_they_pay: string, first_channel: string, anti_feature: string>, confidence: string, kill_criteria: string>"
@@ -119,15 +119,19 @@ def cluster_summary(answer: Column, title: Column, summary: Column, persona: Col
 
 
 def gate_answer(answer: Column, n_pain: Column, n_catalysts: Column) -> Column:
-    """struct(pain, catalysts, rejects): chosen positions within bounds, in the order given; the first 5 and 3 if the answer is no object."""
-    raw = unfenced(answer)
-    d = F.from_json(raw, GATE)
-    good = F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull()
-    within = lambda a, n: F.filter(F.transform(F.coalesce(a, F.array().cast("array<double>")), lambda x: x.cast("int")), lambda i: i.isNotNull() & (i >= 0) & (i < n))
+    """struct(pain, catalysts, rejects): chosen positions within bounds, in the order given; the first 5 and 3 if the answer is no object.  Positions that are no numbers are left out."""
     first = lambda n, most: F.when(n > 0, F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1)).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<struct<kind: string, index: string, reason: string>>")
-    chosen = F.struct(within(d["selected_pain_indices"], n_pain).alias("pain"), within(d["selected_catalyst_indices"], n_catalysts).alias("catalysts"), F.coalesce(d["rejects"], none).alias("rejects"))
-    return F.when(good, chosen).otherwise(F.struct(first(n_pain, 5).alias("pain"), first(n_catalysts, 3).alias("catalysts"), none.alias("rejects")))
+
+    def read(v: Column) -> Column:
+        numbers = lambda k: F.transform(F.coalesce(texts_of(v, k), F.array().cast(_NONE)), lambda x: x.try_cast("double").try_cast("int"))
+        within = lambda k, n: F.filter(numbers(k), lambda i: i.isNotNull() & (i >= 0) & (i < n))
+        each = F.coalesce(F.try_variant_get(v, "$.rejects", "array<variant>"), F.array().cast("array<variant>"))
+        objects = F.filter(each, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+        rejects = F.transform(objects, lambda x: F.struct(*[text_of(x, k).alias(k) for k in ("kind", "index", "reason")]))
+        return F.struct(within("selected_pain_indices", n_pain).alias("pain"), within("selected_catalyst_indices", n_catalysts).alias("catalysts"), rejects.alias("rejects"))
+
+    return with_object(unfenced(answer), read, F.struct(first(n_pain, 5).alias("pain"), first(n_catalysts, 3).alias("catalysts"), none.alias("rejects")))
 
 
 def picked(values: Column, positions: Column) -> Column:

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import lexicons as L
+from ..functions.answers import number_of, text_of, texts_of, with_object
 from ..functions.normalise import unfenced
 from ..functions.scoring import unit
 from ..functions.text import first_n, first_words, strip
 
 log = logging.getLogger(__name__)
 
-ANSWER = "label string, confidence double, audience_fit double, pain_intensity double, actionability double, evidence_spans array<string>, topic_tags array<string>, claim_anchors array<string>, exclude_reason string"
-
 
 class RateLimited(Exception):
     """The model asks to wait; the only failure that is tried again."""
@@ -107,32 +106,33 @@ def label_lines(c: Column) -> Column:
 
 def label_answer(c: Column) -> Column:
     """The normalised struct of a JSON answer; an answer that isn't an object is read as lines, with zero scores and the reason parse_fallback."""
-    raw = unfenced(c)
-    d = F.from_json(raw, ANSWER)
-    parsed = F.get_json_object(raw, "$").isNotNull() & F.startswith(raw, F.lit("{"))
     lines = label_lines(c)
-    half = lambda x: F.when(x.isNull(), 0.5).otherwise(unit(x))
-    listed = lambda a, n: first_n(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda s: F.substring(strip(s), 1, 200)), lambda s: s != ""), n)
-    label = F.upper(d["label"])
-    good = F.struct(
-        F.when(label.isin(L.LABELS), label).otherwise("OTHER").alias("label"), half(d["confidence"]).alias("confidence"), half(d["audience_fit"]).alias("audience_fit"),
-        half(d["pain_intensity"]).alias("pain_intensity"), half(d["actionability"]).alias("actionability"), listed(d["evidence_spans"], 5).alias("evidence_spans"),
-        listed(d["topic_tags"], 5).alias("topic_tags"), F.transform(listed(d["claim_anchors"], 3), lambda s: first_words(s)).alias("claim_anchors"), F.nullif(strip(d["exclude_reason"]), F.lit("")).alias("exclude_reason"),
-    )
+
+    def good(v: Column) -> Column:
+        half = lambda k: F.when(number_of(v, k).isNull(), 0.5).otherwise(unit(number_of(v, k))).alias(k)
+        none = F.array().cast("array<string>")
+        listed = lambda k, n: first_n(F.filter(F.transform(F.coalesce(texts_of(v, k), none), lambda s: F.substring(strip(s), 1, 200)), lambda s: s != ""), n)
+        label = F.upper(text_of(v, "label"))
+        return F.struct(
+            F.when(label.isin(L.LABELS), label).otherwise("OTHER").alias("label"), half("confidence"), half("audience_fit"), half("pain_intensity"), half("actionability"), listed("evidence_spans", 5).alias("evidence_spans"),
+            listed("topic_tags", 5).alias("topic_tags"), F.transform(listed("claim_anchors", 3), lambda s: first_words(s)).alias("claim_anchors"), F.nullif(strip(text_of(v, "exclude_reason")), F.lit("")).alias("exclude_reason"),
+        )
+
     none = F.array().cast("array<string>")
     zero = lambda n: F.lit(0.0).alias(n)
     bad = F.struct(lines["label"].alias("label"), lines["confidence"].alias("confidence"), zero("audience_fit"), zero("pain_intensity"), zero("actionability"), none.alias("evidence_spans"), none.alias("topic_tags"), none.alias("claim_anchors"), F.lit("parse_fallback").alias("exclude_reason"))
-    return F.when(parsed, good).otherwise(bad)
+    return with_object(unfenced(c), good, bad)
 
 
-EDITOR = "featured_pain_ids array<string>, secondary_pain_ids array<string>, catalyst_ids array<string>, rejects array<struct<id: string, reason: string>>"
+def editor_answer(c: Column) -> Column:
+    """struct(featured, secondary, catalysts, rejects) of an editor's answer; null if it is no object, and then ``gate_fallback`` decides.  Rejects that are no objects are left out."""
+    kind = "struct<featured: array<string>, secondary: array<string>, catalysts: array<string>, rejects: array<struct<id: string, reason: string>>>"
 
+    def read(v: Column) -> Column:
+        ids = lambda k: F.coalesce(texts_of(v, k), F.array().cast("array<string>"))
+        each = F.coalesce(F.try_variant_get(v, "$.rejects", "array<variant>"), F.array().cast("array<variant>"))
+        objects = F.filter(each, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+        rejects = F.transform(objects, lambda x: F.struct(text_of(x, "id").alias("id"), text_of(x, "reason").alias("reason")))
+        return F.struct(ids("featured_pain_ids").alias("featured"), ids("secondary_pain_ids").alias("secondary"), ids("catalyst_ids").alias("catalysts"), rejects.alias("rejects")).cast(kind)
 
-def editor_answer(c: Column) -> Column:
-    """struct(featured, secondary, catalysts, rejects) of an editor's answer; null if it is no object, and then ``gate_fallback`` decides."""
-    raw = unfenced(c)
-    d = F.from_json(raw, EDITOR)
-    ids = lambda k: F.coalesce(d[k], F.array().cast("array<string>"))
-    rejects = F.coalesce(d["rejects"], F.array().cast("array<struct<id: string, reason: string>>"))
-    out = F.struct(ids("featured_pain_ids").alias("featured"), ids("secondary_pain_ids").alias("secondary"), ids("catalyst_ids").alias("catalysts"), rejects.alias("rejects"))
-    return F.when(F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull(), out)
+    return with_object(unfenced(c), read, F.lit(None).cast(kind))

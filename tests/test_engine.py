@@ -233,6 +233,26 @@ def test_editor_answer(spark):
     assert got[0].featured == ["a", "2"] and got[0].secondary == [] and got[0].rejects[0].reason == "duplicate" and got[1:] == [None, None]
 
 
+def test_fields_of_another_kind(spark):
+    """Numbers as text and text as numbers, nulls, nested lists and objects in place of strings."""
+    answers = [
+        '{"label": "pain", "confidence": "0.25", "audience_fit": null, "pain_intensity": "high", "actionability": 7, "evidence_spans": ["a", 5, null, ["b", 1], " "], "topic_tags": "one", "claim_anchors": [true], "exclude_reason": 0}',
+        '{"label": ["PAIN"], "confidence": true, "evidence_spans": {"a": 1}}', '{"label": "NEWS"} trailing', '["NEWS"]', "null", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, a string")
+    got = [r.x for r in rows.orderBy("i").select(provider.label_answer(F.col("a")).alias("x")).collect()]
+    assert (got[0].label, got[0].confidence, got[0].audience_fit, got[0].pain_intensity, got[0].actionability) == ("PAIN", 0.25, 0.5, 0.5, 1.0)
+    assert got[0].evidence_spans == ["a", "5", '["b",1]'] and got[0].topic_tags == [] and got[0].claim_anchors == ["true"] and got[0].exclude_reason == "0"
+    assert (got[1].label, got[1].confidence, got[1].evidence_spans, got[1].exclude_reason) == ("OTHER", 0.5, [], None)
+    # what stands behind an object is not read
+    assert got[2].label == "NEWS" and [x.exclude_reason for x in got[2:]] == [None] + ["parse_fallback"] * 3
+    gate = '{"selected_pain_indices": [1, "0", 9, null, "x", 1.0], "selected_catalyst_indices": 3, "rejects": ["no", {"kind": "pain", "index": 2, "reason": ["r"]}]}'
+    g = spark.createDataFrame([(gate,)], "a string").select(normalise.gate_answer(F.col("a"), F.lit(3), F.lit(2)).alias("g")).first().g
+    assert (g.pain, g.catalysts, [tuple(r) for r in g.rejects]) == ([1, 0, 1], [], [("pain", "2", '["r"]')])
+    e = spark.createDataFrame([('{"featured_pain_ids": ["a", 3], "rejects": [1, {"id": 4}]}',)], "a string").select(provider.editor_answer(F.col("a")).alias("e")).first().e
+    assert e.featured == ["a", "3"] and e.secondary == [] and [tuple(r) for r in e.rejects] == [("4", None)]
+
+
 def test_answers_that_are_not_lists(spark):
     for read in (normalise.catalysts, normalise.cards, normalise.idea_cards):
         rows = spark.createDataFrame([("{}",), ("",), (None,), ("[",), ("[1, null]",), ("[]",)], "a string").select(F.size(read(F.col("a"))).alias("n")).collect()
