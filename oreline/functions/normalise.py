@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import render, validate
 from .answers import text_of, texts_of, with_object
 from .scoring import unit
-from .text import first_n, nz, strip
+from .text import first_n, let, nz, strip
 
 _NONE = "array<string>"
 # Texts that stand in for missing ones.
@@ -39,6 +39,11 @@ def unfenced(c: Column) -> Column:
     return strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
 
 
+def _is_object(raw: Column) -> Column:
+    """Whether a text is a JSON object."""
+    return F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull()
+
+
 def _cut(c: Column, n: int) -> Column:
     return F.substring(F.coalesce(c, F.lit("")), 1, n)
 
@@ -97,25 +102,28 @@ def catalysts(answer: Column, n: int = 7) -> Column:
 
 def cluster_summary(answer: Column, title: Column, summary: Column, persona: Column, why: Column, links: Column) -> Column:
     """The write-up of a cluster; without an object it keeps what it had, and without evidence its fields are blank."""
-    raw = unfenced(answer)
-    d = F.from_json(raw, SUMMARY)
-    good = F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull()
-    urls = first_n(F.when(F.size(F.coalesce(d["example_urls"], F.array().cast(_NONE))) > 0, d["example_urls"]).otherwise(F.coalesce(links, F.array().cast(_NONE))), 5)
-    named = _cut(nz(d["title"], nz(title, NO_TITLE)), 200)
-    thin = F.contains(F.lower(named), F.lit("insufficient evidence"))
-    blank = lambda c: F.when(thin, "").otherwise(c)
-    stakes = F.coalesce(d["stakes"], F.array().cast(_NONE))
-    told = F.struct(
-        named.alias("title"), blank(_cut(d["moment_of_pain"], 500)).alias("moment_of_pain"), blank(_cut(nz(d["summary"], nz(summary, "")), 1500)).alias("summary"), blank(_cut(nz(d["persona"], nz(persona, "")), 300)).alias("persona"),
-        F.when(thin, F.array().cast(_NONE)).otherwise(_list(stakes, 5)).alias("stakes"), blank(_cut(d["what_people_do_now"], 300)).alias("what_people_do_now"), urls.alias("example_urls"),
-        blank(nz(F.substring(F.array_join(stakes, " "), 1, 500), nz(why, ""))).alias("why_matters"),
-    )
     none = F.lit("")
     kept = F.struct(
         nz(title, NO_TITLE).alias("title"), none.alias("moment_of_pain"), nz(summary, "").alias("summary"), nz(persona, "").alias("persona"), F.array().cast(_NONE).alias("stakes"), none.alias("what_people_do_now"),
         first_n(F.coalesce(links, F.array().cast(_NONE)), 5).alias("example_urls"), nz(why, "").alias("why_matters"),
     )
-    return F.when(good, told).otherwise(kept)
+
+    def told(d: Column, named: Column, thin: Column) -> Column:
+        urls = first_n(F.when(F.size(F.coalesce(d["example_urls"], F.array().cast(_NONE))) > 0, d["example_urls"]).otherwise(F.coalesce(links, F.array().cast(_NONE))), 5)
+        blank = lambda c: F.when(thin, "").otherwise(c)
+        stakes = F.coalesce(d["stakes"], F.array().cast(_NONE))
+        return F.struct(
+            named.alias("title"), blank(_cut(d["moment_of_pain"], 500)).alias("moment_of_pain"), blank(_cut(nz(d["summary"], nz(summary, "")), 1500)).alias("summary"), blank(_cut(nz(d["persona"], nz(persona, "")), 300)).alias("persona"),
+            F.when(thin, F.array().cast(_NONE)).otherwise(_list(stakes, 5)).alias("stakes"), blank(_cut(d["what_people_do_now"], 300)).alias("what_people_do_now"), urls.alias("example_urls"),
+            blank(nz(F.substring(F.array_join(stakes, " "), 1, 500), nz(why, ""))).alias("why_matters"),
+        )
+
+    def read(d: Column) -> Column:
+        named = _cut(nz(d["title"], nz(title, NO_TITLE)), 200)
+        return let(named, lambda t: let(F.contains(F.lower(t), F.lit("insufficient evidence")), lambda thin: told(d, t, thin)))
+
+    # the answer is read once, however many of its fields are used
+    return let(unfenced(answer), lambda raw: F.when(_is_object(raw), let(F.from_json(raw, SUMMARY), read)).otherwise(kept))
 
 
 def gate_answer(answer: Column, n_pain: Column, n_catalysts: Column) -> Column:
