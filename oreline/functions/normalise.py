@@ -63,8 +63,7 @@ def _share(c: Column) -> Column:
 
 def sentence(c: Column, n: int = 300) -> Column:
     """A wedge with a full stop at its end."""
-    text = strip(nz(c, UNCLEAR))
-    return F.substring(F.when(F.endswith(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 1, n)
+    return let(strip(nz(c, UNCLEAR)), lambda text: F.substring(F.when(F.endswith(text, F.lit(".")), text).otherwise(F.concat(text, F.lit("."))), 1, n))
 
 
 def strings_of(c: Column, n: int = 5) -> Column:
@@ -80,8 +79,7 @@ def problems_text(problems: Column, n: int = 500) -> Column:
 
 def _objects(answer: Column, schema: str, n: int) -> Column:
     """The objects among the first n elements of an answer that is a list; each is read by itself, so a bad one spoils no other."""
-    raw = unfenced(answer)
-    texts = F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, _NONE))
+    texts = let(unfenced(answer), lambda raw: F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, _NONE)))
     objects = F.filter(first_n(F.coalesce(texts, F.array().cast(_NONE)), n), lambda x: F.coalesce(F.startswith(x, F.lit("{")), F.lit(False)))
     return F.transform(objects, lambda x: F.from_json(x, schema))
 
@@ -202,16 +200,18 @@ def idea_cards(answer: Column, n: int = 5) -> Column:
         both = F.concat(*[F.coalesce(x[s]["links"], F.array().cast(_NONE)) for s in ("pain_signal", "catalyst_signal")])
         return F.filter(both, lambda u: F.coalesce(u, F.lit("")) != "")
 
-    raw = _objects(answer, IDEAS, n)
     start = F.struct(F.array().cast(_NONE).alias("seen"), F.array().cast("array<int>").alias("kept"))
 
-    def step(state: Column, i: Column) -> Column:
-        own = links(F.get(raw, i))
-        new = ~F.arrays_overlap(own, state["seen"])
-        return F.when(new, F.struct(F.array_union(state["seen"], own).alias("seen"), F.array_append(state["kept"], i).alias("kept"))).otherwise(state)
+    def chosen(raw: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            known = lambda own: F.when(~F.arrays_overlap(own, state["seen"]), F.struct(F.array_union(state["seen"], own).alias("seen"), F.array_append(state["kept"], i).alias("kept"))).otherwise(state)
+            return let(links(F.get(raw, i)), known)
+
+        places = F.when(F.size(raw) > 0, F.sequence(F.lit(0), F.size(raw) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.aggregate(places, start, step)["kept"], lambda i: let(F.get(raw, i), one))
 
-    places = F.when(F.size(raw) > 0, F.sequence(F.lit(0), F.size(raw) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.aggregate(places, start, step)["kept"], lambda i: one(F.get(raw, i)))
+    # the objects are read once, however often the choice and the fields look at them
+    return let(_objects(answer, IDEAS, n), chosen)
 
 
 def bet_line(answer: Column, n_cards: Column) -> Column:

@@ -446,7 +446,8 @@ def _js(c: Column) -> Column:
 
 def _object(**fields: Column) -> Column:
     """A JSON object of values that are JSON already; null ones are left out."""
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in fields.items()]
+    # a null value makes its part null; a test for it would work each value out twice, and nested ones twice a level
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
