@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import distinct_ignoring_case, first_n, first_words, n_words, nz, strip
+from .text import distinct_ignoring_case, first_n, first_words, let, n_words, nz, strip
 
 # Fixed value: what the report says about itself.
 INTRO = "This report distils repeated problems from public developer conversations and tech news. Every claim is tied to snippets and links; where evidence is thin, it says so."
@@ -188,7 +188,7 @@ def parse_report(md: Column) -> Column:
 def issue_html(issue: Column, view_url: str = "#", leave_url: str = "#") -> Column:
     """A parsed report as an HTML mail: tables with inline styles, every text escaped once, no markdown left."""
     cell = lambda style, *parts: F.concat(F.lit(f'<tr><td style="{style}">'), *[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit("</td></tr>"))
-    row = lambda name, value: F.when(value != "", cell("padding:4px 0", f"<b>{name}</b><br>", value)).otherwise("")
+    row = lambda name, value: let(value, lambda v: F.when(v != "", cell("padding:4px 0", f"<b>{name}</b><br>", v)).otherwise(""))
     text = lambda c: inline_html(_z(c))
     dots = lambda a: F.array_join(F.transform(a, text), " · ")
     bullets = lambda a: F.when(F.size(a) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(a, lambda e: F.concat(F.lit("<li>"), text(e), F.lit("</li>"))), ""), F.lit("</ul>"))).otherwise("")
@@ -197,7 +197,7 @@ def issue_html(issue: Column, view_url: str = "#", leave_url: str = "#") -> Colu
     def card(c: Column, i: Column) -> Column:
         badges = F.concat(F.when(c["is_draft"], "[Draft] ").otherwise(""), text(c["confidence"]))
         return F.concat(
-            F.lit('<table width="100%" style="border:1px solid #ccc;margin-bottom:24px"><tbody>'), F.when(badges != "", cell("font-size:11px", badges)).otherwise(""), cell("font-size:18px;font-weight:700", text(c["title"])), row("Hook", text(c["hook"])),
+            F.lit('<table width="100%" style="border:1px solid #ccc;margin-bottom:24px"><tbody>'), let(badges, lambda b: F.when(b != "", cell("font-size:11px", b)).otherwise("")), cell("font-size:18px;font-weight:700", text(c["title"])), row("Hook", text(c["hook"])),
             row("Problem", text(c["problem"])), row("Who pays", text(c["who_pays"])), row("Why existing tools fail", text(c["why_existing_tools_fail"])), row("What a wedge could look like", text(c["wedge"]["mvp"])), row("Evidence", bullets(c["evidence"])),
             row("Stakes", dots(c["stakes"])), row("Why now", dots(c["why_now"])), row("Kill criteria", text(c["kill_criteria"])), cell("padding:8px 0", f'<a href="{view_url}{mark}card=', i.cast("string"), '">Read cluster</a>'), F.lit("</tbody></table>"),
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence, lexicons, normalise, render, scoring, validate
-from ..functions.text import first_n, nz, strip
+from ..functions.text import first_n, let, nz, strip
 from .relational import greedy_disjoint
 
 _NONE = "array<string>"
@@ -110,10 +110,12 @@ def accept_cards(cards: DataFrame, allowed: str = "allowed", card: str = "card",
     A hard error drops a card.  With soft errors or warnings only it is repaired and checked again; what is left of
     them is listed as warnings.
     """
-    first = cards.withColumn("_v1", validate.card_errors(F.col(card), F.col(allowed)))
+    # a bare struct would be worked out anew for each use of its fields
+    checked = lambda c: let(validate.card_errors(c, F.col(allowed)), lambda v: v)
+    first = cards.withColumn("_v1", checked(F.col(card)))
     hard, loose = F.size("_v1.hard") > 0, (F.size("_v1.soft") + F.size("_v1.warnings")) > 0
     again = first.withColumn("_card", F.when(~hard & loose, validate.repaired(F.col(card))).otherwise(F.col(card)))
-    again = again.withColumn("_v2", F.when(~hard & loose, validate.card_errors(F.col("_card"), F.col(allowed))))
+    again = again.withColumn("_v2", F.when(~hard & loose, checked(F.col("_card"))))
     dropped = hard | F.coalesce(F.size("_v2.hard") > 0, F.lit(False))
     none = F.array().cast(_NONE)
     errors = F.when(hard, F.concat("_v1.hard", "_v1.soft")).when(dropped, F.concat("_v2.hard", "_v2.soft")).otherwise(none)
