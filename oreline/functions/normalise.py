@@ -153,10 +153,10 @@ def new_title(answer: Column, title: Column, snippets: Column) -> Column:
 
 def evidence_entry(e: Column) -> Column:
     """struct(quote, post_url, comment_url) of an entry given as JSON text: an object, or a quote alone."""
-    d = F.from_json(e, "quote string, post_url string, comment_url string")
-    is_object = F.startswith(strip(e), F.lit("{"))
-    link = lambda u: F.when(is_object, F.nullif(strip(u), F.lit("")))
-    return F.struct(_tidy(F.when(is_object, d["quote"]).otherwise(e), 200).alias("quote"), link(d["post_url"]).alias("post_url"), link(d["comment_url"]).alias("comment_url"))
+    link = lambda u: F.nullif(strip(u), F.lit(""))
+    read = lambda d: F.struct(_tidy(d["quote"], 200).alias("quote"), link(d["post_url"]).alias("post_url"), link(d["comment_url"]).alias("comment_url"))
+    bare = F.struct(_tidy(e, 200).alias("quote"), F.lit(None).cast("string").alias("post_url"), F.lit(None).cast("string").alias("comment_url"))
+    return F.when(F.startswith(strip(e), F.lit("{")), let(F.from_json(e, "quote string, post_url string, comment_url string"), read)).otherwise(bare)
 
 
 def affected(who: Column, pays: Column, icp: Column) -> Column:
@@ -171,17 +171,20 @@ def cards(answer: Column, n: int = 5) -> Column:
     def one(x: Column) -> Column:
         w = x["wedge"]
         wedge = F.struct(*[_tidy(w[k], m).alias(k) for k, m in (("icp", 300), ("mvp", 300), ("why_they_pay", 200), ("first_channel", 200), ("anti_feature", 200))])
-        evidence = F.transform(_list(x["evidence"], 5), evidence_entry)
         pays = _tidy(x["who_pays"], 200)
         said = F.lower(strip(nz(x["confidence"], "med")))
-        confidence = validate.lowered_confidence(F.when(said.isin("low", "med", "high"), said).otherwise("med"), evidence)
-        few = F.when(validate.thread_links(evidence) < 2, F.array(F.lit(LIMITED))).otherwise(F.array().cast(_NONE))
         listed = lambda a, m: F.transform(_list(a, 5), lambda s: _tidy(s, m))
-        return F.struct(
-            _cut(x["title"], 200).alias("title"), _cut(x["hook"], 500).alias("hook"), _cut(x["problem"], 500).alias("problem"), affected(x["who_is_affected"], pays, wedge["icp"]).alias("who_is_affected"), evidence.alias("evidence"),
-            pays.alias("who_pays"), _tidy(x["why_existing_tools_fail"], 300).alias("why_existing_tools_fail"), listed(x["stakes"], 200).alias("stakes"), listed(x["why_now"], 300).alias("why_now"), wedge.alias("wedge"),
-            confidence.alias("confidence"), _tidy(x["kill_criteria"], 300).alias("kill_criteria"), few.alias("card_warnings"),
-        )
+
+        def whole(evidence: Column) -> Column:
+            confidence = validate.lowered_confidence(F.when(said.isin("low", "med", "high"), said).otherwise("med"), evidence)
+            few = F.when(validate.thread_links(evidence) < 2, F.array(F.lit(LIMITED))).otherwise(F.array().cast(_NONE))
+            return F.struct(
+                _cut(x["title"], 200).alias("title"), _cut(x["hook"], 500).alias("hook"), _cut(x["problem"], 500).alias("problem"), affected(x["who_is_affected"], pays, wedge["icp"]).alias("who_is_affected"), evidence.alias("evidence"),
+                pays.alias("who_pays"), _tidy(x["why_existing_tools_fail"], 300).alias("why_existing_tools_fail"), listed(x["stakes"], 200).alias("stakes"), listed(x["why_now"], 300).alias("why_now"), wedge.alias("wedge"),
+                confidence.alias("confidence"), _tidy(x["kill_criteria"], 300).alias("kill_criteria"), few.alias("card_warnings"),
+            )
+
+        return let(F.transform(_list(x["evidence"], 5), evidence_entry), whole)
 
     return F.transform(_objects(answer, CARDS, n), one)
 
