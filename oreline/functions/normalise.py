@@ -226,16 +226,17 @@ def bet_line(answer: Column, n_cards: Column) -> Column:
 def item_answer(answer: Column, evidence: Column, strength: Column) -> Column:
     """The item that an answer is, with links of the evidence only; null if it is no JSON object."""
     grade = F.when(strength.isin("Low", "Med", "High"), strength).otherwise("Med")
-    raw = unfenced(answer)
-    d = F.from_json(raw, ITEM)
-    own = first_n(F.filter(_list(d["links"], 1000), lambda u: F.array_contains(evidence["links"], u)), 3)
-    many = lambda k: F.transform(_list(d[k], 3), strip)
-    said = strip(nz(d["strength_or_impact"], ""))
-    item = F.struct(
-        strip(nz(d["hook"], "")).alias("hook"), strip(nz(d["explanation"], "")).alias("explanation"), many("why_bullets").alias("why_bullets"), strip(nz(d["who"], "")).alias("who"), strip(nz(d["wedge"], "")).alias("wedge"),
-        many("evidence_snippets").alias("evidence_snippets"), F.when(F.size(own) > 0, own).otherwise(first_n(evidence["links"], 3)).alias("links"), F.when(said.isin("Low", "Med", "High"), said).otherwise(grade).alias("strength_or_impact"),
-    )
-    return F.when(F.startswith(raw, F.lit("{")) & F.get_json_object(raw, "$").isNotNull(), item)
+
+    def read(d: Column) -> Column:
+        own = first_n(F.filter(_list(d["links"], 1000), lambda u: F.array_contains(evidence["links"], u)), 3)
+        many = lambda k: F.transform(_list(d[k], 3), strip)
+        said = strip(nz(d["strength_or_impact"], ""))
+        return F.struct(
+            strip(nz(d["hook"], "")).alias("hook"), strip(nz(d["explanation"], "")).alias("explanation"), many("why_bullets").alias("why_bullets"), strip(nz(d["who"], "")).alias("who"), strip(nz(d["wedge"], "")).alias("wedge"),
+            many("evidence_snippets").alias("evidence_snippets"), let(own, lambda o: F.when(F.size(o) > 0, o).otherwise(first_n(evidence["links"], 3))).alias("links"), F.when(said.isin("Low", "Med", "High"), said).otherwise(grade).alias("strength_or_impact"),
+        )
+
+    return let(unfenced(answer), lambda raw: F.when(_is_object(raw), let(F.from_json(raw, ITEM), read)))
 
 
 def template_item(answers: Column, draft: Column, evidence: Column, strength: Column) -> Column:

@@ -2,9 +2,9 @@
 
 Answers lie in a folder as (key, answer), the key being a hash of the prompt.
 Prompts are asked once each, those that the ledger lacks, in rounds of about
-``batch`` that are written one by one: a run that breaks off loses the round
-that it was in, a lost task only its own part of one, and a rerun asks what is
-left.  What the model failed at is not written and is asked next time.
+``batch``, or of a part in ROUNDS of them if that is more, that are written one
+by one: a run that breaks off loses the round that it was in, a lost task only
+its own part of one, and a rerun asks what is left.  What the model failed at is not written and is asked next time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..operators import work
 from . import provider as models
 
+#: The most rounds of a call: each is a job, so their number must not grow with the prompts.
+ROUNDS = 16
 _KINDS = {"answers": "key string, value string", "vectors": "key string, value array<double>"}
 
 
@@ -38,9 +40,9 @@ class Ledger:
         stage = f"{self.path}/stage-{uuid.uuid4().hex}"
         todo.write.parquet(f"{stage}/all")
         open_ = self.spark.read.parquet(f"{stage}/all")
-        rounds = -(-open_.count() // self.batch)
+        rounds = min(-(-open_.count() // self.batch), ROUNDS)
         if rounds > 1:
-            open_.withColumn("round", F.pmod(F.xxhash64("key"), F.lit(rounds)).cast("int")).repartition("round").write.partitionBy("round").parquet(f"{stage}/rounds")
+            open_.withColumn("round", F.pmod(F.xxhash64("key"), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(f"{stage}/rounds")
         tasks = self.spark.sparkContext.defaultParallelism
         for k in range(rounds):
             part = self.spark.read.parquet(f"{stage}/rounds").where(F.col("round") == k) if rounds > 1 else open_

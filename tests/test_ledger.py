@@ -119,3 +119,13 @@ def test_rewriting_in_rounds(spark, tmp_path):
     # a rerun asks nobody
     assert rewrite.rewrite_items(rows, ledger, lambda: Stubborn(here)).count() == 4 and sum(calls(here).values()) == 8
     assert rewrite.rewrite_items(rows.limit(0), ledger, provider.StubProvider).count() == 0
+
+
+def test_many_prompts_take_few_rounds(spark, tmp_path):
+    """Each round is a job; their number does not grow with the prompts."""
+    here = str(tmp_path)
+    rows = spark.range(60).select(F.concat(F.lit("p"), "id").alias("p"))
+    ledger = Ledger(spark, f"{here}/ledger", batch=1)
+    assert ledger.generate(rows, "p", "a", lambda: Counting(here)).where("a = concat('<', p, '>')").count() == 60
+    written = {"-".join(p.name.split("-")[2:7]).split(".")[0] for p in (tmp_path / "ledger" / "answers").glob("part-*")}
+    assert 1 < len(written) <= 16 and set(calls(here).values()) == {1}
