@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, source_bytes): ids with the end id last."""
-    return pieces.encode_pieces(docs, pieces.public_model(), outputs=("n_tokens", "ids", "source_bytes"))
+    """(doc_id, n_tokens, ids, starts, ends, source_bytes, spans_tile, decoded_sha256): ids with the end id last, the bytes of the text that each other piece stands for, and a digest of the decoded text."""
+    return pieces.encode_pieces(docs, pieces.public_model(), outputs=("n_tokens", "ids", "starts", "ends", "source_bytes", "spans_tile", "decoded_sha256"))
 
 
 STAGES = [

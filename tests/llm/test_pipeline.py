@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, against brute force where it has one."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,12 @@ def test_clashing_columns_stay(spark, nameless, stage):  # noqa: F811
 def test_run_is_its_stages(spark, stages):
     got, want = corpus_pipeline.run(spark, SF).toPandas(), stages[-1].toPandas()
     assert sorted(zip(got["doc_id"], got["n_tokens"], strict=True)) == sorted(zip(want["doc_id"], want["n_tokens"], strict=True))
+
+
+def test_pieces_are_aligned_with_their_texts(spark):
+    """The last stage carries pieces to bytes of the text and back to the text, as the operator does."""
+    docs = spark.createDataFrame([(1, "Zwei  Wörter\nund mehr"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    data = "Zwei  Wörter\nund mehr".encode()
+    assert b"".join(data[a:b] for a, b in zip(got[1].starts, got[1].ends, strict=True)) == data and len(got[1].ids) == len(got[1].starts) + 1
+    assert got[1].decoded_sha256 == hashlib.sha256(data).hexdigest() and got[2].starts == got[3].starts == [] and all(r.spans_tile for r in got.values())
