@@ -52,17 +52,25 @@ def english_stop_words() -> list[str]:
 
 
 def tfidf_vectors(docs: DataFrame, doc: str, text: str, features: int = 500, stop: list[str] | None = None) -> DataFrame:
-    """(doc, features): sparse vectors of the weights of ``tfidf`` over the most frequent terms of the whole table, ties to the lesser term.  Zero where a text has none of them."""
+    """(doc, features): sparse vectors of the weights of ``tfidf`` over the most frequent terms of the whole table, ties to the lesser term.  Zero where a text has none of them.
+
+    As in ``top_terms`` only pairs of words that are frequent themselves (with ties) are counted, unless ties make
+    these words too many for a plan.
+    """
     from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    terms = docs.select(doc, terms_of(text, stop).alias("_terms"))
-    counts = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    vocabulary = [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(features).collect()]
-    if not vocabulary:
-        return terms.select(doc, F.lit(None).alias("features")).where("false")
+    tokens = work.kept(docs.select(doc, tokens_of(text, stop).alias("_w")))  # read for words, pairs and weights
+    count = lambda column: tokens.select(F.explode_outer(column).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    words = work.kept(count(F.col("_w")))
+    least = words.orderBy(F.desc("n")).limit(features).agg(F.min("n").alias("n")).first()["n"]
+    if least is None:
+        return tokens.select(doc, F.lit(None).alias("features")).where("false")
+    often = [r["term"] for r in words.where(F.col("n") >= least).select("term").limit(MOST_WORDS + 1).collect()]
+    pairs = pairs_among("_w", often) if len(often) <= MOST_WORDS else pairs_of(F.col("_w"))
+    vocabulary = [r["term"] for r in words.unionByName(count(pairs)).orderBy(F.desc("n"), "term").limit(features).collect()]
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "_terms", "_tf")
-    tf = counted.transform(terms).select(doc, "_tf")
+    tf = work.kept(counted.transform(tokens.select(doc, F.concat("_w", pairs).alias("_terms"))).select(doc, "_tf"))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf
     weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol="_tf", outputCol="_w").transform(tf)
     return Normalizer(inputCol="_w", outputCol="features").transform(weighted).select(doc, "features")
@@ -170,9 +178,27 @@ def _nearest(far: np.ndarray) -> np.ndarray:
     return np.round(far, 9).argmin(axis=-1)
 
 
+def _packed(data: DataFrame) -> DataFrame:
+    """The column v as the bytes of its doubles: a vector then moves to Python as one value."""
+
+    def pack(batches):
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            rows = np.ascontiguousarray(flat.reshape(batch.num_rows, -1)) if batch.num_rows else ()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("number"), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "number", "v"])
+
+    return data.mapInArrow(pack, f"id {data.schema['id'].dataType.simpleString()}, number long, v binary")
+
+
 def _vectors(batch) -> np.ndarray:
-    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 0)
+    return np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(batch.num_rows, -1)
+
+
+def _parts(batches):
+    """Batches of 512 rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
 
 
 def _seed(data: DataFrame, starts: int, k: int) -> np.ndarray:
@@ -181,17 +207,18 @@ def _seed(data: DataFrame, starts: int, k: int) -> np.ndarray:
     for step in range(k):
 
         def race(batches, centres=centres, step=step):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    v, number = _vectors(part), part.column("number").to_numpy()
-                    far = np.ones((starts, len(v))) if centres is None else _distances(v, centres).min(axis=2)
-                    best = []
-                    for s in range(starts):
-                        key = race_key(number, s, step, far[s])
-                        i = np.lexsort((number, key))[0]
-                        best.append((s, key[i], number[i], v[i]))
-                    yield pa.RecordBatch.from_arrays([pa.array([b[j] for b in best], t) for j, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int64()))] + [pa.array([b[3].tolist() for b in best], pa.list_(pa.float64()))], ["start", "key", "number", "v"])
+            best = {}
+            for part in _parts(batches):
+                v, number = _vectors(part), part.column("number").to_numpy()
+                far = np.ones((starts, len(v))) if centres is None else _distances(v, centres).min(axis=2)
+                for s in range(starts):
+                    key = race_key(number, s, step, far[s])
+                    least = np.flatnonzero(key == key.min())
+                    i = least[number[least].argmin()]
+                    if s not in best or (key[i], number[i]) < best[s][:2]:
+                        best[s] = (key[i], number[i], v[i].copy())
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32())] + [pa.array([b[j] for b in best.values()], t) for j, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.list_(pa.float64())))], ["start", "key", "number", "v"])
 
         drawn = data.mapInArrow(race, "start int, key double, number long, v array<double>").groupBy("start").agg(F.min_by("v", F.struct("key", "number")).alias("v")).collect()
         new = np.array([r["v"] for r in sorted(drawn)])[:, None, :]
@@ -205,23 +232,33 @@ def _advance(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     def sums(batches):
         total, n, cost = np.zeros_like(centres), np.zeros((starts, k)), np.zeros(starts)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                v = _vectors(batch.slice(at, 512))
-                far = _distances(v, centres)
-                own = _nearest(far)
-                cost += far.min(axis=2).sum(axis=1)
-                for s in range(starts):
-                    np.add.at(total[s], own[s], v)
-                    n[s] += np.bincount(own[s], minlength=k)
+        for part in _parts(batches):
+            v = _vectors(part)
+            far = _distances(v, centres)
+            cost += far.min(axis=2).sum(axis=1)
+            # sums of rows as a product: (start, centre) by row, 1 where the row is the centre's
+            own = np.zeros((starts, k, len(v)))
+            np.put_along_axis(own, _nearest(far)[:, None, :], 1, axis=1)
+            total += (own.reshape(starts * k, -1) @ v).reshape(total.shape)
+            n += own.sum(axis=2)
         row = np.concatenate([total, n[:, :, None], np.repeat(cost[:, None, None], k, axis=1)], axis=2)
-        s, c, d = np.indices(row.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int32)) for x in (s, c, d)] + [pa.array(row.ravel())], ["s", "c", "d", "x"])
+        s, c = np.indices(row.shape[:2])
+        yield pa.RecordBatch.from_arrays([pa.array(s.ravel().astype(np.int32)), pa.array(c.ravel().astype(np.int32)), pa.array([x.tobytes() for x in row.reshape(starts * k, -1)], pa.binary())], ["s", "c", "v"])
 
-    rows = data.mapInArrow(sums, "s int, c int, d int, x double").groupBy("s", "c", "d").agg(F.sum("x").alias("x")).collect()
+    def added(batches):
+        sums_of = {}
+        for batch in batches:
+            for s, c, x in zip(batch.column("s").to_pylist(), batch.column("c").to_pylist(), _vectors(batch), strict=True):
+                sums_of[s, c] = sums_of.get((s, c), 0) + x
+        if sums_of:
+            yield pa.RecordBatch.from_arrays([pa.array([key[j] for key in sums_of], pa.int32()) for j in (0, 1)] + [pa.array([x.tobytes() for x in sums_of.values()], pa.binary())], ["s", "c", "v"])
+
+    # sums of a task, starts times k rows, meet by centre
+    schema = "s int, c int, v binary"
+    rows = data.mapInArrow(sums, schema).repartition("s", "c").mapInArrow(added, schema).collect()
     out = np.zeros((starts, k, centres.shape[2] + 2))
     for r in rows:
-        out[r["s"], r["c"], r["d"]] = r["x"]
+        out[r["s"], r["c"]] = np.frombuffer(r["v"])
     n = out[:, :, -2:-1]
     return np.where(n > 0, out[:, :, :-2] / np.maximum(n, 1), centres), out[:, 0, -1]
 
@@ -236,28 +273,27 @@ def kmeans(df: DataFrame, id_col: str, vec_col: str, k: int | None = None, start
     own = F.col(id_col)
     number = F.crc32(own.cast("string").cast("binary")) if df.schema[id_col].dataType.typeName() == "string" else own.cast("long")
     vector = F.col(vec_col) if df.schema[vec_col].dataType.typeName() == "array" else vector_to_array(vec_col)
-    data = work.kept(df.select(own.alias("id"), F.pmod(number, F.lit(_RACE)).cast("long").alias("number"), vector.cast("array<double>").alias("v")))
+    data = work.kept(_packed(df.select(own.alias("id"), F.pmod(number, F.lit(_RACE)).cast("long").alias("number"), vector.cast("array<double>").alias("v"))))
     n = data.count()
     k = k or n_clusters(n)
     if n < 2 or k >= n:
         return data.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"))
-    rows = data.select("id", "number", "v")
-    centres = _seed(rows, starts, k)
+    centres = _seed(data, starts, k)
     for _ in range(rounds):
-        moved, _ = _advance(rows, centres)
+        moved, _ = _advance(data, centres)
         if (moved == centres).all():
             break
         centres = moved
-    _, cost = _advance(rows, centres)
+    _, cost = _advance(data, centres)
     best = centres[int(np.argmin(np.round(cost, 6)))][None]
 
     def assign(batches):
-        for batch in batches:
-            where = [_nearest(_distances(_vectors(batch.slice(at, 512)), best)[0]) for at in range(0, batch.num_rows, 512)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(np.concatenate(where).astype(np.int32) if where else np.zeros(0, np.int32))], ["id", "v", "found"])
+        for part in _parts(batches):
+            v = _vectors(part)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(v), pa.list_(pa.float64())), pa.array(_nearest(_distances(v, best)[0]).astype(np.int32))], ["id", "v", "found"])
 
     kind = data.schema["id"].dataType.simpleString()
-    found = work.kept(rows.mapInArrow(assign, f"id {kind}, v array<double>, found int"))
+    found = work.kept(data.mapInArrow(assign, f"id {kind}, v array<double>, found int"))
     named = found.groupBy("found").agg(F.min("id").alias("first")).select("found", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("cluster"))  # k rows
     out = found.join(F.broadcast(named), "found").select("id", "cluster", "v")
     return reassign_orphans(out, "id", "cluster", "v", least).select("id", F.col("cluster").cast("int").alias("cluster"))

@@ -28,6 +28,28 @@ def test_tfidf_vectors_match_brute_force(spark):
         assert np.allclose(got[i], w / (np.linalg.norm(w) or 1))
 
 
+def test_tfidf_vectors_read_texts_once(spark):
+    """Words, pairs and weights come from one reading."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [(i, f"alpha beta w{i} gamma alpha beta") for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).mapInArrow(told, "doc_id long, text string")
+    got = topics.tfidf_vectors(docs, "doc_id", "text", 5)
+    assert got.count() == 12 and read.value == 12
+
+
+def test_tfidf_vectors_with_too_many_frequent_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i} gamma alpha beta") for i in range(12)], "doc_id long, text string")
+    want = {r["doc_id"]: r["features"] for r in topics.tfidf_vectors(docs, "doc_id", "text", 7).collect()}
+    monkeypatch.setattr(topics, "MOST_WORDS", 2)
+    assert {r["doc_id"]: r["features"] for r in topics.tfidf_vectors(docs, "doc_id", "text", 7).collect()} == want
+
+
 def test_single_rows_are_placed(spark):
     rows = [(1, 0, [1.0, 0.0, 0.0]), (2, 0, [0.9, 0.1, 0.0]), (3, 1, [0.0, 1.0, 0.0]), (4, 1, [0.0, 1.0, 0.1]), (5, 2, [0.1, 0.8, 0.0]), (6, 3, [0.7, 0.0, 0.2]), (7, 4, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, cluster int, v array<double>")
