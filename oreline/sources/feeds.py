@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FIELDS = ("title", "link", "id", "summary", "description", "author", "published", "updated")
 SCHEMA = "feed_url string, ordinal long, " + ", ".join(f"{f} string" for f in FIELDS) + ", error string"
 MOST_ENTRIES = 20
+#: Feeds that are objects of Python at a time, and bytes of them: a batch of Arrow has as many as 10,000.
+MOST_FEEDS, MOST_BYTES = 256, 4 << 20
 _NAMES = {"guid": "id", "pubdate": "published", "creator": "author", "date": "published", "content": "summary", "encoded": "summary", "issued": "published", "modified": "updated"}
 
 
@@ -66,14 +69,28 @@ def parse_feed(content: bytes, address: str, most: int = MOST_ENTRIES) -> list[t
         return [(address, None, *[None] * len(FIELDS), f"{type(e).__name__}: {e}"[:500])]
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of feeds of at most MOST_FEEDS and, but for a single feed, MOST_BYTES."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("c")), 0).to_pylist()
+        at = size = 0
+        for i, n in enumerate(sizes):
+            if i > at and (i - at == MOST_FEEDS or size + n > MOST_BYTES):
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if sizes:
+            yield batch.slice(at)
+
+
 def parse_feeds(rows: DataFrame, address: str = "path", content: str = "content", most: int = MOST_ENTRIES) -> DataFrame:
     """Entries of feeds given as bytes, one feed a row."""
     kinds = [pa.string(), pa.int64(), *[pa.string()] * (len(FIELDS) + 1)]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            out = [r for a, c in zip(batch.column("a").to_pylist(), batch.column("c").to_pylist(), strict=True) for r in parse_feed(c or b"", a, most)]
+        for part in _parts(batches):
+            out = [r for a, c in zip(part.column("a").to_pylist(), part.column("c").to_pylist(), strict=True) for r in parse_feed(c or b"", a, most)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

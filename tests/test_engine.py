@@ -326,3 +326,24 @@ def test_lexicon_matching_is_literal(spark):
     words = ["a.b", "c++", "(d)", "e|f", "→", "can't"]
     rows = spark.createDataFrame([(t,) for t in ("axb", "A.B", "c+", "C++", "(d)", "e|f", "e", "x → y", "can't", "cant", None, "")], "t string")
     assert [r.x for r in rows.select(text.contains_any(F.col("t"), words).alias("x")).collect()] == [False, True, False, True, True, True, False, True, True, False, False, False]
+
+
+def test_feeds_of_a_batch_are_parsed_in_small_parts(spark):
+    """Of a batch of many feeds, or of long ones, only a bounded part is Python's objects at a time; a feed longer than that stays whole."""
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    feed = lambda text: f"<rss><channel><item><title>{text}</title></item></channel></rss>".encode()
+    contents = [feed("a")] * 1000 + [None] + [feed("b" * 1_500_000)] * 5 + [feed("c" * 6_000_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(len(contents))]), pa.array(contents, pa.binary())], ["a", "c"])
+    with_none = pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.binary())], ["a", "c"])
+    out = list(feeds.parse_feeds(Rows())([with_none, batch]))
+    assert max(b.num_rows for b in out) <= 256 and max(b.nbytes for b in out if b.num_rows > 1) < 5_000_000
+    titles = [t for b in out for t in b.column("title").to_pylist()]
+    assert titles == ["a"] * 1000 + [None] + ["b" * 1_500_000] * 5 + ["c" * 6_000_000] and sum(e is not None for b in out for e in b.column("error").to_pylist()) == 1
