@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from . import store
+from . import store, work
 
 COMPACT = 16
 STALE = 600  # seconds after which an unfinished version is that of a dead writer
@@ -135,6 +135,11 @@ class KeyedTable:
 
     # ---- reading
 
+    def _none(self, schema: str) -> DataFrame:
+        """No rows, which the optimiser knows: nothing is shuffled to be joined with them."""
+        fields = _parse_datatype_string(schema).fields
+        return self.spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
     def _slot(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.slots)).cast("int")
 
@@ -142,7 +147,7 @@ class KeyedTable:
         """Rows of partitions, with day and slot, which a filter prunes."""
         schema = f"{self.schema}, write string, day string, slot int"
         if not parts:
-            return self.spark.createDataFrame([], schema).drop("write")
+            return self._none(schema).drop("write")
         paths = [f"{self.path}/{manifest['parts'][p]}" for p in parts]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*paths).drop("write")
 
@@ -158,7 +163,7 @@ class KeyedTable:
         fields = [f"{k} {types[k]}" for k in self.keys]
         schema = ", ".join([*fields, "version long", "day string", "write string", "slot int"])
         if not manifest["index"]:
-            return self.spark.createDataFrame([], schema).select(*self.keys, "day")
+            return self._none(schema).select(*self.keys, "day")
         paths = [f"{self.path}/{f}" for f in manifest["index"]]
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/index").parquet(*paths).where(F.col("slot").isin(slots))
         return rows.groupBy(*self.keys).agg(F.max(F.struct("version", "day")).alias("m")).select(*self.keys, F.col("m.day").alias("day"))
@@ -182,16 +187,18 @@ class KeyedTable:
         """Deletes the rows of the keys."""
         self.retried(3, wanted.select(*self.keys).dropDuplicates(), insert=False, delete=True)
 
-    def change(self, rows: DataFrame, rules: dict[str, str | Callable[[Column, Column], Column]] | None = None, day: Column | None = None, insert: bool = True, delete: bool = False) -> None:
+    def change(self, rows: DataFrame, rules: dict[str, str | Callable[[Column, Column], Column]] | None = None, day: Column | None = None, insert: bool = True, delete: bool = False, last: list[Column] | None = None) -> None:
         """Inserts or updates by key under the rules of ``store.upsert``; without ``insert`` rows of unknown keys are left out, with ``delete`` those of the keys go.
 
-        ``rows`` have one row a key and may lack columns; ``day`` says where new rows go.  The index then has no day for a deleted key.
+        ``rows`` have one row a key, or an order ``last`` of which the first row of a key counts, and may lack columns; ``day`` says where new rows
+        go.  The index then has no day for a deleted key.  Old and new rows meet in the partition where the old ones are.
         """
         base, own = self.manifest(), f"write={uuid.uuid4().hex}"
         try:
             day = F.coalesce(day.cast("string"), F.lit(NO_DAY)) if day is not None else F.lit(NO_DAY)
             rows.withColumns({"_day": day, "slot": self._slot()}).write.parquet(f"{self.path}/stage/{own}")
             new = self.spark.read.parquet(f"{self.path}/stage/{own}")
+            new = self._once(new, last) if last else new
             slots = [r[0] for r in new.select("slot").distinct().collect()]
             there = self._index(base, slots).where("day IS NOT NULL").withColumnRenamed("day", "_was")
             placed = new.join(there, self.keys, "left" if insert else "inner")
@@ -200,8 +207,13 @@ class KeyedTable:
             hit = placed.select(F.explode(F.array_distinct(F.array(F.coalesce("_was", "day"), "day"))).alias("d"), "slot").distinct().collect()
             parts = sorted({f"{r['d']}/{r['slot']}" for r in hit} & base["parts"].keys())
             old = self._open(base, parts)
-            both = old.join(placed, self.keys, "left_anti") if delete else store.upsert(old, placed.drop("_day", "_was"), self.keys, rules or {})
-            both.repartition("day", "slot").write.partitionBy("day", "slot").parquet(f"{self.path}/rows/{own}")
+            if delete or not parts:
+                both = old.join(placed, self.keys, "left_anti") if delete else store.upsert(old, placed.drop("_day", "_was"), self.keys, rules or {})
+                both = both.repartition("day", "slot")
+            else:
+                group = {"_in_day": F.coalesce("_was", "day"), "_in_slot": F.col("slot")}
+                both = store.upsert_within(old.withColumns({"_in_day": F.col("day"), "_in_slot": F.col("slot")}), placed.withColumns(group).drop("_day", "_was"), self.keys, rules or {}, [*group])
+            both.write.partitionBy("day", "slot").parquet(f"{self.path}/rows/{own}")
             now = F.lit(None).cast("string") if delete else F.col("day")
             moved = placed.where(F.col("_was").isNull() | now.isNull() | (F.col("_was") != now)).select(*self.keys, F.lit(base["version"] + 1).cast("long").alias("version"), now.alias("day"), "slot")
             index, gone = [*base["index"], f"index/{own}"], [base["parts"][p] for p in parts]
@@ -218,6 +230,14 @@ class KeyedTable:
         finally:
             self.folder.delete(f"stage/{own}")
 
+    def _once(self, staged: DataFrame, last: list[Column]) -> DataFrame:
+        """One row a key: only rows of repeated keys are ordered, the others stay where they lie."""
+        repeated = work.kept(staged.groupBy(*self.keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+        if repeated.limit(1).count() == 0:
+            return staged
+        chosen = work.kept(store.last_of(staged.join(repeated, self.keys, "left_semi"), self.keys, last))
+        return staged.join(repeated, self.keys, "left_anti").unionByName(chosen)
+
     def retried(self, attempts: int, *args, **kwargs) -> None:
         """``change``, begun again where another writer was first."""
         for k in range(attempts):

@@ -35,6 +35,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str
     return joined.select(*out)
 
 
+def upsert_within(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str | Callable[[Column, Column], Column]], within: list[str]) -> DataFrame:
+    """``upsert`` where both sides say by the columns ``within`` in which group a key is: groups are dealt to tasks once, and old and new rows meet inside them.
+
+    ``within`` may not be among the columns of the result, which are those of ``old`` without them.
+    """
+    names = [c for c in old.columns if c not in keys and c not in within]
+    there = [F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in names]
+    rows = old.select(*keys, *within, F.lit(0).alias("_new"), *names).unionByName(new.select(*keys, *within, F.lit(1).alias("_new"), *there))
+    by_key = Window.partitionBy(*within, *keys).orderBy("_new")
+    out = [F.lead("_new").over(by_key).alias("_next"), *keys]
+    for name in names:
+        y, rule = F.col(name), rules.get(name, "new")
+        if name in new.columns and rule == "new":
+            out.append(y)
+            continue
+        x = F.lag(name).over(by_key)
+        both = x if name not in new.columns or rule == "old" else F.coalesce(y, x) if rule == "coalesce" else rule(x, y)
+        out.append(F.when(F.lag("_new").over(by_key).isNotNull(), both).otherwise(y).alias(name))
+    return rows.repartition(*within).select(*out).where("_next IS NULL").drop("_next")
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"), allowMissingColumns=True)
 

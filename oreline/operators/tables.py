@@ -58,8 +58,11 @@ class Tables:
     def _replace(self, name: str, df: DataFrame) -> None:
         store.overwrite_partitions(self._checked(name, store.align(df, SCHEMAS[name])), f"{self.base}/{name}", "date")
 
-    def _upsert(self, name: str, new: DataFrame, rules: dict, day=None) -> None:
-        self.keyed(name).retried(3, self._checked(name, store.align(new, SCHEMAS[name])), rules, day)
+    def _upsert(self, name: str, new: DataFrame, rules: dict, day=None, last=None) -> None:
+        """``last`` orders rows of one key, of which the first counts."""
+        if self.strict and last:  # repeated keys are no offence
+            new, last = store.last_of(new, KEYS[name], last), None
+        self.keyed(name).retried(3, self._checked(name, store.align(new, SCHEMAS[name])), rules, day, last=last)
 
     def _checked(self, name: str, rows: DataFrame) -> DataFrame:
         """The rows that keep the constraints; the others are added to the rejects."""
@@ -99,7 +102,7 @@ class Tables:
     def put_items(self, rows: DataFrame) -> None:
         """Inserts or updates items by (source, source_id); the first address and stored snippets stay.  Of repeated keys the newest counts."""
         new = rows.withColumns({"id": item_id(F.col("source"), F.col("source_id")), "text": F.substring("text", 1, MAX_TEXT), "title": F.coalesce("title", F.lit(""))})
-        self._upsert("raw_items", store.last_of(new, KEYS["raw_items"], [F.desc_nulls_last("published_at"), F.col("text")]), _ITEM_RULES, F.to_date("fetched_at"))
+        self._upsert("raw_items", new, _ITEM_RULES, F.to_date("fetched_at"), [F.desc_nulls_last("published_at"), F.col("text")])
 
     def put_snippets(self, rows: DataFrame) -> None:
         """Sets evidence_snippets of (id, evidence_snippets) where they aren't null; other ids are left out."""

@@ -126,3 +126,38 @@ def test_index_is_merged_and_odd_rows(spark, table, monkeypatch):
     assert table.manifest()["version"] == n + 1 and len(content(table)) == 8
     assert table.of_keys(spark.createDataFrame([], "k string")).count() == 0
     assert os.path.isdir(f"{table.path}/versions")
+
+
+def test_a_change_deals_its_rows_out_once(spark, table, monkeypatch):
+    """The first write moves rows to their partitions only, a later one to where the old ones are; repeated keys are ordered alone."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def told(self, path, *args, **more):
+        if "/rows/" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return parquet(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", told)
+    put(table, rows(spark, "2024-01-01", range(20)))
+    put(table, rows(spark, "2024-01-02", range(10, 30), 2))
+    # a join would sort both sides by the key; the index meets the new rows only
+    assert plans[0].count("Join") == 0 and plans[0].count("Exchange hashpartitioning") == 1 and "FullOuter" not in plans[1]
+    got = content(table)
+    assert len(got) == 30 and got["5"] == ("2024-01-01", 1, "u1") and got["15"] == ("2024-01-02", 2, "u1") and got["25"] == ("2024-01-02", 2, "u2")
+    both = rows(spark, "2024-01-03", [1, 40], 3).unionByName(rows(spark, "2024-01-04", [1, 40, 41], 4))
+    put(table, both, last=[F.desc("v")])
+    got = content(table)
+    assert len(got) == 32 and got["1"] == ("2024-01-04", 4, "u1") and got["40"] == ("2024-01-04", 4, "u4") and got["41"] == ("2024-01-04", 4, "u4")
+
+
+def test_rules_of_an_upsert_within_groups(spark):
+    """As upsert: rules, columns that new rows lack, a function, nulls, keys on one side."""
+    from oreline.operators import store
+
+    old = spark.createDataFrame([(1, "a", 1, "x", 5, "p"), (2, "b", None, "y", 6, "q"), (3, "c", 3, None, 7, "r")], "k int, u string, s int, l string, n int, g string")
+    new = spark.createDataFrame([(2, "B", 9, "Y", 1, "q"), (3, None, None, "Z", 2, "r"), (4, "D", 4, "W", 3, "p")], "k int, u string, s int, l string, n int, g string").drop("l")
+    rules = {"u": "old", "s": "coalesce", "n": lambda x, y: x + y}
+    want = store.upsert(old.drop("g"), new.drop("g"), ["k"], rules).collect()
+    assert sorted(store.upsert_within(old, new, ["k"], rules, ["g"]).select("k", "u", "s", "l", "n").collect()) == sorted(want) and len(want) == 4
