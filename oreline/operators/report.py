@@ -129,7 +129,7 @@ def assemble(name: str, cards: DataFrame, rejects: DataFrame | None = None, bets
     (an answer holds five), and so are its rejects.
     """
     made = cards.groupBy("date").agg(
-        F.array_sort(F.collect_list(F.when(F.col("accepted"), F.struct("ordinal", "card", "warnings"))), lambda a, b: a["ordinal"] - b["ordinal"]).alias("cards"),
+        F.array_sort(F.collect_list(F.when(F.col("accepted"), F.struct("ordinal", "card", "warnings")))).alias("cards"),
         F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("ordinal", nz(F.col("card.title"), "").alias("title"), "errors")))).alias("drops"),
     )
     out = made
@@ -137,18 +137,18 @@ def assemble(name: str, cards: DataFrame, rejects: DataFrame | None = None, bets
         listed = rejects.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "index", "reason"))).alias("rejects"))
         out = out.join(listed, "date", "left")
     else:
-        out = out.withColumn("rejects", F.lit(None).cast("array<struct<ordinal: int, kind: string, index: string, reason: string>>"))
+        out = out.withColumn("rejects", F.lit(None).cast("array<struct<ordinal: bigint, kind: string, index: string, reason: string>>"))
     out = out.join(bets, "date", "left") if bets is not None else out.withColumn("bet", F.lit(None).cast("string"))
-    gone = F.coalesce("rejects", F.array().cast("array<struct<ordinal: int, kind: string, index: string, reason: string>>"))
+    gone = F.coalesce("rejects", F.array().cast("array<struct<ordinal: bigint, kind: string, index: string, reason: string>>"))
     bet = nz(F.col("bet"), normalise.NO_DATA)
     return out.select("date", render.report_markdown(F.lit(name), F.col("date").cast("string"), F.col("cards"), bet, gone, F.col("drops")).alias("markdown"))
 
 
 def empty_report(name: str, date: str = "date", bet: str = "bet", rejects: str = "rejects") -> Column:
     """The report of a day without any card."""
-    gone = F.coalesce(F.col(rejects), F.array().cast("array<struct<ordinal: int, kind: string, index: string, reason: string>>"))
-    cards = F.array().cast(f"array<struct<ordinal: int, card: struct<{_CARD_FIELDS}>, warnings: array<string>>>")
-    drops = F.array().cast("array<struct<ordinal: int, title: string, errors: array<string>>>")
+    gone = F.coalesce(F.col(rejects), F.array().cast("array<struct<ordinal: bigint, kind: string, index: string, reason: string>>"))
+    cards = F.array().cast(f"array<struct<ordinal: bigint, card: struct<{_CARD_FIELDS}>, warnings: array<string>>>")
+    drops = F.array().cast("array<struct<ordinal: bigint, title: string, errors: array<string>>>")
     return render.report_markdown(F.lit(name), F.col(date).cast("string"), cards, nz(F.col(bet), normalise.NO_DATA), gone, drops)
 
 

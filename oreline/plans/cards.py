@@ -274,7 +274,7 @@ _REPORT_MD = lines(
 
 def _reports(spark, sf):
     day = F.concat(F.lit("d"), F.floor(F.col("id") / 3).cast("string"))
-    rows = report.accept_cards(cards(spark, sf)).withColumns({"date": day, "ordinal": F.col("id").cast("int")})
+    rows = report.accept_cards(cards(spark, sf)).withColumns({"date": day, "ordinal": F.col("id")})
     k = F.col("id")
     rejects = rows.select("date", "ordinal", F.when(k % 2 == 0, "pain").otherwise("catalyst").alias("kind"), (k % 7).cast("string").alias("index"), F.lit("not_buildable").alias("reason"))
     bets = rows.select("date").distinct().withColumn("bet", F.concat(F.lit("Bet of "), F.col("date")))
