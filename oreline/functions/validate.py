@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import contains_any, first_n, messages, n_words, strip, words
+from .text import contains_any, first_n, let, messages, n_words, strip, words
 
 CARD = (
     "title string, hook string, problem string, who_is_affected string, evidence array<struct<quote: string, post_url: string, comment_url: string>>, who_pays string, "
@@ -69,48 +69,62 @@ def item_errors(item: Column) -> Column:
 
 
 def card_errors(c: Column, allowed: Column) -> Column:
-    """struct(hard, soft, warnings) of a card struct.  ``allowed`` are the known URLs; an empty list allows every URL."""
+    """struct(hard, soft, warnings) of a card struct.  ``allowed`` are the known URLs; an empty list allows every URL.
+
+    What the rules ask of a text is found out once and held beside it, as the rules use it several times.
+    """
     none = F.array().cast("array<string>")
-    evidence = F.coalesce(first_n(c["evidence"], 10), F.array().cast("array<struct<quote: string, post_url: string, comment_url: string>>"))
     closed = F.size(allowed) > 0
-    known = lambda u: F.array_contains(allowed, u)
-    invented = F.flatten(F.transform(evidence, lambda e: messages((closed & (_s(e["post_url"]) != "") & ~known(_s(e["post_url"])), "evidence contains invented post link"), (closed & (_s(e["comment_url"]) != "") & ~known(_s(e["comment_url"])), "evidence contains invented comment link"))))
-    posted = F.exists(evidence, lambda e: (_s(e["post_url"]) != "") & (~closed | known(_s(e["post_url"]))))
-    quotes = F.flatten(F.transform(evidence, lambda e: messages((_s(e["quote"]) == "", "evidence bullet missing quote"), (n_words(e["quote"]) > 12, "evidence quote must be ≤12 words"))))
-    title, hook, wedge = n_words(c["title"]), n_words(c["hook"]), c["wedge"]
     banned = lambda *cols: contains_any(F.concat_ws("\n", *cols), L.CARD_BANNED)
-    empty = F.size(evidence) == 0
-    hard = F.concat(
-        messages(
-            (title == 0, "title required"), (title.between(4, 12) & ~names_failure(c["title"]), "title must imply failure mode"), (hook == 0, "hook required"),
-            (_s(c["problem"]) == "", "problem required"), (empty, "evidence missing entirely"),
-        ),
-        invented,
-        messages(
-            (~empty & ~posted, "evidence has no post_url links"), (_generic(c["who_pays"]), "buyer/owner undefined (generic 'developers' with no role/team)"),
-            (wedge.isNull(), "wedge must be object"), (wedge.isNotNull() & (_s(wedge["mvp"]) == ""), "wedge.mvp required"), (_s(c["kill_criteria"]) == "", "kill_criteria required"),
-            (banned(*[_s(c[k]) for k in ("title", "hook", "problem", "who_pays", "kill_criteria")]), "banned phrase in content"),
-            (wedge.isNotNull() & banned(*[_s(wedge[k]) for k in ("icp", "mvp", *_WEDGE[1:])]), "banned phrase in wedge"),
-            (F.exists(F.coalesce(c["why_now"], none), lambda w: contains_any(w, L.CARD_BANNED)), "banned phrase in why_now"),
-        ),
-    )
-    who, pays, confidence = _s(c["who_is_affected"]), _s(c["who_pays"]), F.lower(_s(F.when(F.coalesce(c["confidence"], F.lit("")) == "", "med").otherwise(c["confidence"])))
-    soft = F.concat(
-        messages(
-            ((title > 0) & ~title.between(4, 12), "title must be 4–12 words"), ((hook > 0) & ~hook.between(8, 14), "hook must be 8–14 words"), (who == "", "who_is_affected missing"),
-            (_generic(who), "who_is_affected must name concrete roles or teams (not just 'developers')"),
-        ),
-        quotes,
-        messages(
-            (pays == "", "who_pays missing"), ((pays != "") & ~_generic(pays) & ~names_buyer(pays), "who_pays should include role + org type"),
-            (~has_stake(c["stakes"]), "stakes must include at least one (time, reliability, security, money); proxy/estimate allowed if labeled"),
-            ((_s(wedge["mvp"]) != "") & ~is_tangible(wedge["mvp"]), "wedge.mvp should include tangible artifact (scanner, diff, CLI, etc.)"),
-            *[(wedge.isNotNull() & (_s(wedge[k]) == ""), f"wedge.{k} missing") for k in _WEDGE],
-            ((confidence != "") & ~confidence.isin("low", "med", "high"), "confidence must be low|med|high"),
-        ),
-    )
-    warnings = F.transform(F.filter(evidence, lambda e: _s(e["comment_url"]) == ""), lambda e: F.lit("comment link missing"))
-    return F.struct(hard.alias("hard"), soft.alias("soft"), warnings.alias("warnings"))
+
+    def entry(e: Column) -> Column:
+        post, comment = _s(e["post_url"]), _s(e["comment_url"])
+        return F.struct(post.alias("post"), comment.alias("comment"), F.array_contains(allowed, post).alias("post_known"), F.array_contains(allowed, comment).alias("comment_known"), _s(e["quote"]).alias("quote"), n_words(e["quote"]).alias("n"))
+
+    evidence = F.transform(F.coalesce(first_n(c["evidence"], 10), F.array().cast("array<struct<quote: string, post_url: string, comment_url: string>>")), entry)
+    confidence = F.lower(_s(F.when(F.coalesce(c["confidence"], F.lit("")) == "", "med").otherwise(c["confidence"])))
+    texts = ("title", "hook", "problem", "who_pays", "kill_criteria", "who_is_affected")
+    # texts first, then what is counted in them
+    read = F.struct(*[_s(c[k]).alias(k) for k in texts], n_words(c["title"]).alias("n_title"), n_words(c["hook"]).alias("n_hook"), confidence.alias("confidence"), evidence.alias("evidence"), *[_s(c["wedge"][k]).alias(k) for k in ("icp", "mvp", *_WEDGE[1:])])
+
+    def told(m: Column) -> Column:
+        title, hook, found, pays, who, mvp = m["n_title"], m["n_hook"], m["evidence"], m["who_pays"], m["who_is_affected"], m["mvp"]
+        empty, wedge = F.size(found) == 0, c["wedge"].isNotNull()
+        posted = F.exists(found, lambda e: (e["post"] != "") & (~closed | e["post_known"]))
+        invented = F.flatten(F.transform(found, lambda e: messages((closed & (e["post"] != "") & ~e["post_known"], "evidence contains invented post link"), (closed & (e["comment"] != "") & ~e["comment_known"], "evidence contains invented comment link"))))
+        quotes = F.flatten(F.transform(found, lambda e: messages((e["quote"] == "", "evidence bullet missing quote"), (e["n"] > 12, "evidence quote must be ≤12 words"))))
+        hard = F.concat(
+            messages(
+                (title == 0, "title required"), (title.between(4, 12) & ~names_failure(c["title"]), "title must imply failure mode"), (hook == 0, "hook required"),
+                (m["problem"] == "", "problem required"), (empty, "evidence missing entirely"),
+            ),
+            invented,
+            messages(
+                (~empty & ~posted, "evidence has no post_url links"), (_generic(pays), "buyer/owner undefined (generic 'developers' with no role/team)"),
+                (~wedge, "wedge must be object"), (wedge & (mvp == ""), "wedge.mvp required"), (m["kill_criteria"] == "", "kill_criteria required"),
+                (banned(*[m[k] for k in texts[:5]]), "banned phrase in content"),
+                (wedge & banned(*[m[k] for k in ("icp", "mvp", *_WEDGE[1:])]), "banned phrase in wedge"),
+                (F.exists(F.coalesce(c["why_now"], none), lambda w: contains_any(w, L.CARD_BANNED)), "banned phrase in why_now"),
+            ),
+        )
+        soft = F.concat(
+            messages(
+                ((title > 0) & ~title.between(4, 12), "title must be 4–12 words"), ((hook > 0) & ~hook.between(8, 14), "hook must be 8–14 words"), (who == "", "who_is_affected missing"),
+                (_generic(who), "who_is_affected must name concrete roles or teams (not just 'developers')"),
+            ),
+            quotes,
+            messages(
+                (pays == "", "who_pays missing"), ((pays != "") & ~_generic(pays) & ~names_buyer(pays), "who_pays should include role + org type"),
+                (~has_stake(c["stakes"]), "stakes must include at least one (time, reliability, security, money); proxy/estimate allowed if labeled"),
+                ((mvp != "") & ~is_tangible(mvp), "wedge.mvp should include tangible artifact (scanner, diff, CLI, etc.)"),
+                *[(wedge & (m[k] == ""), f"wedge.{k} missing") for k in _WEDGE],
+                ((m["confidence"] != "") & ~m["confidence"].isin("low", "med", "high"), "confidence must be low|med|high"),
+            ),
+        )
+        warnings = F.transform(F.filter(found, lambda e: e["comment"] == ""), lambda e: F.lit("comment link missing"))
+        return F.struct(hard.alias("hard"), soft.alias("soft"), warnings.alias("warnings"))
+
+    return let(read, told)
 
 
 def repaired(c: Column) -> Column:

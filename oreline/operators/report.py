@@ -122,26 +122,38 @@ def accept_cards(cards: DataFrame, allowed: str = "allowed", card: str = "card",
     return again.withColumns({card: F.col("_card"), "accepted": ~dropped, "warnings": warnings, "errors": errors}).drop("_v1", "_v2", "_card")
 
 
+def gathered(cards: DataFrame, *more: Column) -> DataFrame:
+    """(date, cards, drops, ...) of checked cards (date, ordinal, card, accepted, warnings, errors); ``more`` are aggregates over a day's rows."""
+    return cards.groupBy("date").agg(
+        F.array_sort(F.collect_list(F.when(F.col("accepted"), F.struct("ordinal", "card", "warnings")))).alias("cards"),
+        F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("ordinal", nz(F.col("card.title"), "").alias("title"), "errors")))).alias("drops"), *more,
+    )
+
+
+def listed_rejects() -> Column:
+    """Of rows (ordinal, kind, index, reason): the rejects of a day in order."""
+    return F.array_sort(F.collect_list(F.struct("ordinal", "kind", "index", "reason"))).alias("rejects")
+
+
 def assemble(name: str, cards: DataFrame, rejects: DataFrame | None = None, bets: DataFrame | None = None) -> DataFrame:
     """(date, markdown): a report per day of checked cards (date, ordinal, card, accepted, warnings, errors).
 
     ``rejects`` are (date, ordinal, kind, index, reason) of the gate, ``bets`` (date, bet).  A day's cards are few
     (an answer holds five), and so are its rejects.
     """
-    made = cards.groupBy("date").agg(
-        F.array_sort(F.collect_list(F.when(F.col("accepted"), F.struct("ordinal", "card", "warnings")))).alias("cards"),
-        F.array_sort(F.collect_list(F.when(~F.col("accepted"), F.struct("ordinal", nz(F.col("card.title"), "").alias("title"), "errors")))).alias("drops"),
-    )
-    out = made
+    out = gathered(cards)
     if rejects is not None:
-        listed = rejects.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "index", "reason"))).alias("rejects"))
-        out = out.join(listed, "date", "left")
+        out = out.join(rejects.groupBy("date").agg(listed_rejects()), "date", "left")
     else:
         out = out.withColumn("rejects", F.lit(None).cast("array<struct<ordinal: bigint, kind: string, index: string, reason: string>>"))
-    out = out.join(bets, "date", "left") if bets is not None else out.withColumn("bet", F.lit(None).cast("string"))
+    return reports(name, out.join(bets, "date", "left") if bets is not None else out.withColumn("bet", F.lit(None).cast("string")))
+
+
+def reports(name: str, days: DataFrame) -> DataFrame:
+    """(date, markdown) of days (date, cards, drops, rejects, bet)."""
     gone = F.coalesce("rejects", F.array().cast("array<struct<ordinal: bigint, kind: string, index: string, reason: string>>"))
     bet = nz(F.col("bet"), normalise.NO_DATA)
-    return out.select("date", render.report_markdown(F.lit(name), F.col("date").cast("string"), F.col("cards"), bet, gone, F.col("drops")).alias("markdown"))
+    return days.select("date", render.report_markdown(F.lit(name), F.col("date").cast("string"), F.col("cards"), bet, gone, F.col("drops")).alias("markdown"))
 
 
 def empty_report(name: str, date: str = "date", bet: str = "bet", rejects: str = "rejects") -> Column:

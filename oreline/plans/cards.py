@@ -274,11 +274,12 @@ _REPORT_MD = lines(
 
 def _reports(spark, sf):
     day = F.concat(F.lit("d"), F.floor(F.col("id") / 3).cast("string"))
-    rows = report.accept_cards(cards(spark, sf)).withColumns({"date": day, "ordinal": F.col("id")})
     k = F.col("id")
-    rejects = rows.select("date", "ordinal", F.when(k % 2 == 0, "pain").otherwise("catalyst").alias("kind"), (k % 7).cast("string").alias("index"), F.lit("not_buildable").alias("reason"))
-    bets = rows.select("date").distinct().withColumn("bet", F.concat(F.lit("Bet of "), F.col("date")))
-    return report.assemble(NAME, rows, rejects, bets)
+    gate = {"kind": F.when(k % 2 == 0, "pain").otherwise("catalyst"), "index": (k % 7).cast("string"), "reason": F.lit("not_buildable")}
+    # cards and rejects of a day are gathered together, so the texts are read once
+    rows = report.accept_cards(cards(spark, sf)).withColumns({"date": day, "ordinal": k, **gate})
+    days = report.gathered(rows, report.listed_rejects())
+    return report.reports(NAME, days.withColumn("bet", F.concat(F.lit("Bet of "), F.col("date"))))
 
 
 @query(f"WITH {_REPORTS} SELECT date, {_REPORT_MD} AS markdown FROM days")

@@ -33,3 +33,11 @@ def test_a_part_of_an_object_is_made_once(spark):
     rows = spark.createDataFrame([("x", None)], "a string, b string")
     made = rows.select(cards._object(one=cards._object(two=cards._js(F.reverse("a"))), three=cards._js(F.col("b")), four=F.col("b")).alias("x"))
     assert uses(made, "reverse(a#") == 1 and made.first().x == '{"one":{"two":"x"},"three":null}'
+
+
+def test_reports_read_the_texts_once(spark):
+    from oreline.plans.catalogue import QUERIES
+
+    from .oracle import SF
+
+    assert QUERIES["daily_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
