@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise, prompts, render, validate
 from ..sources.ledger import Ledger
 from ..sources.provider import ModelProvider
-
-ATTEMPTS = 2
+from . import work
 
 
 def rewrite_items(rows: DataFrame, ledger: Ledger, provider: Callable[[], ModelProvider]) -> DataFrame:
@@ -22,23 +21,25 @@ def rewrite_items(rows: DataFrame, ledger: Ledger, provider: Callable[[], ModelP
     the draft.  A prompt is null for rows that are done, so nobody asks for them.
     """
     grade = F.when(F.col("grade").isin("Low", "Med", "High"), F.col("grade")).otherwise("Med")
-    out = rows.withColumns({"item": F.lit(None).cast(_ITEM), "made_by": F.lit(None).cast("string"), "_task": prompts.rewrite(F.col("kind"), F.col("draft"), F.col("found"), grade)})
-    for k in range(ATTEMPTS):
-        out = _round(out, F.col("_task"), "first" if k == 0 else "second", ledger, provider, salt=str(k))
-        if k == 0:
-            again = F.when(F.col("_said").isNotNull(), prompts.repair_item(F.col("_task"), F.col("_answer"), F.col("_errors")))
-            out = _round(out.withColumn("_again", again), F.col("_again"), "repaired", ledger, provider, salt="repair").drop("_again")
+    # the task is made of the draft wherever it is asked, so no rows carry it; rows that are done stay out of later rounds
+    task = prompts.rewrite(F.col("kind"), F.col("draft"), F.col("found"), grade)
+    made = [*rows.columns, "item", "made_by"]
+    first = work.kept(_round(rows, task, "first", ledger, provider, salt="0"))
+    again = F.when(F.col("_read"), prompts.repair_item(task, F.col("_answer"), F.col("_errors")))
+    repaired = work.kept(_round(first.where("item IS NULL"), again, "repaired", ledger, provider, salt="repair").select(*made))
+    second = _round(repaired.where("item IS NULL").drop("item", "made_by"), task, "second", ledger, provider, salt="1")
     plain = render.plain_item(F.col("draft"), F.col("found"), F.col("grade"))
-    return out.select(*rows.columns, F.coalesce("item", plain).alias("item"), F.coalesce("made_by", F.lit("template")).alias("made_by"))
+    last = second.withColumns({"item": F.coalesce("item", plain), "made_by": F.coalesce("made_by", F.lit("template"))})
+    return first.where("item IS NOT NULL").select(*made).unionByName(repaired.where("item IS NOT NULL")).unionByName(last.select(*made))
 
 
 _ITEM = "struct<hook: string, explanation: string, why_bullets: array<string>, who: string, wedge: string, evidence_snippets: array<string>, links: array<string>, strength_or_impact: string>"
 
 
 def _round(rows: DataFrame, prompt, name: str, ledger: Ledger, provider, salt: str) -> DataFrame:
-    """Asks for rows without an item; sets item and made_by where the answer is valid, and _said, _errors and _answer of the others."""
-    asked = ledger.generate(rows.withColumn("_prompt", F.when(F.col("item").isNull(), prompt)), "_prompt", "_answer", provider, salt=salt)
-    said = asked.withColumn("_said", F.when(F.col("item").isNull(), normalise.item_answer(F.col("_answer"), F.col("found"), F.col("grade"))))
+    """Asks for rows without an item; sets item and made_by where the answer is valid; _answer, _errors and whether it could be read, _read, tell of the others."""
+    asked = ledger.generate(rows.drop("item", "made_by"), prompt, "_answer", provider, salt=salt)
+    said = asked.withColumn("_said", normalise.item_answer(F.col("_answer"), F.col("found"), F.col("grade")))
     told = said.withColumn("_errors", F.when(F.col("_said").isNotNull(), validate.item_errors(F.col("_said"))))
-    good = F.size("_errors") == 0
-    return told.withColumns({"item": F.when(good, F.col("_said").cast(_ITEM)).otherwise(F.col("item")), "made_by": F.when(good, F.lit(name)).otherwise(F.col("made_by"))}).drop("_prompt")
+    good = F.coalesce(F.size("_errors") == 0, F.lit(False))
+    return told.withColumns({"item": F.when(good, F.col("_said").cast(_ITEM)), "made_by": F.when(good, F.lit(name)), "_read": F.col("_said").isNotNull()}).drop("_said")

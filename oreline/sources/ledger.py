@@ -9,7 +9,6 @@ its own part of one, and a rerun asks what is left.  What the model failed at is
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,38 +27,36 @@ class Ledger:
         self.spark, self.path, self.batch = spark, path.rstrip("/"), batch
 
     def read(self, kind: str = "answers") -> DataFrame:
-        """(key, value) of all that was answered; two runs at once may have asked the same, so the least of equal keys counts."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        rows = self.spark.read.schema(_KINDS[kind]).parquet(f"{self.path}/{kind}") if there else self.spark.createDataFrame([], _KINDS[kind])
+        """(key, value) of all that was answered by now; two runs at once may have asked the same, so the least of equal keys counts."""
+        # the files by name: a plan that reads the grown folder, too, must not take the two readings for the same
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/part-*")
+        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        rows = self.spark.read.schema(_KINDS[kind]).parquet(f"{self.path}/{kind}/part-*") if there is not None and len(there) else self.spark.createDataFrame([], _KINDS[kind])
         return rows.groupBy("key").agg(F.min("value").alias("value"))
 
     def _fill(self, kind: str, wanted: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> None:
-        """Asks for the (key, text) that the ledger lacks; ``ask`` adds ``value``."""
-        todo = wanted.where("key IS NOT NULL").dropDuplicates(["key"]).join(self.read(kind).select("key"), "key", "left_anti")
-        stage = f"{self.path}/stage-{uuid.uuid4().hex}"
-        todo.write.parquet(f"{stage}/all")
-        open_ = self.spark.read.parquet(f"{stage}/all")
-        rounds = min(-(-open_.count() // self.batch), ROUNDS)
-        if rounds > 1:
-            open_.withColumn("round", F.pmod(F.xxhash64("key"), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(f"{stage}/rounds")
+        """Asks for the (key, text) that the ledger lacks; ``ask`` adds ``value``.  A round moves each of its texts once: to the task that asks it."""
+        known = self.read(kind).select("key")
+        rounds = min(-(-wanted.select("key").distinct().join(known, "key", "left_anti").count() // self.batch), ROUNDS)
         tasks = self.spark.sparkContext.defaultParallelism
         for k in range(rounds):
-            part = self.spark.read.parquet(f"{stage}/rounds").where(F.col("round") == k) if rounds > 1 else open_
-            ask(part.select("key", "text").repartition(tasks)).where("value IS NOT NULL").select("key", "value").write.mode("append").parquet(f"{self.path}/{kind}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            of = lambda rows: rows.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k).repartition(tasks, "key")  # noqa: B023, E731
+            todo = of(wanted).join(of(known), "key", "left_anti").dropDuplicates(["key"])
+            ask(todo.select("key", "text")).where("value IS NOT NULL").select("key", "value").write.mode("append").parquet(f"{self.path}/{kind}")
 
     def _answered(self, kind: str, df: DataFrame, text: Column, out: str, salt: str, ask) -> DataFrame:
-        rows = df.withColumn("_key", F.when(text.isNotNull(), F.sha2(F.concat(F.lit(f"{salt}\n"), text), 256)))
-        self._fill(kind, rows.select(F.col("_key").alias("key"), text.alias("text")), ask)
+        # kept: what they come from is worked out once, not in each round; rows without a text are not moved
+        rows = work.kept(df.withColumn("_key", F.when(text.isNotNull(), F.sha2(F.concat(F.lit(f"{salt}\n"), text), 256))))
+        asked = rows.where("_key IS NOT NULL")
+        self._fill(kind, asked.select(F.col("_key").alias("key"), text.alias("text")), ask)
         told = self.read(kind).select(F.col("key").alias("_key"), F.col("value").alias(out))
-        # kept: a later plan that reads the grown folder must not meet this reading of it, which Spark takes for the same
-        return work.kept(rows.drop(out).join(told, "_key", "left").drop("_key"))
+        none = rows.where("_key IS NULL").drop(out).withColumn(out, F.lit(None).cast(told.schema[out].dataType))
+        return asked.drop(out).join(told, "_key", "left").unionByName(none).drop("_key")
 
-    def generate(self, df: DataFrame, prompt: str, answer: str, provider: Callable[[], models.ModelProvider], salt: str = "", **more) -> DataFrame:
+    def generate(self, df: DataFrame, prompt: str | Column, answer: str, provider: Callable[[], models.ModelProvider], salt: str = "", **more) -> DataFrame:
         """df with the model's answer to each prompt, null where it failed or the prompt is null.  The same prompt with another ``salt`` is asked anew."""
-        return self._answered("answers", df, F.col(prompt), answer, salt, lambda rows: models.generate(rows, "text", "value", provider, **more))
+        text = F.col(prompt) if isinstance(prompt, str) else prompt
+        return self._answered("answers", df, text, answer, salt, lambda rows: models.generate(rows, "text", "value", provider, **more))
 
     def embed(self, df: DataFrame, text: str, vector: str, provider: Callable[[], models.ModelProvider], salt: str = "", **more) -> DataFrame:
         """df with a vector for each text (its first 8000 characters); null where it failed."""

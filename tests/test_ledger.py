@@ -129,3 +129,28 @@ def test_many_prompts_take_few_rounds(spark, tmp_path):
     assert ledger.generate(rows, "p", "a", lambda: Counting(here)).where("a = concat('<', p, '>')").count() == 60
     written = {"-".join(p.name.split("-")[2:7]).split(".")[0] for p in (tmp_path / "ledger" / "answers").glob("part-*")}
     assert 1 < len(written) <= 16 and set(calls(here).values()) == {1}
+
+
+def test_rows_are_worked_out_once(spark, tmp_path):
+    """What the prompts are made of is not run again in each round, nor when the answers are joined."""
+    here = str(tmp_path)
+
+    def noted(i):
+        with open(f"{here}/rows", "a") as f:
+            f.write(f"{i}\n")
+        return f"p{i}"
+
+    rows = spark.range(12).select("id", F.udf(noted)("id").alias("p"))
+    ledger = Ledger(spark, f"{here}/ledger", batch=3)
+    assert ledger.generate(rows, "p", "a", lambda: Counting(here)).where("a = concat('<', p, '>')").count() == 12
+    with open(f"{here}/rows") as f:
+        assert Counter(f.read().split()) == {str(i): 1 for i in range(12)}
+
+
+def test_two_readings_of_a_growing_ledger(spark, tmp_path):
+    """A result that is read later, beside one of the grown ledger, holds the answers of its own time."""
+    here = str(tmp_path)
+    ledger = Ledger(spark, f"{here}/ledger")
+    one = ledger.generate(spark.createDataFrame([(1, "x")], "id int, p string"), "p", "a", lambda: Counting(here))
+    two = ledger.generate(spark.createDataFrame([(2, "y"), (3, None)], "id int, p string"), "p", "a", lambda: Counting(here))
+    assert {r.id: r.a for r in one.unionByName(two).collect()} == {1: "<x>", 2: "<y>", 3: None}
