@@ -18,7 +18,7 @@ def rewrite_items(rows: DataFrame, ledger: Ledger, provider: Callable[[], ModelP
 
     The first answer counts if it is a valid item.  One that is an item but breaks rules is sent back with its errors
     once; what is then still open, or could not be read, is asked for a second time, and what fails again is made of
-    the draft.  A prompt is null for rows that are done, so nobody asks for them.
+    the draft.  Rows that are done take no part in later rounds, so nobody asks for them.
     """
     grade = F.when(F.col("grade").isin("Low", "Med", "High"), F.col("grade")).otherwise("Med")
     # the task is made of the draft wherever it is asked, so no rows carry it; rows that are done stay out of later rounds
